@@ -252,12 +252,10 @@ class Cleaner(Estimator, _Options, DefaultParamsReadable, DefaultParamsWritable)
             else:
                 counts = {r["column"]: r["rows"] for r in removed_by_column(df, limits).collect()}
             kind = cfg["outlier_strategy"]
-            # All fences stay in the plan, so a later batch is held to the same ones.
-            plan[kind] = limits
-            for c in limits:
-                if counts.get(c):
-                    log(f"{kind}_outliers", c, counts[c], {"lower": limits[c][0], "upper": limits[c][1]},
-                        "Outside the Tukey fences.")
+            plan[kind] = {c: limits[c] for c in limits if counts.get(c)}
+            for c in plan[kind]:
+                log(f"{kind}_outliers", c, counts[c], {"lower": limits[c][0], "upper": limits[c][1]},
+                    "Outside the Tukey fences.")
             df = clip(df, plan["clip"]) if kind == "clip" else remove_outside(df, plan["remove"])
         if cfg["drop_duplicates"]:
             n = duplicates(df).first()["n_duplicate_rows"]

@@ -222,7 +222,7 @@ def _balanced_groups(sizes, group, n_groups, k):
             fold = load.index(min(load))
             load[fold] += r["_n"]
             chosen.append((r[group], fold))
-        schema = sizes.select(group).schema.add("fold", "int")
+        schema = sizes.select(group).schema.add("fold", "integer")
         return sizes.sparkSession.createDataFrame(chosen, schema)
     by_size = sizes.withColumn("_order", (-F.col("_n")).cast("double"))
     heads = running_totals(by_size.groupBy("_order").agg(F.count(F.lit(1)).alias("_c"))
@@ -281,10 +281,11 @@ def _time_folds(df, key, time_column, n, k, seed):
     rows, bounds = time_ranks(df, key, time_column, n, seed, cuts)
     hashed = rows.withColumn("_h", hash_order(seed, col(key)))
     here = F.struct(F.col("_t"), F.col("_h"), col(key))
+    kind = dtype_of(df, key)
     block = F.lit(0)  # 0: before the first test block; i + 1: in the test block of fold i
     for i in range(k):
         moment, h, v = bounds[i]
-        block = block + (here >= F.struct(F.lit(moment), F.lit(h), F.lit(v))).cast("int")
+        block = block + (here >= F.struct(F.lit(moment), F.lit(h), F.lit(v).cast(kind))).cast("int")
     memberships = F.array_compact(F.array(*[
         F.when(F.col("_block") == i + 1, F.struct(F.lit(i).alias("fold"), F.lit("test").alias("part")))
         .when(F.col("_block") <= i, F.struct(F.lit(i).alias("fold"), F.lit("train").alias("part")))

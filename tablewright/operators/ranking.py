@@ -119,8 +119,8 @@ def significance(summary: DataFrame) -> DataFrame:
         "ci_low", "ci_high", F.lead("ci_low").over(after).alias("low2"),
         F.lead("ci_high").over(after).alias("high2"))
     return paired.filter((F.col("rank") == 1) & F.col("second").isNotNull()).select(
-        "first", "second", ~((F.col("ci_high") < F.col("low2")) | (F.col("high2") < F.col("ci_low")))
-        .alias("overlap"))
+        "first", "second",
+        (~((F.col("ci_high") < F.col("low2")) | (F.col("high2") < F.col("ci_low")))).alias("overlap"))
 
 
 def meets_threshold(chosen: DataFrame, metric: str, threshold: float | None) -> DataFrame:

@@ -47,6 +47,8 @@ class RecordStore:
             rows = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
         writer = rows.write.mode("append")
         if table in PARTITIONS:
+            # One file per parent where it is small, several where one parent is most rows.
+            writer = rows.hint("rebalance", PARTITIONS[table]).write.mode("append")
             writer = writer.partitionBy(PARTITIONS[table])
         writer.parquet(self.path(table))
 
