@@ -64,7 +64,11 @@ class IsolationForest(Learner):
         pool = dataset.select(vector_to_array(x).alias("x"), mixed.alias("k"))
         if share < 1.0:
             pool = pool.filter(F.pmod("k", F.lit(1_000_000_007)) < int(share * 1_000_000_007))
-        drawn = pool.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "k").withColumn(
+        # Twice as many rows per tree as needed come out of the explode, not the pool per tree.
+        wide = min(1.0, 2.0 * size / max(n * share, 1.0))
+        picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(
+            F.xxhash64(t, F.col("k")), F.lit(1_000_000_007)) < int(wide * 1_000_000_007) + 1)
+        drawn = pool.select("x", "k", F.explode(picks).alias("tree")).withColumn(
             "h", F.xxhash64("tree", "k"))
         order = Window.partitionBy("tree").orderBy("h")  # the limit is pushed below the shuffle
         chosen = drawn.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= size)
