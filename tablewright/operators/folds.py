@@ -20,6 +20,8 @@ from tablewright.operators.profile import require_columns
 
 # Groups up to which the sequential size balancing runs on the driver.
 GROUPS_ON_DRIVER = 200_000
+# Columns that ``Folds.attach`` adds.
+FOLD, PARTS = "_fold", "_parts"
 
 
 @dataclass
@@ -53,8 +55,27 @@ class Folds:
             col(self.key), "fold",
             F.when(F.col("_own") == F.col("fold"), "test").otherwise("train").alias("part"))
 
+    def attach(self, df: DataFrame, path: str) -> DataFrame:
+        """``df`` with its fold (or its parts by fold), joined once and written below ``path``.
+
+        All folds then read filtered scans of one table instead of joining for each side;
+        k-fold tables are laid out by fold, so a side reads only its own files.
+        """
+        if self.explicit:
+            parts = self.table.groupBy(self.key).agg(F.map_from_entries(
+                F.collect_list(F.struct("fold", "part"))).alias(PARTS))  # n_splits entries at most
+            df.join(parts, self.key).write.parquet(path)
+        else:
+            placed = df.join(self.table.select(self.key, F.col("fold").alias(FOLD)), self.key)
+            placed.write.partitionBy(FOLD).parquet(path)
+        return df.sparkSession.read.parquet(path)
+
     def side(self, df: DataFrame, fold: int, part: str) -> DataFrame:
-        """The rows of ``df`` in one side of one fold."""
+        """The rows of ``df`` (attached or not) in one side of one fold."""
+        if FOLD in df.columns:
+            return df.filter((F.col(FOLD) == fold) if part == "test" else (F.col(FOLD) != fold)).drop(FOLD)
+        if PARTS in df.columns:
+            return df.filter(F.col(PARTS)[fold] == part).drop(PARTS)
         t = self.table
         if self.explicit:
             chosen = t.filter((F.col("fold") == fold) & (F.col("part") == part))

@@ -132,12 +132,13 @@ def _run(spark, scratch, run, event, key, df, n_splits, test_size, seed, cleanin
     parts["oof"] = run.training.oof
     event("trainer", "model_training", "; ".join(alerts + run.training.alerts))
     if autoencoder is not None:
-        run.latent = run_latent(clean, run.folds, run.encoder, task_type=task.task_type, target=target,
-                                metric=task.metric, seed=seed, **autoencoder)
+        run.latent = run_latent(clean, run.folds, run.encoder, scratch=f"{scratch}/{run.run_id}/latent",
+                                task_type=task.task_type, target=target, metric=task.metric, seed=seed, **autoencoder)
         parts["latent"] = run.latent.comparison
         event("autoencoder", "autoencoder_training", "; ".join(run.latent.alerts))
     if search is not None:
-        trials, _ = tune(clean, run.folds, models, run.encoder, task.task_type, target, task.metric, seed=seed, **search)
+        trials, _ = tune(clean, run.folds, models, run.encoder, task.task_type, target, task.metric,
+                         f"{scratch}/{run.run_id}/search", seed=seed, **search)
         parts["trials"], parts["best_trials"] = trials, best_trials(trials, models, task.metric)
         event("optimization", "hyperparameter_search", "Random draws, seeded.")
     # -- choose

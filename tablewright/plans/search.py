@@ -73,7 +73,7 @@ def score_point(entry: Entry, params: dict, folds: list[FoldData], labels, metri
 
 
 def tune(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder: Estimator, task_type: str,
-         target: str | None, metric: str, n_trials: int = fixed.N_TRIALS, seed: int = fixed.SEED,
+         target: str | None, metric: str, scratch: str, n_trials: int = fixed.N_TRIALS, seed: int = fixed.SEED,
          timeout_seconds: float | None = None, per_model_timeout_seconds: float | None = None,
          spaces: dict[str, dict] | None = None, threads: int = 4) -> tuple[DataFrame, list[tuple[str, str]]]:
     """The trial table (model, trial, params, value, status, seconds) and the skipped models.
@@ -83,7 +83,8 @@ def tune(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder: Estimat
     df = nan_to_null(df)
     check_folds(folds, df)
     labels = learn_labels(df, task_type, target)
-    data = [encode_fold(df, folds, i, encoder, labels, seed) for i in range(folds.n_splits)]
+    table = folds.attach(df, f"{scratch}/folds")
+    data = [encode_fold(table, folds, i, encoder, labels, seed) for i in range(folds.n_splits)]
     start, rows, skipped = time.monotonic(), [], []
     points = trial_points(models, n_trials, seed, spaces)
 

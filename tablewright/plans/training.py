@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from tablewright.operators.metrics import anomaly_positive, evaluate
 from tablewright.operators.profile import require_columns
 from tablewright.plans.zoo import Entry, MissingPackage, Shape
 
+ROWS_PER_TASK = 20_000
 OOF = ("key long, label double, prediction double, score double, scores array<double>, model string, fold int")
 RESULTS = "model string, fold int, metrics map<string,double>, fit_seconds double, status string"
 
@@ -82,8 +84,10 @@ def encode_fold(df: DataFrame, folds: Folds, fold: int, encoder: Estimator, labe
 
     def vectors(part):
         coded = model.transform(part.withColumn("_label", labels.column(part)))
-        return coded.select(col(folds.key).alias("key"), F.col("_label").alias("label"), "features").persist(
-            StorageLevel.MEMORY_AND_DISK)
+        # Small tables in few partitions: an iteration of a fit is then a few tasks, not hundreds.
+        few = max(1, math.ceil(folds.n_samples / ROWS_PER_TASK))
+        return coded.select(col(folds.key).alias("key"), F.col("_label").alias("label"), "features").coalesce(
+            few).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = vectors(train), vectors(test)
     row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
     shape = Shape(row["n"], len(model.feature_names()), len(labels.classes), row["s"] or 1.0, "key", seed)
@@ -151,8 +155,9 @@ def cross_train(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder:
     failed: set[str] = set()
     start = time.monotonic()
     path = f"{scratch}/oof"
+    table = folds.attach(df, f"{scratch}/folds")
     for fold in range(folds.n_splits):
-        data = encode_fold(df, folds, fold, encoder, labels, seed)
+        data = encode_fold(table, folds, fold, encoder, labels, seed)
         for name, entry in list(active.items()):
             if fold == 0 and time_budget_seconds is not None and (
                     (time.monotonic() - start) * folds.n_splits > time_budget_seconds):

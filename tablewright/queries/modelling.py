@@ -219,7 +219,7 @@ def search_trials(spark, d):
     split = folds.assign_folds(df, "doc_id", "stratified_kfold", target="quality", n_splits=2)
     models, _ = zoo.select_models("classification", ["logistic_regression", "naive_bayes"])
     trials, _ = search.tune(df, split, models, features.feature_encoder(df, "quality"), "classification", "quality",
-                            "macro_f1", n_trials=3)
+                            "macro_f1", scratch(spark, "search"), n_trials=3)
     return search.best_trials(trials, models, "macro_f1").select(
         "rank", "model", "best_value", "best_params", "n_complete", "n_pruned", "status")
 
@@ -227,7 +227,8 @@ def search_trials(spark, d):
 def _latent(spark, d, df, key, use_case, **options):
     split = folds.assign_folds(df, key, "kfold", n_splits=2)
     target = options.get("target")
-    return latent.run_latent(df, split, features.feature_encoder(df, target), use_case, **options)
+    return latent.run_latent(df, split, features.feature_encoder(df, target), use_case, scratch(spark, "latent"),
+                             **options)
 
 
 @query("latent_features")
