@@ -18,10 +18,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.exprs import col, hash_order, stack_aggregates
+from tablewright.functions.exprs import any_of, col, hash_order, stack_aggregates
 
 # Cells (rows x columns) up to which the state of `percentile` is held by one task.
-PERCENTILE_CELLS = 4_000_000
+PERCENTILE_CELLS = 1_000_000
 # Distinct bracket values fetched by the driver at most; thicker brackets are narrowed again.
 BRACKET_VALUES = 200_000
 SKETCH_ACCURACY = 20_000
@@ -47,80 +47,76 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return _selected_quantiles(values, columns, probs)
 
 
+def _ranks(p: float, n: int) -> tuple[int, int]:
+    position = p * (n - 1)
+    return math.floor(position), math.ceil(position)
+
+
 def _selected_quantiles(values: DataFrame, columns: list[str], probs: list[float]):
-    counts = {r["column"]: r["n"] for r in stack_aggregates(
-        values, [(c, {"n": F.count(col(c))}) for c in columns]).collect()}
-    wanted: dict[str, set[int]] = {}
+    """Quantiles by rank selection: a sketch brackets each, exact counts pick it.
+
+    Scans of the columns only: one for the sketches, one for the counts below the brackets,
+    one for the values inside. A wrong or thick bracket costs further rounds, never the result.
+    """
+    slack = 2.0 / SKETCH_ACCURACY
+    edges = [min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)]
+    rows = stack_aggregates(values, [
+        (c, {"n": F.count(col(c)), "lo": F.min(col(c)), "hi": F.max(col(c)),
+             "q": F.percentile_approx(col(c), F.array(*map(F.lit, edges)), F.lit(SKETCH_ACCURACY))})
+        for c in columns]).collect()
+    facts = {r["column"]: r for r in rows}
+    brackets = {}
     for c in columns:
-        n = counts[c]
-        if n:
-            wanted[c] = {int(f(p * (n - 1))) for p in probs for f in (math.floor, math.ceil)}
-    found = order_statistics(values, wanted, counts)
+        if facts[c]["n"]:
+            for i, p in enumerate(probs):
+                brackets[(c, _ranks(p, facts[c]["n"]))] = (facts[c]["q"][2 * i], facts[c]["q"][2 * i + 1])
+    ends = {c: (facts[c]["lo"], facts[c]["hi"]) for c in columns}
+    found = order_statistics(values, brackets, ends)
     result = {}
     for c in columns:
-        if c not in wanted:
+        n = facts[c]["n"]
+        if not n:
             result[c] = None
             continue
-        out = []
-        for p in probs:
-            pos = p * (counts[c] - 1)
-            low, high = math.floor(pos), math.ceil(pos)
-            out.append(_interpolate(found[c][low], found[c][high], pos - low))
-        result[c] = out
+        result[c] = [_interpolate(found[c][_ranks(p, n)[0]], found[c][_ranks(p, n)[1]],
+                                  p * (n - 1) - _ranks(p, n)[0]) for p in probs]
     return result
 
 
-def order_statistics(values: DataFrame, wanted: dict[str, set[int]],
-                     counts: dict[str, int]) -> dict[str, dict[int, float]]:
-    """The values at the 0-based ``wanted`` ranks of each (double) column, exactly."""
-    found: dict[str, dict[int, float]] = {c: {} for c in wanted}
-    columns = [c for c in wanted if wanted[c]]
-    if not columns:
-        return found
-    # Brackets around every rank. A sketch is off by n/accuracy ranks at most; the counts
-    # below are exact, so a bracket that misses its rank is seen and widened.
-    slack = 2.0 / SKETCH_ACCURACY
-    brackets: dict[tuple[str, int], tuple[float, float]] = {}
-    ranks = {c: sorted(wanted[c]) for c in columns}
-    sketch_probs = {
-        c: [min(1.0, max(0.0, (r + 0.5) / counts[c] + s)) for r in ranks[c] for s in (-slack, slack)]
-        for c in columns
-    }
-    rows = stack_aggregates(values, [
-        (c, {"q": F.percentile_approx(col(c), F.array(*map(F.lit, sketch_probs[c])),
-                                      F.lit(SKETCH_ACCURACY)),
-             "lo": F.min(col(c)), "hi": F.max(col(c))}) for c in columns]).collect()
-    extremes = {}
-    for row in rows:
-        c = row["column"]
-        extremes[c] = (row["lo"], row["hi"])
-        for i, r in enumerate(ranks[c]):
-            brackets[(c, r)] = (row["q"][2 * i], row["q"][2 * i + 1])
+def order_statistics(values: DataFrame, brackets: dict, ends: dict) -> dict[str, dict[int, float]]:
+    """The values at 0-based ranks of (double) columns, exactly.
+
+    ``brackets`` maps (column, ranks) to a first guess (low, high); ``ends`` has the least and
+    the largest value per column. Values in a bracket are grouped before they are fetched, so
+    one value shared by many rows is one row.
+    """
+    found: dict[str, dict[int, float]] = {c: {} for c, _ in brackets}
     while brackets:
         keys = sorted(brackets)
         below = values.agg(*[
-            e for i, (c, r) in enumerate(keys)
-            for e in (F.count_if(col(c) < brackets[(c, r)][0]).alias(f"b{i}"),
-                      F.count_if(col(c) <= brackets[(c, r)][1]).alias(f"u{i}"))
+            e for i, (c, _) in enumerate(keys)
+            for e in (F.count_if(col(c) < brackets[keys[i]][0]).alias(f"b{i}"),
+                      F.count_if(col(c) <= brackets[keys[i]][1]).alias(f"u{i}"))
         ]).first()
         inside, pending = [], {}
-        for i, (c, r) in enumerate(keys):
-            low, high = brackets[(c, r)]
-            if r < below[f"b{i}"]:
-                pending[(c, r)] = (extremes[c][0], high)
-            elif r >= below[f"u{i}"]:
-                pending[(c, r)] = (low, extremes[c][1])
+        for i, (c, ranks) in enumerate(keys):
+            low, high = brackets[(c, ranks)]
+            start, end = below[f"b{i}"], below[f"u{i}"]
+            if ranks[0] < start or ranks[-1] >= end:  # the sketch was off: widen
+                pending[(c, ranks)] = (ends[c][0] if ranks[0] < start else low,
+                                       ends[c][1] if ranks[-1] >= end else high)
             elif low == high:
-                found[c][r] = low
+                found[c].update(dict.fromkeys(ranks, low))
             else:
-                inside.append((i, c, r, low, high, below[f"b{i}"]))
+                inside.append((i, c, ranks, low, high, start))
         if inside:
-            tagged = F.array(*[
-                F.struct(F.lit(i).alias("i"),
-                         F.when((col(c) >= low) & (col(c) <= high), col(c)).alias("v"))
-                for i, c, _, low, high, _ in inside])
-            grouped = (values.select(F.explode(tagged).alias("t")).select("t.i", "t.v")
-                       .filter(F.col("v").isNotNull()).groupBy("i", "v").count())
+            tagged = F.array_compact(F.array(*[
+                F.when((col(c) >= low) & (col(c) <= high),
+                       F.struct(F.lit(i).alias("i"), col(c).alias("v")))
+                for i, c, _, low, high, _ in inside]))
+            touched = [(col(c) >= low) & (col(c) <= high) for _, c, _, low, high, _ in inside]
+            grouped = (values.filter(any_of(touched)).select(F.explode(tagged).alias("t"))
+                       .select("t.i", "t.v").groupBy("i", "v").count())
             fetched = grouped.limit(BRACKET_VALUES + 1).collect()
             if len(fetched) > BRACKET_VALUES:
                 pending.update(_narrowed(grouped, inside))
@@ -128,35 +124,33 @@ def order_statistics(values: DataFrame, wanted: dict[str, set[int]],
                 histogram: dict[int, list[tuple[float, int]]] = {}
                 for row in fetched:
                     histogram.setdefault(row["i"], []).append((row["v"], row["count"]))
-                for i, c, r, low, high, start in inside:
+                for i, c, ranks, _, _, start in inside:
                     for v, k in sorted(histogram.get(i, [])):
+                        found[c].update({r: v for r in ranks if start <= r < start + k})
                         start += k
-                        if r < start:
-                            found[c][r] = v
-                            break
         brackets = pending
     return found
 
 
-def _narrowed(grouped: DataFrame, inside) -> dict[tuple[str, int], tuple[float, float]]:
-    """Smaller brackets: ranges of the distinct bracket values that still hold the rank."""
-    cuts = {r["i"]: list(r["q"]) for r in grouped.groupBy("i").agg(
-        F.percentile_approx("v", F.array(*[F.lit(k / 200) for k in range(201)]),
-                            F.lit(2_000)).alias("q")).collect()}
-    index = F.expr("CASE " + " ".join(
-        f"WHEN i = {i} THEN array({', '.join(repr(float(x)) + 'D' for x in cuts[i])})" for i in cuts) + " END")
-    slot = F.size(F.filter(index, lambda x: x <= F.col("v")))
+def _narrowed(grouped: DataFrame, inside) -> dict:
+    """Smaller brackets, one per rank: the range of distinct bracket values that holds it."""
+    cuts = {r["i"]: sorted(set(r["q"])) for r in grouped.groupBy("i").agg(
+        F.percentile_approx("v", F.array(*[F.lit(k / 200) for k in range(201)]), F.lit(2_000)).alias("q")).collect()}
+    edges = F.create_map(*[x for i, q in cuts.items() for x in (F.lit(i), F.array(*map(F.lit, q)))])
+    slot = F.size(F.filter(edges[F.col("i")], lambda x: x <= F.col("v")))
     totals: dict[int, dict[int, int]] = {}
     for r in grouped.groupBy("i", slot.alias("s")).agg(F.sum("count").alias("n")).collect():
         totals.setdefault(r["i"], {})[r["s"]] = r["n"]
     smaller = {}
-    for i, c, r, low, high, start in inside:
-        edges = [low] + cuts[i] + [high]
-        for s in sorted(totals.get(i, {})):
-            if r < start + totals[i][s]:
-                smaller[(c, r)] = (edges[s], edges[min(s + 1, len(edges) - 1)])
-                break
-            start += totals[i][s]
+    for i, c, ranks, low, high, start in inside:
+        bounds = [low, *cuts[i], high]
+        for r in ranks:
+            at = start
+            for s in sorted(totals[i]):
+                if r < at + totals[i][s]:
+                    smaller[(c, (r,))] = (bounds[s], bounds[s + 1])
+                    break
+                at += totals[i][s]
     return smaller
 
 
@@ -227,6 +221,15 @@ def running_totals(df: DataFrame, by: list[str], order: str, sums: dict[str, str
         *[(F.col(f"_r_{o}") + F.col(f"_o_{o}")).alias(o) for o in sums])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work heavy on the CPU.
+
+    A table of many files or row groups has more partitions than that and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; only a local session gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import fixed
 from tablewright.functions.exprs import (
     as_text, col, dtype_of, is_temporal, nan_to_null, stack_aggregates, to_moment)
-from tablewright.functions.order import dense_codes, quantiles
+from tablewright.functions.order import dense_codes, quantiles, spread
 from tablewright.operators.clean import modes
 from tablewright.operators.profile import (
     column_facts, high_correlations, require_columns, value_counts)
@@ -142,14 +142,15 @@ def tfidf_terms(df: DataFrame, column: str, max_features: int = fixed.TFIDF_TERM
 
     Tokens meet map-side; the top list is a bounded top-n per partition.
     """
-    lists = df.select(tokens(col(column)).alias("t"))
-    top = (lists.select(F.explode("t").alias("term")).groupBy("term")
-           .agg(F.count(F.lit(1)).alias("tf")).orderBy(F.desc("tf"), F.asc("term")).limit(max_features))
-    wanted = F.broadcast(top.select("term"))  # max_features rows
-    found = (lists.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi")
-             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    lists = spread(df.select(col(column).alias("x"))).select(F.array_sort(tokens(F.col("x"))).alias("t"))
+    # In sorted order a term's first place in a document is where it differs from the one before.
+    marked = F.transform("t", lambda w, i: F.struct(w.alias("term"), F.when(
+        (i > 0) & (w == F.get("t", i - 1)), 0).otherwise(1).alias("first")))
+    top = (lists.select(F.inline(marked)).groupBy("term")
+           .agg(F.count(F.lit(1)).alias("tf"), F.sum("first").alias("df"))
+           .orderBy(F.desc("tf"), F.asc("term")).limit(max_features))
     size = df.agg(F.count(F.lit(1)).alias("n"))
-    return top.join(found, "term").crossJoin(F.broadcast(size)).select(  # one row on the right
+    return top.crossJoin(F.broadcast(size)).select(  # one row on the right
         "term", "tf", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
@@ -227,26 +228,35 @@ class TableEncoder(Estimator, _Shared, DefaultParamsReadable, DefaultParamsWrita
         if how == "none" and scaling == "none" and not cfg["add_interactions"]:
             how = "median"
         values = df.select([col(c).cast("double").alias(c) for c in columns])
+        first, second = (F.min, F.max) if scaling == "minmax" else (F.avg, F.stddev_pop)
+        facts = {r["column"]: r for r in stack_aggregates(values, [
+            (c, {"missing": F.count_if(col(c).isNull()), "mean": F.avg(col(c)), "a": first(col(c)),
+                 "b": second(col(c))}) for c in columns]).collect()}
+        wanted = ([0.5] if how == "median" else []) + ([0.25, 0.5, 0.75] if scaling == "robust" else [])
+        points = quantiles(values, columns, wanted) if wanted else dict.fromkeys(columns)
         if how == "median":
-            fills = {c: (q[0] if q else 0.0) for c, q in quantiles(values, columns, [0.5]).items()}
+            fills = {c: (points[c][0] if points[c] else 0.0) for c in columns}
         elif how == "mean":
-            row = values.agg(*[F.avg(col(c)).alias(c) for c in columns]).first()
-            fills = {c: row[c] if row[c] is not None else 0.0 for c in columns}
+            fills = {c: facts[c]["mean"] if facts[c]["mean"] is not None else 0.0 for c in columns}
         else:
             fills = dict.fromkeys(columns, 0.0 if how == "constant" else None)
-        filled = values if how == "none" else values.select(
-            [F.coalesce(col(c), F.lit(fills[c])).alias(c) for c in columns])
+        # Columns with gaps are measured again as filled; the others are known already.
+        gappy = [c for c in columns if facts[c]["missing"] and how != "none" and scaling != "none"]
+        if gappy:
+            filled = values.select([F.coalesce(col(c), F.lit(fills[c])).alias(c) for c in gappy])
+            if scaling == "robust":
+                points.update({c: [0.0, *q] for c, q in quantiles(filled, gappy, [0.25, 0.5, 0.75]).items()})
+            else:
+                facts.update({r["column"]: r for r in stack_aggregates(filled, [
+                    (c, {"a": first(col(c)), "b": second(col(c))}) for c in gappy]).collect()})
         centre, scale = dict.fromkeys(columns, 0.0), dict.fromkeys(columns, 1.0)
-        if scaling in ("standard", "minmax"):
-            first, second = ((F.avg, F.stddev_pop) if scaling == "standard" else (F.min, F.max))
-            for r in stack_aggregates(filled, [
-                    (c, {"a": first(col(c)), "b": second(col(c))}) for c in columns]).collect():
-                width = r["b"] if scaling == "standard" else (r["b"] or 0.0) - (r["a"] or 0.0)
-                centre[r["column"]], scale[r["column"]] = r["a"] or 0.0, width or 1.0
-        elif scaling == "robust":
-            for c, q in quantiles(filled, columns, [0.25, 0.5, 0.75]).items():
-                if q:
-                    centre[c], scale[c] = q[1], (q[2] - q[0]) or 1.0
+        for c in columns:
+            if scaling == "robust" and points[c]:
+                low, middle, high = points[c][-3:]
+                centre[c], scale[c] = middle, (high - low) or 1.0
+            elif scaling in ("standard", "minmax"):
+                start, end = facts[c]["a"] or 0.0, facts[c]["b"] or 0.0
+                centre[c], scale[c] = start, (end if scaling == "standard" else end - start) or 1.0
         return [{"column": c, "fill": fills[c], "centre": centre[c], "scale": scale[c]} for c in columns]
 
     @classmethod
@@ -311,6 +321,8 @@ class TableEncoderModel(Model, _Shared, MLReadable, MLWritable):
                 F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_code{i}"))
             value = F.coalesce(as_text(col(c), dtype_of(df, c)), F.lit(o["fill"]))
             df = df.join(table, value == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+        if p["tfidf"]:
+            df = spread(df)
         for i, t in enumerate(p["tfidf"]):
             df = df.withColumn(f"_tokens{i}", tokens(col(t["column"])))
             if t["terms"]:

@@ -264,7 +264,8 @@ class LocalOutlierFactor(Learner):
         k = max(1, min(self.option("n_neighbors"), n - 1))
         dense = local_outlier_factor(rows, k).select("key", "kdist", "lrd")
         model = self._model(LocalOutlierFactorModel, {"k": k, "n": n})
-        model.rows = rows.join(dense, "key")
+        # Read several times per scoring; kept, so the densities are computed once.
+        model.rows = rows.join(dense, "key").persist(StorageLevel.MEMORY_AND_DISK)
         return model
 
 

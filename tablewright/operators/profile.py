@@ -112,20 +112,15 @@ def type_map(facts: DataFrame) -> dict[str, str]:
 def numeric_stats(df: DataFrame, columns: list[str], max_cells: int = PERCENTILE_CELLS) -> DataFrame:
     """Moments, order statistics and counts per numeric column.
 
-    Skewness and kurtosis are the bias-corrected ones, NULL where undefined. At small size
-    the quantiles join the same aggregate; above ``max_cells`` they are selected by rank.
+    Skewness and kurtosis are the bias-corrected ones, NULL where undefined. Moments are one
+    generated aggregate; the quantiles are fitted before, see ``order.quantiles``.
     """
     values = nan_to_null(df.select([col(c).cast("double").alias(c) for c in columns]))
-    small = values.count() * len(columns) <= max_cells
-    known = {} if small else quantiles(values, columns, STAT_PROBS, max_cells)
+    known = quantiles(values, columns, STAT_PROBS, max_cells)
     entries = []
     for c in columns:
         x, n = col(c), F.count(col(c))
-        if small:
-            q = F.percentile(x, F.array(*map(F.lit, STAT_PROBS)))
-            points = [q[i] for i in range(3)]
-        else:
-            points = [F.lit(v).cast("double") for v in (known[c] or [None] * 3)]
+        points = [F.first(F.lit(v).cast("double")) for v in (known[c] or [None] * 3)]
         entries.append((c, {
             "n": n, "mean": F.avg(x),
             "std": F.when(n > 0, F.coalesce(F.stddev_samp(x), F.lit(0.0))),
