@@ -138,19 +138,19 @@ def _narrowed(grouped: DataFrame, inside) -> dict:
         F.percentile_approx("v", F.array(*[F.lit(k / 200) for k in range(201)]), F.lit(2_000)).alias("q")).collect()}
     edges = F.create_map(*[x for i, q in cuts.items() for x in (F.lit(i), F.array(*map(F.lit, q)))])
     slot = F.size(F.filter(edges[F.col("i")], lambda x: x <= F.col("v")))
-    totals: dict[int, dict[int, int]] = {}
-    for r in grouped.groupBy("i", slot.alias("s")).agg(F.sum("count").alias("n")).collect():
-        totals.setdefault(r["i"], {})[r["s"]] = r["n"]
+    slots: dict[int, list] = {}
+    for r in grouped.groupBy("i", slot.alias("s")).agg(
+            F.sum("count").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+        slots.setdefault(r["i"], []).append((r["lo"], r["hi"], r["n"]))
     smaller = {}
-    for i, c, ranks, low, high, start in inside:
-        bounds = [low, *cuts[i], high]
+    for i, c, ranks, _, _, start in inside:
         for r in ranks:
             at = start
-            for s in sorted(totals[i]):
-                if r < at + totals[i][s]:
-                    smaller[(c, (r,))] = (bounds[s], bounds[s + 1])
+            for low, high, n in sorted(slots[i]):  # least and largest value: always shrinks
+                if r < at + n:
+                    smaller[(c, (r,))] = (low, high)
                     break
-                at += totals[i][s]
+                at += n
     return smaller
 
 
