@@ -458,13 +458,13 @@ def drift_unseen(spark, d):
     return rounded(D.psi(D.drift_reference(early), late), psi=4)
 
 
-@query("drift_columns", PSI + """ select "column", round(psi, 5) as psi, round(psi, 6) >= 0.2 as drifted from p""")
+@query("drift_columns", PSI + """ select "column", round(round(psi, 6), 5) as psi, round(psi, 6) >= 0.2 as drifted from p""")
 def drift_columns(spark, d):
     early, late = _halves(spark, d)
     return rounded(D.drift_columns(D.drift_reference(early), late), psi=5)
 
 
-@query("drift_report", PSI + """ select count(*) as n_columns, count(*) filter (psi >= 0.2) as n_drifted, round(max(psi), 5) as max_psi,
+@query("drift_report", PSI + """ select count(*) as n_columns, count(*) filter (psi >= 0.2) as n_drifted, round(round(max(psi), 6), 5) as max_psi,
   string_agg("column", ',' order by "column") filter (psi >= 0.2) as drifted_columns, count(*) filter (psi >= 0.2) > 0 as drift_detected from p""")
 def drift_report(spark, d):
     early, late = _halves(spark, d)

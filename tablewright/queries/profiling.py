@@ -228,6 +228,7 @@ def profile_target_numeric(spark, d):
 @query("profile_alerts", f"""with t as {ORDERS_SQL} select 'constant_column' as alert, 'always' as "column", 1.0::double as value
   union all select 'id_like_column', 'o_orderkey', count(*) from t
   union all select 'id_like_column', 'clerk', count(*) from t
+  union all select 'id_like_column', 'total_cents', count(*) from t having count(distinct o_totalprice * 100) = count(*)
   union all select 'high_missing', 'discount', round(100.0::double * count(*) filter (o_custkey % 3 > 0) / count(*), 3) from t
   union all select 'correlated_with_target', 'total_cents', round(corr(o_totalprice, o_totalprice * 100), 4) from t""")
 def profile_alerts(spark, d):
