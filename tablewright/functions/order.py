@@ -164,7 +164,8 @@ def hash_rank(df: DataFrame, key: str, n_rows: int, seed: int, by: list[str] | N
     """0-based rank of every row by (md5(seed|key), key), within ``by`` if given.
 
     Same ranks as ``row_number() over (partition by ... order by ...) - 1``; the sort runs
-    in buckets of the hash, so neither the table nor a huge class ends in one task.
+    in buckets of the hash, so neither the table nor a huge class ends in one task. The
+    ``by`` columns hold no NULL.
     """
     by = by or []
     hashed = df.withColumn("_h", hash_order(seed, col(key))).withColumn(
@@ -175,12 +176,9 @@ def hash_rank(df: DataFrame, key: str, n_rows: int, seed: int, by: list[str] | N
                .select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")))
     inside = Window.partitionBy(*by, "_b").orderBy("_h", col(key))
     joined = hashed.withColumn("_r", F.row_number().over(inside) - 1)
-    match = F.col("l._b") == F.col("r._b")
-    for c in by:
-        match = match & F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))
-    return (joined.alias("l").join(offsets.alias("r"), match)
-            .select(*[F.col(f"l.`{c}`") for c in df.columns],
-                    (F.col("l._r") + F.col("r._o")).alias(name)))
+    # Same keys as the window, so its partitioning serves the join as well.
+    return joined.join(offsets, [*by, "_b"]).select(
+        *[col(c) for c in df.columns], (F.col("_r") + F.col("_o")).alias(name))
 
 
 def range_cuts(df: DataFrame, order: str, parts: int) -> list[float]:
@@ -222,12 +220,15 @@ def running_totals(df: DataFrame, by: list[str], order: str, sums: dict[str, str
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores, for work heavy on the CPU.
+    """``df`` in as many partitions as there are cores, for work heavy on the CPU.
 
-    A table of many files or row groups has more partitions than that and is left alone.
+    Only where it is read from fewer files than that; a large table has more and is left
+    alone. Asks the plan for its files and runs nothing.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
