@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from urllib.parse import urlparse
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,11 @@ def full_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Join condition that also matches NULL keys."""
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; the right table's keys go, its other columns must not clash."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def shared_folder(spark: SparkSession, given: str | None = None) -> str:
@@ -58,7 +58,3 @@ def written(df: DataFrame, given: str | None = None) -> DataFrame:
     path = shared_folder(df.sparkSession, given)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def is_local_path(path: str) -> bool:
-    return urlparse(path).scheme in ("", "file")

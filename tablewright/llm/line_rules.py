@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import WORD_CHAR, full_text, let, same, words, written
+from tablewright.llm.common import WORD_CHAR, full_text, let, match, words, written
 
 #: A line is common when more distinct documents of its host hold it than the larger of both.
 MIN_DOCUMENTS = 20
@@ -79,8 +79,7 @@ def common_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share
     """
     held = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > min_documents)
     hosts = lines.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    return (held.join(hosts.withColumnRenamed("host", "of_host"), F.col("host").eqNullSafe(F.col("of_host")))
-            .filter(F.col("held") > F.col("of") * min_share).select("host", "line"))
+    return match(held, hosts, ["host"], "inner").filter(F.col("held") > F.col("of") * min_share).select("host", "line")
 
 
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
@@ -105,14 +104,12 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.max("words").alias("words"), F.count(F.lit(1)).alias("times")), folder)
     common = common_lines(lines, min_documents, min_share)
     texts = rows.select("host", body.alias("body")).groupBy("host", "body").agg(F.count(F.lit(1)).alias("rows"))
-    found = lines.join(common.select(F.col("host").alias("h"), F.col("line").alias("l")),
-                       F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).drop("h", "l")
-    lost = (found.groupBy("host", "body").agg(F.sum(F.col("words") * F.col("times")).alias("lost")))
-    lost = (lost.join(texts.select(F.col("host").alias("h"), F.col("body").alias("b"), "rows"),
-                      F.col("host").eqNullSafe(F.col("h")) & (F.col("body") == F.col("b")))
-            .select("host", "body", (F.col("lost") / F.col("rows")).cast("long").alias("lost")))
-    joined = base.join(lost, same(base, lost, ["host", "body"]), "left").select(
-        base["*"], F.coalesce(lost["lost"], F.lit(0)).cast("long").alias("n_common_words"))
+    found = match(lines, common, ["host", "line"], "inner")
+    lost = match(found.groupBy("host", "body").agg(F.sum(F.col("words") * F.col("times")).alias("lost")),
+                 texts, ["host", "body"], "inner")
+    lost = lost.select("host", "body", (F.col("lost") / F.col("rows")).cast("long").alias("lost"))
+    joined = match(base, lost, ["host", "body"]).withColumn(
+        "n_common_words", F.coalesce("lost", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_common_words")
     return (joined.withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * least_left))

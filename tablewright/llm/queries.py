@@ -4,21 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewright.llm import line_rules
+from tablewright.llm import decontaminate, line_rules, quality_gam, simhash, substring_dedup, token_counts, warc
+from tablewright.llm.common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = _table(spark, sf_dir, "pages"), shared_folder(spark)
+    warc.write_warc(pages, folder)
+    read = warc.read_warc(spark, folder)
+    own = F.col("warc_type") == "response"
+    id_type = pages.schema["page_id"].dataType
+    number = lambda urn: F.nullif(F.substring_index(urn, ":", -1), F.lit("")).cast(id_type)
+    return read.select(
+        number(F.col("record_id")).alias("page_id"),
+        F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1))
+        .alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), number(F.col("refers_to")).alias("refers_to"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_gam": op1_quality_gam,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_token_counts": op3_token_counts,
     "op4_line_rules": op4_line_rules,
+    "op5_warc": op5_warc,
+    "op6_simhash": op6_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -51,4 +96,27 @@ base as (select d.rid, doc_id, len(ws)::bigint as n_words, length(array_to_strin
 failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_common_words,
   not base_failed and n_words - n_common_words >= n_words * 0.5::double as kept from failed""",
+    "op5_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+g as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest,
+      case when octet_length(payload) >= 100
+           then min(page_id) over (partition by sha256(payload)) end as first from p)
+select page_id, payload_bytes, payload_digest,
+  case when first < page_id or (first is not null and page_id is null) then 'revisit' else 'response' end as record_type,
+  case when first < page_id or (first is not null and page_id is null) then first end as refers_to from g""",
+    "op9_substring_dedup": rf"""
+with d as (select row_number() over () as rid, doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
+win as (select rid, doc_id, unnest(range(len(ws) - 49)) as pos,
+        unnest([array_to_string(ws[k + 1:k + 50], ' ') for k in range(len(ws) - 49)]) as w
+        from d where len(ws) >= 50),
+later as (select rid, pos from win qualify min(doc_id) over (partition by md5(w)) < doc_id),
+spans as (select rid, pos, lag(pos) over (partition by rid order by pos) as before from later),
+gone as (select rid, unnest(range(greatest(pos, coalesce(before + 50, 0)), pos + 50)) as k from spans),
+lists as (select rid, list(k) as ks from gone group by rid),
+words as (select d.rid, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as k from d join lists using (rid)),
+left_over as (select w.rid, string_agg(word, ' ' order by w.k) as kept from words w
+         left join gone g on g.rid = w.rid and g.k = w.k where g.rid is null group by 1)
+select doc_id, len(ws)::bigint as n_words, coalesce(len(ks), 0)::bigint as n_removed,
+  sha256(case when ks is null then array_to_string(ws, ' ') else coalesce(kept, '') end) as kept_sha256
+from d left join lists using (rid) left join left_over using (rid)""",
 }
