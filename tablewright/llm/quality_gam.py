@@ -208,18 +208,27 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(measured: DataFrame, labels: DataFrame, label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on the labelled rows that are not held out, `train_rows` of them at most, chosen by a hash of the id.
+def train_sample(labels: DataFrame, label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, label) to learn from: labelled rows that are not held out; above `train_rows` of them, those whose
+    hash falls in the share that makes that many on average.
 
     Labels that repeat an id are averaged and rounded; NULL labels and ids are left out.
     """
     known = (labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.round(F.avg(label_col)).alias("label")))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = known.join(measured, "doc_id").select("doc_id", "label", "features").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+    share = train_rows / max(1, known.count())
+    if share >= 1:
+        return known
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+
+
+def train(measured: DataFrame, sample: DataFrame) -> Model:
+    """Fit on the sample's rows of `measured` (doc_id, features); only these numbers reach the driver."""
+    rows = measured.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "features").toPandas()
+    # an order of their own, so that sums do not depend on partitions
     x = np.array(rows["features"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
-    return fit(x, rows["label"].to_numpy(dtype=np.float64))
+    order = np.lexsort((*x.T[::-1], rows["doc_id"].to_numpy()))
+    return fit(x[order], rows["label"].to_numpy(dtype=np.float64)[order])
 
 
 def _score(model, names: list[str]):
@@ -241,7 +250,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows; other columns are left out.
     """
     measured = written(features(docs, id_col, text_col), folder)
-    model = train(measured, labels, label_col, train_rows)
+    model = train(measured, train_sample(labels, label_col, train_rows))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     id_type = measured.schema["doc_id"].dataType.simpleString()
     scored = measured.mapInArrow(_score(sent, ["doc_id"]), f"doc_id {id_type}, score double")
@@ -253,11 +262,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_
               cut: float = CUT, train_rows: int = TRAIN_ROWS, folder: str | None = None) -> DataFrame:
     """The rows whose text scores at least `cut`, all columns unchanged; texts are scored where they are read.
 
-    The model is fitted on the labelled rows of `docs` alone.
+    The model is fitted on the labelled rows of `docs`, as in quality_scores.
     """
-    ids = labels.select("doc_id").distinct()
-    labelled = written(features(docs.join(ids, "doc_id", "left_semi"), "doc_id", text_col), folder)
-    sent = docs.sparkSession.sparkContext.broadcast(train(labelled, labels, label_col, train_rows))
+    sample = written(train_sample(labels, label_col, train_rows), folder)
+    model = train(features(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"), "doc_id", text_col),
+                  sample)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

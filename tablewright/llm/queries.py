@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, line_rules, quality_gam, simhash, substring_dedup, token_counts, warc
+from tablewright.llm import (
+    bpe,
+    decontaminate,
+    extract,
+    line_dedup,
+    line_rules,
+    quality_gam,
+    simhash,
+    substring_dedup,
+    token_counts,
+    warc,
+)
 from tablewright.llm.common import shared_folder
 
 
@@ -51,11 +62,28 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256)
+        .alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_decontaminate": op2_decontaminate,
@@ -63,7 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_rules": op4_line_rules,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_extract": op8_extract,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -104,6 +135,30 @@ g as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(pay
 select page_id, payload_bytes, payload_digest,
   case when first < page_id or (first is not null and page_id is null) then 'revisit' else 'response' end as record_type,
   case when first < page_id or (first is not null and page_id is null) then first end as refers_to from g""",
+    "op7_line_dedup": r"""
+with d as (select row_number() over () as rid, doc_id, text from documents),
+l as (select rid, doc_id, unnest(string_split(text, chr(10))) as line,
+      generate_subscripts(string_split(text, chr(10)), 1) as k from d),
+s as (select *, row_number() over (partition by rid order by k) as s from l
+      where regexp_matches(line, '[^\x20\x09-\x0D]')),
+win as (select rid, doc_id, s, trim(line) as a, lead(trim(line), 1) over o as b, lead(trim(line), 2) over o as c
+        from s window o as (partition by rid order by s)),
+later as (select rid, s from win where c is not null
+          qualify row(doc_id, s) > min(row(doc_id, s)) over (partition by a, b, c)),
+gone as (select distinct rid, s + i as s from later, (values (0), (1), (2)) t(i)),
+numbers as (select rid, k from s join gone using (rid, s)),
+kept as (select l.rid, string_agg(line, chr(10) order by l.k) filter (n.k is null) as text, count(n.k) as n
+         from l left join numbers n on n.rid = l.rid and n.k = l.k group by l.rid)
+select doc_id, n::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from d join kept using (rid)""",
+    "op8_extract": r"""
+with a as (select page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as body from pages),
+b as (select page_id, url, string_split(regexp_replace(regexp_replace(body, '</?(p|h1)>', chr(1), 'g'),
+      '</?[a-z]+>', ' ', 'g'), chr(1)) as blocks from a),
+c as (select page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(replace(replace(replace(
+      replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '')
+      as blocks from b)
+select page_id, url, array_to_string(blocks, chr(10) || chr(10)) as text,
+  length(array_to_string(blocks, chr(10) || chr(10)))::bigint as n_chars from c""",
     "op9_substring_dedup": rf"""
 with d as (select row_number() over () as rid, doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
 win as (select rid, doc_id, unnest(range(len(ws) - 49)) as pos,
