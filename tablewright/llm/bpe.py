@@ -39,7 +39,7 @@ LONG = 64
 def load_ranks(path: str) -> dict[bytes, int]:
     """Piece -> rank (its token id) of a rank file: a base64 piece and a number on each line."""
     with open(path, "rb") as file:
-        return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, filter(None, file))}
+        return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, filter(bytes.strip, file))}
 
 
 class Ranks:

@@ -45,15 +45,34 @@ DEFAULT_WEIGHTS = {CONTENT: 1.0, LINK: -0.5, OUTSIDE: -2.0}
 LEAST_TAG, DEFAULT_TAG = -0.05, -0.2
 
 
+_ARTICLE = re.compile(r"<(?:article|main)[\s/>]", re.IGNORECASE)
+
+
+def has_article(page: str) -> bool:
+    """True if the page opens an article or main element, scripts and comments apart."""
+    if not _ARTICLE.search(page):
+        return False
+    pos = 0
+    while found := _TOKEN.search(page, pos):
+        pos = found.end()
+        name = (found["name"] or "").lower()
+        if not found["close"] and name in ARTICLE:
+            return True
+        if not found["close"] and name in _RAW_END:
+            over = _RAW_END[name].search(page, pos)
+            pos = over.end() if over else len(page)
+    return False
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, value, place): kind 'text' with the raw text, or 'tag' with the element's name (`br` included).
 
     place: CONTENT inside an article (anywhere on pages without one), LINK, OUTSIDE, NOISY.
     """
-    has_article = re.search(r"<(?:article|main)[\s>]", page, re.IGNORECASE) is not None
+    marked = has_article(page)
     stack: list[tuple[str, bool, bool, bool]] = []  # name, noise, article, link: each true from that element inwards
     noise = link = False
-    article = not has_article
+    article = not marked
     pos, end = 0, len(page)
 
     def place() -> str:
@@ -78,7 +97,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                         break
                     del stack[depth:]
                     break
-            noise, article, link = stack[-1][1:] if stack else (False, not has_article, False)
+            noise, article, link = stack[-1][1:] if stack else (False, not marked, False)
             yield "tag", name, place()
             continue
         yield "tag", name, place()
@@ -92,9 +111,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             # a block ends inline elements left open before it, and a paragraph ends the paragraph before
             while stack and (stack[-1][0] in INLINE and not stack[-1][1] or stack[-1][0] == "p" or stack[-1][0] == name == "li"):
                 stack.pop()
-            noise, article, link = stack[-1][1:] if stack else (False, not has_article, False)
+            noise, article, link = stack[-1][1:] if stack else (False, not marked, False)
         cues = " ".join(a or b or c for _, a, b, c in _CUES.findall(found["rest"]))
-        noise = noise or name in NOISE and not (name == "header" and article and has_article) or bool(
+        noise = noise or name in NOISE and not (name == "header" and article and marked) or bool(
             cues and name not in ("html", "body", *ARTICLE) and NOISE_WORDS.search(cues)
             or cues and name in ARTICLE and re.search(r"comment|repl(?:y|ies)", cues, re.IGNORECASE)
             or _HIDDEN.search(found["rest"]))
@@ -106,7 +125,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def labelled_counts(page: str) -> dict[tuple[str, bool], int]:
     """Words by place and tags by name, inside and outside the article; empty for a page that marks none."""
     counts: dict[tuple[str, bool], int] = {}
-    if not re.search(r"<(?:article|main)[\s>]", page, re.IGNORECASE):
+    if not has_article(page):
         return counts
     for kind, value, place in tokens(page):
         if place == NOISY:

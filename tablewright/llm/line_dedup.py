@@ -64,18 +64,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), full_text(F.col(text_col)).alias("text"), body.alias("body"))
     # the key's own names, so that other columns of docs may have any name
     found = repeated_windows(rows, run).select(
-        F.col("doc_id").alias("_id_of_run"), F.col("body").alias("_body_of_run"), "starts")
+        F.col("doc_id").alias("_id_of_run"), F.col("body").alias("_body_of_run"),
+        F.col("starts").alias("_starts_of_run"))
     joined = docs.withColumn("_body", body).join(
         found, (F.col(id_col) == F.col("_id_of_run")) & (F.col("_body") == F.col("_body_of_run")), "left")
     text = F.col(text_col)
 
     def cut(hashed: Column) -> Column:
-        gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(
+        gone = F.array_distinct(F.flatten(F.transform("_starts_of_run", lambda s: F.transform(
             F.sequence(s, s + run - 1), lambda k: F.get(hashed, k)["at"]))))
         return let(F.sort_array(gone), lambda g: F.struct(
             F.array_join(_without(F.split(text, "\n"), g), "\n").alias("text"), F.size(g).cast("long").alias("n")))
 
-    edited = F.when(F.col("starts").isNotNull(), let(line_hashes(text), cut))
+    edited = F.when(F.col("_starts_of_run").isNotNull(), let(line_hashes(text), cut))
     return joined.withColumn("_edited", edited).select(
         *[F.coalesce("_edited.text", text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce("_edited.n", F.lit(0).cast("long")).alias("_n_removed"))

@@ -5,7 +5,7 @@ equal windows have equal anchors, so the count of an anchor is never below that
 anchor for about 16 words. Each task sends the sparse cells of its own sketch, blocks of cells are summed apart, and
 one bit for each cell (counted twice or more) is broadcast; its size is bounded by `max_cells`.
 
-Pass 2 groups only windows whose anchor is estimated repeated, by a 128-bit hash of their words, and finds the
+Pass 2 groups only windows whose anchor is estimated repeated, by a 96-bit hash of their words, and finds the
 smallest document of each. What the sketch overestimates is sorted out here; nothing repeated can be missed.
 """
 
@@ -139,7 +139,7 @@ def _candidates(bits_of, cells: int):
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(window_hashes(first, WINDOW, powers, 0)[at].view(np.int64)),
-                    pa.array(window_hashes(second, WINDOW, powers, 1)[at].view(np.int64)),
+                    pa.array((window_hashes(second, WINDOW, powers, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     pa.repeat(ids[k], n), pa.repeat(bodies[k], n), pa.array(at.astype(np.int32))],
                     names=["w1", "w2", "doc_id", "body", "pos"])
     return find
@@ -152,10 +152,9 @@ def later_windows(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     cells = sketch_cells(asked, max_cells)
     bits = spark.sparkContext.broadcast(repeated_cells(asked, cells))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    windows = asked.mapInArrow(_candidates(bits, cells), f"w1 long, w2 long, doc_id {id_type}, body long, pos int")
+    windows = asked.mapInArrow(_candidates(bits, cells), f"w1 long, w2 int, doc_id {id_type}, body long, pos int")
     # Grouped in parts on each task first, so a window of many documents sends a row for each task.
-    first = (windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-             .filter(F.col("first") < F.col("last")).select("w1", "w2", "first"))
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
     return windows.join(first, ["w1", "w2"]).filter(F.col("doc_id") > F.col("first")).select("doc_id", "body", "pos")
 
 
