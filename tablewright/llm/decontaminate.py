@@ -1,15 +1,16 @@
 """Benchmark decontamination: test items in a BM25 index, every passage of every document as a query.
 
 The index holds, for each term, its items with their share of the item's own score, in blocks with block maxima.
-Block-max pruning runs twice: first over all passages of a document at once (sums of block maxima, one column for each
-block of items), then in a block-max WAND over the passages that may reach the threshold. What WAND retrieves is
-verified on the words: five-word shingles of the item, and the words of its question and of its answer.
+Block-max pruning runs in steps: sums of block maxima over all passages of a document at once, one column for each
+block of items; then over the distinct terms of each passage that is left; then a block-max WAND inside the blocks that
+may still reach the threshold. What WAND retrieves is verified on the words: five-word shingles of the item, and the words of its question and of its answer.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,8 +28,9 @@ OVERLAP = 0.8
 SHINGLE = 5
 #: Words from one passage to the next.
 STRIDE = 32
-#: Items of a block, and most characters of items in one broadcast index; more items are searched in further passes.
-BLOCK_ITEMS = 16
+#: Items of a block (more where that would make over MOST_BLOCKS blocks), and most characters of items in one
+#: broadcast index; more items are searched in further passes.
+BLOCK_ITEMS, MOST_BLOCKS = 4, 128
 INDEX_CHARS = 32_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -70,9 +72,10 @@ class Index:
     ids: list = field(default_factory=list)
     terms: dict[str, int] = field(default_factory=dict)
     #: by term: item numbers and shares, both ascending by item; block maxima by block
-    items: list[np.ndarray] = field(default_factory=list)
-    shares: list[np.ndarray] = field(default_factory=list)
+    items: list[list[int]] = field(default_factory=list)
+    shares: list[list[float]] = field(default_factory=list)
     bounds: np.ndarray = None
+    block: int = BLOCK_ITEMS
     shingles: list[set] = field(default_factory=list)
     parts: list[tuple[set, set]] = field(default_factory=list)
     longest: int = 0
@@ -99,40 +102,42 @@ def build_index(items: list[tuple], frequency: dict[str, int] | None = None, n_i
         question, answer = question_and_answer(text)
         index.shingles.append(shingles(terms))
         index.parts.append((set(question), set(answer)))
-    blocks = (len(split) + BLOCK_ITEMS - 1) // BLOCK_ITEMS
-    index.bounds = np.zeros((len(postings), max(1, blocks)), dtype=np.float32)
+    index.block = max(BLOCK_ITEMS, -(-len(split) // MOST_BLOCKS))
+    index.bounds = np.zeros((len(postings), max(1, -(-len(split) // index.block))), dtype=np.float32)
     for k, (term, found) in enumerate(postings.items()):
         index.terms[term] = k
-        index.items.append(np.array([n for n, _ in found]))
-        index.shares.append(np.array([s for _, s in found]))
+        index.items.append([n for n, _ in found])
+        index.shares.append([s for _, s in found])
         for number, share in found:
-            block = number // BLOCK_ITEMS
-            # rounded up, so that a bound in single precision stays a bound
-            index.bounds[k, block] = max(index.bounds[k, block], np.nextafter(np.float32(share), np.float32(2)))
+            index.bounds[k, number // index.block] = max(index.bounds[k, number // index.block], np.float32(share))
     return index
 
 
-def wand(index: Index, query: list[int], threshold: float, blocks: np.ndarray | None = None) -> list[tuple[int, float]]:
-    """Every item whose share over the distinct query terms reaches the threshold, by block-max WAND.
+#: Room for the rounding of sums in single precision.
+SLACK = 1e-4
 
-    blocks: those that may still reach it (all if None); others are skipped like any block with a low bound.
-    """
-    found, epsilon = [], 1e-6
-    end = len(index.ids)
-    tops = {t: float(index.bounds[t].max()) for t in query}
-    cursors = [[int(index.items[t][0]), 0, t] for t in query]
 
-    def advance(cursor: list, to: int) -> None:
-        postings = index.items[cursor[2]]
-        cursor[1] += int(np.searchsorted(postings[cursor[1]:], to))
-        cursor[0] = int(postings[cursor[1]]) if cursor[1] < len(postings) else end
+def wand(index: Index, query: list[int], threshold: float, first: int = 0, end: int | None = None) -> list[tuple]:
+    """(item, share) of every item in first..end-1 whose share over the distinct query terms reaches the threshold."""
+    found, end = [], len(index.ids) if end is None else end
+    tops, cursors = {}, []
 
+    def to(cursor: list, item: int) -> None:
+        postings = index.items[cursor[2]]
+        cursor[1] = bisect_left(postings, item, cursor[1])
+        cursor[0] = postings[cursor[1]] if cursor[1] < len(postings) else end
+
+    for term in query:
+        own = index.bounds[term, first // index.block:(end - 1) // index.block + 1]
+        tops[term] = float(own.max()) if len(own) else 0.0
+        cursors.append([0, 0, term])
+        to(cursors[-1], first)
     while True:
         cursors = sorted(c for c in cursors if c[0] < end)
         bound, pivot = 0.0, -1
         for k, cursor in enumerate(cursors):
             bound += tops[cursor[2]]
-            if bound >= threshold - epsilon:
+            if bound >= threshold - SLACK:
                 pivot = k
                 break
         if pivot < 0:
@@ -140,27 +145,25 @@ def wand(index: Index, query: list[int], threshold: float, blocks: np.ndarray |
         item = cursors[pivot][0]
         while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
             pivot += 1
-        block = item // BLOCK_ITEMS
+        block = item // index.block
         ahead = cursors[:pivot + 1]
-        allowed = blocks is None or bool(blocks[block])
-        if not allowed or sum(float(index.bounds[c[2], block]) for c in ahead) < threshold - epsilon:
+        if sum(float(index.bounds[c[2], block]) for c in ahead) < threshold - SLACK:
             # no item of this block before the next cursor can reach it
-            to = (block + 1) * BLOCK_ITEMS
-            if allowed and pivot + 1 < len(cursors):
-                to = min(to, cursors[pivot + 1][0])
+            stop = (block + 1) * index.block
+            if pivot + 1 < len(cursors):
+                stop = min(stop, cursors[pivot + 1][0])
             for cursor in ahead:
-                advance(cursor, max(to, item + 1))
-            continue
-        if cursors[0][0] == item:
-            share = sum(float(index.shares[c[2]][c[1]]) for c in ahead)
-            if share >= threshold - epsilon:
+                to(cursor, max(stop, item + 1))
+        elif cursors[0][0] == item:
+            share = sum(index.shares[c[2]][c[1]] for c in ahead)
+            if share >= threshold - 1e-9:
                 found.append((item, share))
             for cursor in ahead:
-                advance(cursor, item + 1)
+                to(cursor, item + 1)
         else:
             for cursor in ahead:
                 if cursor[0] < item:
-                    advance(cursor, item)
+                    to(cursor, item)
 
 
 def overlaps(index: Index, item: int, passage: list[str]) -> tuple[float, float, float]:
@@ -174,32 +177,33 @@ def overlaps(index: Index, item: int, passage: list[str]) -> tuple[float, float,
 
 def leaks(index: Index, text: str, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple]:
     """item number -> (share, overlap, question overlap, answer overlap) of the items that a text holds."""
-    terms = terms_of(text)
-    if not index.ids or not terms:
+    if not index.ids:
         return {}
-    known = np.fromiter((index.terms.get(t, -1) for t in terms), dtype=np.int64, count=len(terms))
+    terms, number = terms_of(text), index.terms.get
+    known = np.array([number(t, -1) for t in terms], dtype=np.int64)
     at = np.flatnonzero(known >= 0)
     if not len(at):
         return {}
-    n_chunks = (len(terms) - 1) // STRIDE + 1
+    n_chunks = (len(known) - 1) // STRIDE + 1
     pairs = np.unique((at // STRIDE) * len(index.terms) + known[at])
-    chunk, term = pairs // len(index.terms), pairs % len(index.terms)
+    chunk, term = np.divmod(pairs, len(index.terms))
     firsts = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
-    sums = np.zeros((n_chunks, index.bounds.shape[1]), dtype=np.float64)
-    sums[chunk[firsts]] = np.add.reduceat(index.bounds[term].astype(np.float64), firsts, axis=0)
+    sums = np.zeros((n_chunks + 1, index.bounds.shape[1]), dtype=np.float32)
+    sums[chunk[firsts]] = np.add.reduceat(index.bounds[term], firsts, axis=0)
     # A passage: so many chunks that any item lies inside one of them as a whole.
-    span = (index.longest - 1) // STRIDE + 2
-    total = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0)))
-    last = np.minimum(np.arange(n_chunks) + span, n_chunks)
-    may = (total[last] - total[:n_chunks]) >= threshold - 1e-6
+    span = min((index.longest - 1) // STRIDE + 2, n_chunks)
+    total = np.array([sums[k:n_chunks - span + 1 + k] for k in range(span)]).sum(axis=0)
     out: dict[int, tuple] = {}
-    for first in np.flatnonzero(may.any(axis=1)):
-        lo, hi = int(first) * STRIDE, int(last[first]) * STRIDE
-        query = sorted(set(known[lo:hi].tolist()) - {-1})
-        for item, share in wand(index, query, threshold, may[first]):
-            seen = overlaps(index, item, terms[lo:hi])
-            if min(seen) >= overlap - 1e-9 and (share, *seen) > out.get(item, ()):
-                out[item] = (share, *seen)
+    for first in np.flatnonzero((total >= threshold - SLACK).any(axis=1)):
+        lo, hi = int(first) * STRIDE, (int(first) + span) * STRIDE
+        query = np.unique(known[lo:hi])
+        query = query[query >= 0]
+        for block in np.flatnonzero(index.bounds[query].sum(axis=0) >= threshold - SLACK):
+            begin = int(block) * index.block
+            for item, share in wand(index, query.tolist(), threshold, begin, min(begin + index.block, len(index.ids))):
+                seen = overlaps(index, item, terms[lo:hi])
+                if min(seen) >= overlap - 1e-9 and (share, *seen) > out.get(item, ()):
+                    out[item] = (share, *seen)
     return out
 
 
@@ -267,10 +271,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
             for batch in batches:
-                texts = batch.column(text_col).to_pylist()
-                yield batch.filter(pa.array([not leaks(sent.value, t or "", threshold, overlap) for t in texts],
-                                            pa.bool_()))
+                clean = [not leaks(index, t or "", threshold, overlap)
+                         for t in batch.column(text_col).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
         kept = kept.mapInArrow(keep, docs.schema)
     return kept

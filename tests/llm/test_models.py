@@ -71,7 +71,7 @@ def test_wand_finds_what_scoring_all_items_finds():
             share[index.items[t]] += index.shares[t]
         for threshold in (0.05, 0.2, 0.6):
             got = decontaminate.wand(index, query, threshold)
-            assert sorted(i for i, _ in got) == np.flatnonzero(share >= threshold - 1e-6).tolist()
+            assert sorted(i for i, _ in got) == np.flatnonzero(share >= threshold - 1e-9).tolist()
             assert all(abs(s - share[i]) < 1e-9 for i, s in got)
 
 
