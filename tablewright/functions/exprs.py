@@ -107,8 +107,8 @@ def to_moment(c: Column) -> Column:
             (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM y"),
         )
     ]
-    # Only short strings with a digit can be dates; others skip the layouts.
-    return F.when((F.length(t) <= 40) & t.rlike(r"\d"), F.coalesce(iso, *rest))
+    # Only strings with a digit can be dates; others skip the layouts.
+    return F.when(t.rlike(r"\d"), F.coalesce(iso, *rest))
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:

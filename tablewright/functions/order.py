@@ -12,13 +12,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.exprs import any_of, col, hash_order, stack_aggregates
+from tablewright.session import shared_path
 
 # Cells (rows x columns) up to which the state of `percentile` is held by one task.
 PERCENTILE_CELLS = 1_000_000
@@ -165,10 +165,10 @@ def hash_rank(df: DataFrame, key: str, n_rows: int, seed: int, by: list[str] | N
 
     Same ranks as ``row_number() over (partition by ... order by ...) - 1``; the sort runs
     in buckets of the hash, so neither the table nor a huge class ends in one task. The
-    ``by`` columns hold no NULL.
+    ``by`` columns hold no NULL; a NULL key has the hash of an empty one.
     """
     by = by or []
-    hashed = df.withColumn("_h", hash_order(seed, col(key))).withColumn(
+    hashed = df.withColumn("_h", F.coalesce(hash_order(seed, col(key)), F.md5(F.lit(f"{seed}|")))).withColumn(
         "_b", F.substring("_h", 1, hash_digits(n_rows)))
     # At most classes x 16^digits rows, i.e. the table divided by ROWS_PER_BUCKET.
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -199,7 +199,7 @@ def running_totals(df: DataFrame, by: list[str], order: str, sums: dict[str, str
     single value can fill a range. ``sums`` maps output name to input column.
     """
     n = df.count() if n_rows is None else n_rows
-    parts = max(1, min(4096, math.ceil(n / ROWS_PER_BUCKET)))
+    parts = max(1, math.ceil(n / ROWS_PER_BUCKET))
     cuts = range_cuts(df, order, parts) if parts > 1 else []
     if not cuts:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -233,15 +233,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; only a local session gets one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a shared folder.")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or shared_path(spark, "checkpoints"))
 
 
 def dense_codes(distinct_values: DataFrame, order: list[str], name: str = "code") -> DataFrame:

@@ -18,8 +18,6 @@ from tablewright.functions.exprs import col, dtype_of, hash_order, is_temporal,
 from tablewright.functions.order import hash_rank, running_totals
 from tablewright.operators.profile import require_columns
 
-# Groups up to which the sequential size balancing runs on the driver.
-GROUPS_ON_DRIVER = 200_000
 # Columns that ``Folds.attach`` adds.
 FOLD, PARTS = "_fold", "_parts"
 
@@ -114,9 +112,11 @@ def assign_folds(df: DataFrame, key: str, strategy: str | None = None, *, target
         raise ValueError(f"Unknown split strategy '{strategy}'; one of {fixed.SPLIT_STRATEGIES}.")
     require_columns(df, key=key, target=target, group=group_column, time=time_column)
     alerts: list[str] = []
-    n = df.count()
+    n, nameless = df.agg(F.count(F.lit(1)), F.count_if(col(key).isNull())).first()
     if n < 2:
         raise ValueError("At least 2 rows are needed to split a table.")
+    if nameless:
+        raise ValueError(f"{nameless} rows have no '{key}'; every row needs a key to be assigned to a fold.")
     common = dict(key=key, seed=seed, n_samples=n, alerts=alerts)
     if strategy == "time_split":
         if not time_column:
@@ -227,24 +227,12 @@ def _group_folds(df, key, group, n_splits, seed, shuffle, alerts):
     else:
         assigned = _balanced_groups(sizes, group, n_groups, k)
     # Equi-join on the group; with few groups Spark broadcasts, a hot group is split by AQE.
-    return df.select(key, group).join(assigned, group).select(key, "fold"), k
+    own = assigned.withColumnRenamed(group, "_group")
+    return df.select(key, group).join(own, col(group).eqNullSafe(F.col("_group"))).select(key, "fold"), k
 
 
 def _balanced_groups(sizes, group, n_groups, k):
-    """Largest group first, always to the fold with the fewest rows; ties by group.
-
-    The rule is sequential, so sizes (one row per group) go through the driver up to
-    GROUPS_ON_DRIVER. Above it groups are dealt back and forth over the folds by size rank,
-    which balances as well when groups are that many.
-    """
-    if n_groups <= GROUPS_ON_DRIVER:
-        load, chosen = [0] * k, []
-        for r in sizes.orderBy(F.desc("_n"), F.asc(group)).collect():
-            fold = load.index(min(load))
-            load[fold] += r["_n"]
-            chosen.append((r[group], fold))
-        schema = sizes.select(group).schema.add("fold", "integer")
-        return sizes.sparkSession.createDataFrame(chosen, schema)
+    """Groups by falling size (ties by hash) are dealt back and forth over the folds."""
     by_size = sizes.withColumn("_order", (-F.col("_n")).cast("double"))
     heads = running_totals(by_size.groupBy("_order").agg(F.count(F.lit(1)).alias("_c"))
                            .withColumn("_all", F.lit(0)), ["_all"], "_order", {"_first": "_c"})

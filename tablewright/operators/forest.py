@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tablewright.functions import fixed
 from tablewright.operators.learners import LearnedModel, Learner
 
-# Rows drawn from the table before trees draw theirs; ample for 100 trees of 256 rows.
-POOL = 50_000
+# Hashes are compared in 62 bits, so that a tree's share of any table is a whole number of them.
+HASH_RANGE = 1 << 62
 NODE = "tree int, node int, feature int, threshold double, left int, right int, length double"
 
 
@@ -59,16 +59,12 @@ class IsolationForest(Learner):
         trees, size = int(self.option("n_estimators")), int(self.option("max_samples"))
         n = dataset.count()
         mixed = F.xxhash64(F.lit(seed), F.col(key) if key else F.col(x).cast("string"))
-        # A uniform pool by hash: no shuffle, the same rows whenever it is computed again.
-        share = min(1.0, max(POOL, 4 * size) / max(n, 1))
-        pool = dataset.select(vector_to_array(x).alias("x"), mixed.alias("k"))
-        if share < 1.0:
-            pool = pool.filter(F.pmod("k", F.lit(1_000_000_007)) < int(share * 1_000_000_007))
-        # Twice as many rows per tree as needed come out of the explode, not the pool per tree.
-        wide = min(1.0, 2.0 * size / max(n * share, 1.0))
+        # Every tree draws from the whole table: twice the rows it needs by hash, then the first of them.
+        share = min(1.0, 2.0 * size / max(n, 1))
+        rows = dataset.select(vector_to_array(x).alias("x"), mixed.alias("k"))
         picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(
-            F.xxhash64(t, F.col("k")), F.lit(1_000_000_007)) < int(wide * 1_000_000_007) + 1)
-        drawn = pool.select("x", "k", F.explode(picks).alias("tree")).withColumn(
+            F.xxhash64(t, F.col("k")), F.lit(HASH_RANGE)) < F.lit(int(share * HASH_RANGE)))
+        drawn = rows.select("x", "k", F.explode(picks).alias("tree")).withColumn(
             "h", F.xxhash64("tree", "k"))
         order = Window.partitionBy("tree").orderBy("h")  # the limit is pushed below the shuffle
         chosen = drawn.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= size)

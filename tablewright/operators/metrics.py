@@ -125,10 +125,15 @@ def precision_at_k(oof: DataFrame, positive=1, by=BY, key: str = "key", seed: in
 
 
 def log_loss(oof: DataFrame, positive=1, by=BY) -> DataFrame:
-    """Mean negative log-likelihood from the positive class's probability."""
+    """Mean negative log-likelihood from the positive class's probability.
+
+    Over all rows of a group; a group with a score outside [0, 1] or none has no probabilities and no row here.
+    """
     p = F.when(F.col("label") == positive, F.col("score")).otherwise(1.0 - F.col("score"))
     clipped = F.least(F.greatest(p, F.lit(LOG_FLOOR)), F.lit(1.0 - LOG_FLOOR))
-    return oof.groupBy(*by).agg((-F.avg(F.log(clipped))).alias("log_loss"))
+    likely = F.bool_and(F.coalesce(F.col("score").between(0.0, 1.0), F.lit(False)))
+    return (oof.groupBy(*by).agg(F.when(likely, -F.avg(F.log(clipped))).alias("log_loss"))
+            .filter(F.col("log_loss").isNotNull()))
 
 
 def binary_f1(oof: DataFrame, positive=1, by=BY) -> DataFrame:
@@ -225,6 +230,5 @@ def evaluate(oof: DataFrame, task_type: str, by=BY, positive=1, classes: list |
         scored = oof.filter(F.col("score").isNotNull())
         parts = parts.unionByName(unpivot(ranking_metrics(scored, positive, by, n), by,
                                           ("roc_auc", "average_precision")))
-        likely = scored.filter(F.col("score").between(0.0, 1.0))
-        parts = parts.unionByName(unpivot(log_loss(likely, positive, by), by, ("log_loss",)))
+        parts = parts.unionByName(unpivot(log_loss(oof, positive, by), by, ("log_loss",)))
     return parts

@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.exprs import col
 from tablewright.operators.learners import LearnedModel, Learner
 
-MAX_PIVOTS = 1_000
 BLOCK_ROWS = 2_048
-PAIRS = "query long, ref long, distance double"
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,12 +38,13 @@ def _local_top(query_keys, q, ref_keys, r, k: int, skip_same: bool) -> pd.DataFr
     want = min(k + (1 if skip_same else 0), len(ref_keys))
     limit = np.partition(rough, want - 1, axis=1)[:, want - 1] + 2 * slack
     out_q, out_r, out_d = [], [], []
+    place = np.unique(ref_keys, return_inverse=True)[1]  # keys of any type by their order
     for i in range(len(query_keys)):
         near = np.flatnonzero(rough[i] <= limit[i])
         if skip_same:
             near = near[ref_keys[near] != query_keys[i]]
         exact = np.sqrt(((r[near] - q[i]) ** 2).sum(axis=1))
-        best = np.lexsort((ref_keys[near], exact))[:k]
+        best = np.lexsort((place[near], exact))[:k]
         out_q += [query_keys[i]] * len(best)
         out_r += ref_keys[near][best].tolist()
         out_d += exact[best].tolist()
@@ -56,13 +55,13 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_same: bool = False
             n_refs: int | None = None) -> DataFrame:
     """(query, ref, distance, rank) of the k nearest refs of every query, ties by ref.
 
-    Both inputs are (key long, x array<double>); ``skip_same`` leaves out a row's own key.
+    Both inputs are (key, x array<double>) with keys of any type; ``skip_same`` leaves out a row's own key.
     Persist both if they are expensive.
     """
     n = refs.count() if n_refs is None else n_refs
     if not n:
         raise ValueError("There are no reference rows.")
-    n_pivots = max(1, min(MAX_PIVOTS, math.ceil(math.sqrt(n) / 4)))
+    n_pivots = max(1, math.ceil(math.sqrt(n) / 4))
     pivots = np.array([r["x"] for r in refs.orderBy(F.xxhash64("key"), "key").limit(n_pivots).collect()])
 
     @F.pandas_udf("struct<cell:int,away:double>")
@@ -117,14 +116,16 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_same: bool = False
 
     def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "ref": pd.Series(dtype="int64"),
+            return pd.DataFrame({"query": q["key"].iloc[:0], "ref": r["ref_key"].iloc[:0],
                                  "distance": pd.Series(dtype=float)})
         return _local_top(q["key"].to_numpy(), np.vstack(q["x"].to_numpy()),
                           r["ref_key"].to_numpy(), np.vstack(r["ref_x"].to_numpy()), k, skip_same)
 
     left = left.select("key", "x", F.col("cell").alias("c"), F.col("block").alias("b"), F.col("chunk").alias("h"))
     by = ["c", "b", "h"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, PAIRS)
+    query_type, ref_type = (t.schema["key"].dataType.simpleString() for t in (queries, refs))
+    pairs = f"query {query_type}, ref {ref_type}, distance double"
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, pairs)
     order = Window.partitionBy("query").orderBy("distance", "ref")  # limited before the shuffle
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -176,18 +177,18 @@ class _RowsModel(LearnedModel):
         key = self.column("keyCol")
         if not key:
             raise ValueError("Neighbour models need a key column.")
-        return dataset.select(col(key).cast("long").alias("key"), self.features().alias("x"))
+        return dataset.select(col(key).alias("key"), self.features().alias("x"))
 
     def attach(self, dataset: DataFrame, scored: DataFrame) -> DataFrame:
         key = self.column("keyCol")
-        return dataset.join(scored, col(key).cast("long") == F.col("query"), "left").drop("query")
+        return dataset.join(scored, col(key) == F.col("query"), "left").drop("query")
 
 
 def _rows(learner: Learner, dataset: DataFrame, *more) -> DataFrame:
     key = learner.column("keyCol")
     if not key:
         raise ValueError("Neighbour models need a key column.")
-    return dataset.select(col(key).cast("long").alias("key"),
+    return dataset.select(col(key).alias("key"),
                           vector_to_array(learner.column("featuresCol")).alias("x"), *more)
 
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tablewright.functions import fixed
 from tablewright.operators.learners import LearnedModel, Learner, moments
 
-# Small partitions are passed over several times per round, larger ones are streamed once.
-ROWS_IN_MEMORY, LOCAL_PASSES = 20_000, 10
+# Passes over each Arrow batch of a partition between two averagings, whatever the table's size.
+LOCAL_PASSES = 10
 # Rows a partition should have before averaging over more partitions pays.
 ROWS_PER_PARTITION = 5_000
 SLOTS = 32
@@ -115,18 +115,17 @@ def train(rows: DataFrame, n: int, net: Net, cfg: dict, seed: int, target: str)
     """``rows`` has x (array of double) and, unless the input is the target, y.
 
     ``cfg``: epochs, batch_size, learning_rate, alpha, noise_std, mean, std, tol. Rows are
-    standardised inside the task. Stops when the loss has not improved by tol for ten passes.
+    standardised inside the task. Stops when ten passes have not improved the loss by tol.
     """
     wanted = max(1, math.ceil(n / ROWS_PER_PARTITION))
     rows = rows.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)
-    passes = LOCAL_PASSES if n <= ROWS_IN_MEMORY else 1
     mean, std = np.asarray(cfg["mean"]), np.asarray(cfg["std"])
     state = np.concatenate([net.flat, np.zeros(2 * len(net.flat) + 1)])
     best, stale, loss = math.inf, 0, math.nan
     sizes, kind, linear_after = net.sizes, net.loss, net.linear_after
     n_classes, epochs = sizes[-1], int(cfg["epochs"])
     try:
-        for epoch in range(0, epochs, passes):
+        for epoch in range(0, epochs, LOCAL_PASSES):
             shared = state
 
             def run(batches, shared=shared, epoch=epoch):
@@ -145,13 +144,10 @@ def train(rows: DataFrame, n: int, net: Net, cfg: dict, seed: int, target: str)
                     return x, pdf["y"].to_numpy(dtype=float).reshape(-1, 1)
 
                 held = (pairs(pdf) for pdf in batches if len(pdf))  # an Arrow batch at a time
-                if passes > 1:
-                    held = list(held)
-                for _ in range(min(passes, epochs - epoch)):
-                    seen, total = 0, 0.0
-                    for x, y in held:
+                for x, y in held:
+                    for _ in range(min(LOCAL_PASSES, epochs - epoch)):
                         mine, part_loss = _adam(worker, mine, x, y, cfg, rng)
-                        seen, total = seen + len(x), total + part_loss
+                    seen, total = seen + len(x), total + part_loss
                 if seen:
                     yield pd.DataFrame({"slot": [part % SLOTS], "n": [float(seen)], "loss": [total], "state": [mine]})
 
@@ -165,7 +161,7 @@ def train(rows: DataFrame, n: int, net: Net, cfg: dict, seed: int, target: str)
             if cfg.get("tol") is not None:
                 stale = 0 if loss < best - cfg["tol"] else stale + 1
                 best = min(best, loss)
-                if stale >= max(1, 10 // passes):
+                if stale:
                     break
     finally:
         rows.unpersist()

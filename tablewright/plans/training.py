@@ -20,7 +20,7 @@ from tablewright.operators.profile import require_columns
 from tablewright.plans.zoo import Entry, MissingPackage, Shape
 
 ROWS_PER_TASK = 20_000
-OOF = ("key long, label double, prediction double, score double, scores array<double>, model string, fold int")
+OOF = ("label double, prediction double, score double, scores array<double>, model string, fold int")
 RESULTS = "model string, fold int, metrics map<string,double>, fit_seconds double, status string"
 
 
@@ -102,7 +102,7 @@ def predictions(model, data: DataFrame, name: str, fold: int) -> DataFrame:
     scores = vector_to_array(by_class) if by_class else F.lit(None).cast("array<double>")
     score = F.col("score") if "score" in out.columns else F.element_at(scores, -1) if by_class else nothing
     return out.select(
-        F.col("key").cast("long").alias("key"), "label",
+        "key", "label",
         (F.col("prediction").cast("double") if "prediction" in out.columns else nothing).alias("prediction"),
         score.cast("double").alias("score"), scores.alias("scores"), F.lit(name).alias("model"),
         F.lit(fold).alias("fold"))
@@ -176,12 +176,12 @@ def cross_train(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder:
             except Exception as problem:  # one model must not stop the others
                 failed.add(name)
                 times.append((name, fold, round(time.monotonic() - began, 4), "failed"))
-                alerts.append(f"Model '{name}' failed: {type(problem).__name__}: {str(problem)[:200]}")
+                alerts.append(f"Model '{name}' failed: {type(problem).__name__}: {problem}")
                 del active[name]
         data.release()
     if not any(t[3] == "ok" for t in times):
         raise ValueError("No model could be trained: " + "; ".join(alerts + [f"{m}: {r}" for m, r in skipped]))
-    oof = spark.read.schema(OOF).parquet(path)
+    oof = spark.read.schema(f"key {dtype_of(df, folds.key).simpleString()}, {OOF}").parquet(path)
     if failed:
         oof = oof.filter(~F.col("model").isin(*failed))
         times = [t for t in times if t[0] not in failed or t[3] == "failed"]

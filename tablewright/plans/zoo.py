@@ -21,7 +21,7 @@ from tablewright.operators.neighbors import LocalOutlierFactor, Neighbors
 from tablewright.operators.net import NetClassifier, NetRegressor
 
 # Deepest trees: Spark's limit for one tree; forests stay lower, as their size grows with it.
-TREE_DEPTH, FOREST_DEPTH = 30, 16
+TREE_DEPTH, FOREST_DEPTH, MOST_DEPTH = 30, 16, 30
 
 
 class MissingPackage(ImportError):
@@ -49,8 +49,12 @@ class Entry:
     space: dict = field(default_factory=dict)
 
 
-def _depth(p: dict, most: int) -> int:
-    return min(most, int(p["max_depth"])) if p.get("max_depth") else most
+def _depth(p: dict, default: int) -> int:
+    """The asked depth, or the default where none is asked."""
+    depth = int(p["max_depth"]) if p.get("max_depth") else default
+    if depth > MOST_DEPTH:
+        raise ValueError(f"max_depth is {depth}; trees can be {MOST_DEPTH} deep at most.")
+    return depth
 
 
 def _subset(value, default: str) -> str:

@@ -63,12 +63,10 @@ def folds_group(spark, d):
     return V.assign_folds(table(spark, d, "events"), "event_id", "group_kfold", group_column="user_id").table
 
 
-@query("folds_group_sized", """with recursive sizes as (select user_id, n, row_number() over (order by n desc, user_id) as i
-  from (select user_id, count(*) as n from events group by 1)),
-  step(i, l0, l1, l2, fold, user_id) as (select 0::bigint, 0::bigint, 0::bigint, 0::bigint, -1, null::bigint union all
-   select s.i, l0 + case when f = 0 then n else 0 end, l1 + case when f = 1 then n else 0 end, l2 + case when f = 2 then n else 0 end, f, s.user_id
-   from (select *, case when l0 <= l1 and l0 <= l2 then 0 when l1 <= l2 then 1 else 2 end as f from step) p join sizes s on s.i = p.i + 1)
-  select event_id, cast(fold as int) as fold from events join step using (user_id)""")
+@query("folds_group_sized", """with sizes as (select user_id, row_number() over (order by count(*) desc, md5('0|' || user_id), user_id) - 1 as p
+  from events group by 1)
+  select event_id, cast(case when p // 3 % 2 = 0 then p % 3 else 2 - p % 3 end as int) as fold
+  from events join sizes using (user_id)""")
 def folds_group_sized(spark, d):
     return V.assign_folds(table(spark, d, "events"), "event_id", "group_kfold", group_column="user_id",
                           n_splits=3, shuffle=False).table

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -25,3 +26,16 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     context._tablewright_shipped = True
     return spark
+
+
+def shared_path(spark: SparkSession, label: str, given: str | None = None) -> str:
+    """A new folder for intermediate tables: below the given one, else below the session's spark.checkpoint.dir.
+
+    Where neither is set, only a local session gets one, below its warehouse.
+    """
+    root = given or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all machines share.")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

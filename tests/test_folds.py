@@ -40,11 +40,14 @@ def test_groups_stay_whole(table):
         assert folds.n_splits == 5 and sizes(folds) == [20] * 5
 
 
-def test_group_dealing_beyond_the_driver(table, monkeypatch):
-    monkeypatch.setattr(V, "GROUPS_ON_DRIVER", 0)
-    folds = V.assign_folds(table, "key", "group_kfold", group_column="patient", shuffle=False)
-    V.check_folds(folds, table, "patient")
-    assert sizes(folds) == [20] * 5
+def test_groups_may_miss_and_keys_may_not(spark):
+    rows = spark.createDataFrame([(i, i % 4 or None, i % 2) for i in range(40)], "key int, patient int, label int")
+    for shuffle in (True, False):
+        folds = V.assign_folds(rows, "key", "group_kfold", group_column="patient", shuffle=shuffle, n_splits=2)
+        assert sizes(folds) == [20] * 2
+    nameless = rows.withColumn("key", F.expr("nullif(key, 3)"))
+    with pytest.raises(ValueError, match="1 rows have no 'key'"):
+        V.assign_folds(nameless, "key", "kfold")
 
 
 def test_time_split_never_trains_on_the_future(table):

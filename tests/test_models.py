@@ -184,3 +184,19 @@ def test_task_rules():
         with pytest.raises(ValueError):
             resolve_task(**bad)
 
+
+
+def test_keys_keep_their_type(signal, tmp_path):
+    named = signal.withColumn("key", F.concat(F.lit("a"), F.col("key").cast("string")))
+    found = cross(named, "classification", "label", ["knn"], tmp_path)
+    rows = found.oof.groupBy("model").agg(F.countDistinct("key").alias("n")).collect()
+    assert found.oof.schema["key"].dataType.simpleString() == "string"
+    assert {r["n"] for r in rows} == {120}
+
+
+def test_depth_reaches_the_trees():
+    shape = zoo.Shape(100, 3, 2, 1.0, "key", 42)
+    entry = zoo.select_models("classification", ["random_forest"])[0]["random_forest"]
+    assert entry.build({**entry.defaults, "max_depth": 24}, shape).getMaxDepth() == 24
+    with pytest.raises(ValueError, match="31"):
+        entry.build({**entry.defaults, "max_depth": 31}, shape)
