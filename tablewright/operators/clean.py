@@ -370,13 +370,18 @@ class CleaningModel(Model, _Options, DefaultParamsReadable, DefaultParamsWritabl
     def steps(self) -> dict:
         return json.loads(self.getOrDefault(self.plan))
 
+    def representation(self, df: DataFrame) -> DataFrame:
+        """Stripped strings and coerced numbers alone: the table that findings are about."""
+        plan, present = self.steps, set(df.columns)
+        return apply_representation(nan_to_null(df), {
+            "strip": [c for c in plan["strip"] if c in present],
+            "coerce": [c for c in plan["coerce"] if c in present]})
+
     def transform_rows(self, df: DataFrame) -> DataFrame:
         """All steps but the duplicate drop."""
         plan = self.steps
         present = set(df.columns)
-        df = apply_representation(nan_to_null(df), {
-            "strip": [c for c in plan["strip"] if c in present],
-            "coerce": [c for c in plan["coerce"] if c in present]})
+        df = self.representation(df)
         if plan["target"] and plan["target"] in present:
             df = df.filter(col(plan["target"]).isNotNull())
         df = blank_impossible(df, plan["ranges"]).drop(*plan["drop"])

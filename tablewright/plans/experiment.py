@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import fixed
-from tablewright.operators import drift, explain, features, folds as fold_ops, profile, quality, ranking
+from tablewright.operators import drift, features, folds as fold_ops, metrics, profile, quality, ranking
 from tablewright.operators.clean import Cleaner
 from tablewright.plans import training, zoo
 from tablewright.plans.latent import LatentResult, run_latent
@@ -52,7 +52,7 @@ def run_experiment(spark: SparkSession, scratch: str, *, key: str, task_type: st
                    time_budget_seconds: float | None = None, autoencoder: dict | None = None,
                    search: dict | None = None, selection_rule: str = "best_mean",
                    confidence: float = fixed.CONFIDENCE, deploy: bool = False, monitor: DataFrame | None = None,
-                   store: records.RecordStore | None = None) -> Experiment:
+                   monitored_on: date | None = None, store: records.RecordStore | None = None) -> Experiment:
     task = resolve_task(task_type, target, metric, strategy, success_threshold, time_column, group_column)
     run = Experiment(uuid.uuid4().hex, uuid.uuid4().hex, task)
     counter = 0
@@ -76,7 +76,7 @@ def run_experiment(spark: SparkSession, scratch: str, *, key: str, task_type: st
     try:
         _run(spark, scratch, run, event, key, load(spark, source_type, source_uri, dataframe), n_splits, test_size, seed,
              cleaning or {}, encoding or {}, include, exclude, params or {}, time_budget_seconds, autoencoder,
-             search, selection_rule, confidence, deploy, monitor, store, name, source_type or "dataframe", source_uri)
+             search, selection_rule, confidence, deploy, monitor, monitored_on, store, name, source_type or "dataframe", source_uri)
     except Exception:
         experiment_row("failed")
         raise
@@ -85,7 +85,8 @@ def run_experiment(spark: SparkSession, scratch: str, *, key: str, task_type: st
 
 
 def _run(spark, scratch, run, event, key, df, n_splits, test_size, seed, cleaning, encoding, include, exclude,
-         params, budget, autoencoder, search, rule, confidence, deploy, monitor, store, name, source_type, source_uri):
+         params, budget, autoencoder, search, rule, confidence, deploy, monitor, monitored_on, store, name, source_type,
+         source_uri):
     task, parts, target = run.task, run.parts, run.task.target
     started = datetime.now(timezone.utc)
     # -- look at the table
@@ -95,9 +96,12 @@ def _run(spark, scratch, run, event, key, df, n_splits, test_size, seed, cleanin
     event("data_profile", "data_profiling", "One row per column.", {"columns": parts["profile"].count()})
     # -- clean it
     run.cleaning = Cleaner.of(target, **cleaning).fit(df)
-    clean = run.cleaning.transform(df)
+    # Written once: profile, folds, training and drift all read the clean rows.
+    cleaned, place = run.cleaning.transform(df), f"{scratch}/{run.run_id}/clean"
+    cleaned.write.parquet(place)
+    clean = spark.read.schema(cleaned.schema).parquet(place)
     parts["actions"], parts["clean_alerts"] = run.cleaning.actions(spark), run.cleaning.alerts(spark)
-    parts["quality"] = quality.quality_report(df, target)
+    parts["quality"] = quality.quality_report(run.cleaning.representation(df), target)
     parts["clean"] = clean
     event("cleaning", "data_cleaning", "Steps are repeatable from the plan.",
           {"actions": [dict(zip(("operation", "column", "rows", "value", "reason"), a[1:]))
@@ -150,6 +154,17 @@ def _run(spark, scratch, run, event, key, df, n_splits, test_size, seed, cleanin
     if best is None:
         raise ValueError(f"No model has the metric '{task.metric}'.")
     event("evaluator", "model_evaluation", f"Rule {rule}.", {"best_model": best["model"]})
+    of_best = parts["oof"].filter(F.col("model") == best["model"])
+    if task.task_type == "regression":
+        parts["residuals"] = metrics.residuals(of_best)
+    else:
+        parts["confusion"] = metrics.confusion(of_best)
+    parts["secondary"] = secondary_means(parts["results"], task.metric)
+    parts["left_out"] = spark.createDataFrame(run.training.skipped, "model string, reason string")
+    if task.task_type != "anomaly":
+        parts["explanation"] = training.fold_explanation(
+            clean, run.folds, run.encoder, models[best["model"]], run.training.params[best["model"]], task.task_type,
+            target, f"{scratch}/{run.run_id}", seed)
     # -- ship
     if deploy:
         model_name, entry, own = training.selected_model(chosen, run.training.params, models)
@@ -162,19 +177,24 @@ def _run(spark, scratch, run, event, key, df, n_splits, test_size, seed, cleanin
         if monitor is not None:
             parts["drift"] = drift.drift_columns(parts["drift_reference"], monitor)
             parts["retraining"] = drift.retraining_due(
-                drift.summarise(parts["drift"]), date.today(), date.today(), metric_met=best["meets_success_threshold"])
+                drift.summarise(parts["drift"]), date.today(), monitored_on or date.today(), metric_met=best["meets_success_threshold"])
         event("deployment", "model_deployment", model_name, {"artifact": run.artifact})
     # -- report
-    parts["notes"] = notes(spark, run, alerts)
+    parts["notes"] = notes(spark, run, alerts + run.training.alerts)
     parts["results_table"] = records.result_table(summary)
     parts["model_card"] = records.model_card(chosen, name, task.task_type, target, task.metric, seed)
     event("report", "report_generation", f"Recommended: {best['model']}.")
     if store is not None:
         rows = records.result_rows(parts["results"].filter(F.col("metrics").isNotNull()), run.run_id)
-        store.append("model_results", rows.select(
+        own = spark.createDataFrame([(m, json.dumps(p, sort_keys=True, default=str))
+                                     for m, p in run.training.params.items()], "model_name string, hyperparameters string")
+        digest = parts["artifact"].first()["sha256"] if deploy else None
+        shipped = F.col("fold").isNull() & (F.col("model_name") == best["model"])
+        store.append("model_results", rows.join(F.broadcast(own), "model_name", "left").select(  # one row per model
             F.xxhash64("run_id", "model_name", F.coalesce("fold", F.lit(-1))).alias("id"), "run_id", "model_name", "fold",
-            F.lit(None).cast("string").alias("hyperparameters"), "metrics_json", "fit_seconds",
-            F.lit(run.artifact).cast("string").alias("artifact_path"), F.lit(None).cast("string").alias("artifact_hash"),
+            "hyperparameters", "metrics_json", "fit_seconds",
+            F.when(shipped, F.lit(run.artifact).cast("string")).alias("artifact_path"),
+            F.when(shipped, F.lit(digest).cast("string")).alias("artifact_hash"),
             F.current_timestamp().alias("created_at")))
         store.append("reports", [dict(
             id=uuid.uuid4().hex, experiment_id=run.id, run_id=run.run_id, format="json", content=None,
@@ -185,6 +205,12 @@ def _run(spark, scratch, run, event, key, df, n_splits, test_size, seed, cleanin
                                                                              task.metric: best["primary_mean"]}))])
 
 
+def secondary_means(results: DataFrame, primary: str) -> DataFrame:
+    """(model, metric, mean): mean over the folds of every metric but the primary one."""
+    return (results.select("model", F.explode("metrics").alias("metric", "value")).filter(F.col("metric") != primary)
+            .groupBy("model", "metric").agg(F.round(F.avg("value"), 6).alias("mean")))
+
+
 def notes(spark, run: Experiment, alerts: list[str]) -> DataFrame:
     """(pos, kind, text): risks, limits and next steps, each text once, in order."""
     risks, limits, steps = [], [], []
@@ -203,6 +229,9 @@ def notes(spark, run: Experiment, alerts: list[str]) -> DataFrame:
         steps.append("Enlarge the table.")
     limits += [f"[cleaning] {r['alert']}: {r['column']}" for r in run.parts["clean_alerts"].collect()]
     limits += [f"[split] {a}" for a in run.folds.alerts] + [f"[training] {a}" for a in alerts]
+    limits += [f"[training] '{m}' is left out: {r}" for m, r in run.training.skipped]
+    if run.latent is not None:
+        limits += [f"[autoencoder] {a}" for a in run.latent.alerts]
     steps += ["Monitor drift and set a retraining trigger.", "Review the decision and its risks by hand."]
     rows = [(k, t) for k, ts in (("risk", risks), ("limit", limits), ("next_step", steps)) for t in ts]
     table = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "pos int, kind string, text string")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import fixed
 from tablewright.functions.exprs import as_text, col, dtype_of, nan_to_null
+from tablewright.operators.explain import explain
 from tablewright.operators.folds import Folds, check_folds
 from tablewright.operators.metrics import anomaly_positive, evaluate
 from tablewright.operators.profile import require_columns
@@ -108,6 +109,26 @@ def predictions(model, data: DataFrame, name: str, fold: int) -> DataFrame:
         F.lit(fold).alias("fold"))
 
 
+def _foretold(start: float, fold: int, n_splits: int) -> float:
+    """Seconds that all folds take as those begun foretell: in the first fold what it took so far for each fold, later
+    the time spent."""
+    spent = time.monotonic() - start
+    return spent * n_splits if fold == 0 else spent
+
+
+def fold_explanation(df: DataFrame, folds: Folds, encoder: Estimator, entry: Entry, params: dict, task_type: str,
+                     target: str | None, scratch: str, seed: int = fixed.SEED) -> DataFrame:
+    """Top features of one model fitted on the training rows of fold 0 and looked at on its test rows."""
+    df = nan_to_null(df)
+    data = encode_fold(folds.attach(df, f"{scratch}/explained"), folds, 0, encoder, learn_labels(df, task_type, target),
+                       seed)
+    model = entry.build({**entry.defaults, **params}, data.shape).fit(data.train)
+    found = explain(model, data.test, data.encoder.feature_names(), task_type, seed=seed)
+    kept = df.sparkSession.createDataFrame(found.collect(), found.schema)  # a few rows
+    data.release()
+    return kept
+
+
 @dataclass
 class CrossResult:
     results: DataFrame          # (model, fold, metrics, fit_seconds, status)
@@ -143,7 +164,7 @@ def cross_train(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder:
     A fold is encoded once and shared by all models, one fold at a time. Predictions are
     written below ``scratch`` (a shared folder), so metrics never run a model again. A model
     that fails is recorded and the others go on; with a time budget, models whose turn comes
-    after it (as the first fold foretells) are skipped.
+    after it (in the first fold: as it foretells) are skipped.
     """
     df = nan_to_null(df)
     check_folds(folds, df)
@@ -159,8 +180,7 @@ def cross_train(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder:
     for fold in range(folds.n_splits):
         data = encode_fold(table, folds, fold, encoder, labels, seed)
         for name, entry in list(active.items()):
-            if fold == 0 and time_budget_seconds is not None and (
-                    (time.monotonic() - start) * folds.n_splits > time_budget_seconds):
+            if time_budget_seconds is not None and _foretold(start, fold, folds.n_splits) > time_budget_seconds:
                 skipped.append((name, "time budget spent"))
                 del active[name]
                 continue

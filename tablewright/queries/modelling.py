@@ -14,7 +14,7 @@ from tablewright.plans import latent, search, training, zoo
 from tablewright.plans.experiment import run_experiment
 from tablewright.queries.base import rounded, scratch, table
 from tablewright.sources import tables
-from tablewright.streaming.monitor import drift_stream
+from tablewright.streaming import monitor
 
 QUERIES, ORACLE = {}, {}
 
@@ -302,13 +302,29 @@ def experiment_run(spark, d):
     return run.parts["results_table"]
 
 
-@query("stream_drift")
+@query("stream_drift", """with q as (select list_sort(list_distinct(quantile_cont(value,
+  [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) as u from events where ts < '2024-01-16'),
+  items as (select ts, 'value' as "column", cast(len(list_filter(u[2:-2], lambda g: g <= value)) as varchar) as item from events, q
+   union all select ts, 'event_type', event_type from events),
+  e as (select "column", item, greatest(count(*)::double / sum(count(*)) over (partition by "column"), 1e-6) as e
+   from items where ts < '2024-01-16' group by 1, 2),
+  n as (select date_trunc('day', ts) as w, "column", item, count(*)::double as n from items group by all),
+  t as (select w, "column", sum(n) as t from n group by all),
+  grid as (select w, "column", item from t join e using ("column") union select w, "column", item from n),
+  s as (select w, "column", coalesce(e, 1e-6) as e, greatest(coalesce(n / t, 1e-6), 1e-6) as a from grid
+   join t using (w, "column") left join e using ("column", item) left join n using (w, "column", item)),
+  p as (select w, "column", round(sum((a - e) * ln(a / e)), 6) as psi from s group by all)
+  select cast(w as date) as day, "column", round(psi, 5) as psi, psi >= 0.2 as drifted from p""")
 def stream_drift(spark, d):
     """events as a stream: drift of each day against the first half."""
     events = table(spark, d, "events")
     reference = drift_reference(events.filter("ts < '2024-01-16'").select("value", "event_type"))
+    # A table's files come in any order, so a row may be as late as its times are apart.
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    delay = f"{int((last - first).total_seconds()) + 1} seconds" if first else "0 seconds"
     source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     folder = scratch(spark, "stream")
-    running = drift_stream(source.select("ts", "value", "event_type"), reference, "ts", f"{folder}/out", f"{folder}/state")
-    running.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    monitor.drift_stream(source.select("ts", "value", "event_type"), reference, "ts", f"{folder}/out",
+                         f"{folder}/state", delay=delay).awaitTermination()
+    found = monitor.stream_drift(spark, f"{folder}/out", reference)
+    return rounded(found.select(F.to_date("window_start").alias("day"), "column", "psi", "drifted"), psi=5)

@@ -1,9 +1,13 @@
-"""The fitted steps on a stream: cleaning, prediction, and drift per window of event time."""
+"""The fitted steps on a stream: cleaning, prediction, and drift per window of event time.
+
+The stream keeps counters per window and bin and writes those that changed; drift is a batch query over the newest
+counter of each. So the last window is there without waiting for a later row to close it.
+"""
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import fixed
@@ -12,6 +16,10 @@ from tablewright.operators.clean import CleaningModel
 from tablewright.operators.drift import _bin
 
 
+#: Categories of a column that a stream may watch.
+MOST_ITEMS = 10_000
+
+
 def clean_stream(stream: DataFrame, model: CleaningModel) -> DataFrame:
     """Row-wise cleaning; duplicates need a key and a watermark, so they are left in."""
     return model.transform_rows(stream)
@@ -24,8 +32,12 @@ def predict_stream(stream: DataFrame, model: PipelineModel) -> DataFrame:
 def window_counts(stream: DataFrame, reference: DataFrame, time_column: str, window: str, delay: str) -> DataFrame:
     """(window_start, column, item, n) of the monitored columns, late rows up to ``delay``.
 
-    State is one counter per window and bin or category, whatever the number of rows.
+    State is one counter per window and bin or category, whatever the number of rows; a column with more than
+    MOST_ITEMS categories in the reference is refused, as its state would grow with the rows.
     """
+    wide = reference.groupBy("column").count().filter(F.col("count") > MOST_ITEMS).select("column").collect()
+    if wide:
+        raise ValueError(f"Too many categories to watch on a stream: {sorted(r['column'] for r in wide)}.")
     stream = nan_to_null(stream)
     edges: dict[str, list[float]] = {}
     for r in reference.filter(F.col("kind") == "numeric").select("column", "lower").collect():
@@ -44,7 +56,7 @@ def window_counts(stream: DataFrame, reference: DataFrame, time_column: str, win
 
 
 def window_psi(counts: DataFrame, reference: DataFrame, threshold: float = fixed.PSI_THRESHOLD) -> DataFrame:
-    """(window_start, column, psi, drifted) from closed windows."""
+    """(window_start, column, psi, drifted) of each window in the counters."""
     by = ["window_start", "column"]
     totals = counts.groupBy(*by).agg(F.sum("n").alias("all"))
     floor = F.lit(fixed.PSI_FLOOR)
@@ -59,15 +71,24 @@ def window_psi(counts: DataFrame, reference: DataFrame, threshold: float = fixed
 
 
 def drift_stream(stream: DataFrame, reference: DataFrame, time_column: str, out: str, checkpoint: str,
-                 window: str = "1 day", delay: str = "1 hour", threshold: float = fixed.PSI_THRESHOLD):
-    """Start a query that appends the drift of every closed window to the table at ``out``.
+                 window: str = "1 day", delay: str = "1 hour"):
+    """Start a query that writes the changed counters of every micro-batch below ``out``; see stream_drift.
 
-    Each micro-batch writes its own folder, so a batch that runs again replaces itself.
+    Each micro-batch writes its own folder, so a batch that runs again replaces itself. Rows more than ``delay`` behind
+    the newest are late and left out; for files in any order, ``delay`` is the span of their times.
     """
     counts = window_counts(stream, reference, time_column, window, delay)
 
     def emit(batch: DataFrame, number: int) -> None:
-        window_psi(batch, reference, threshold).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return (counts.writeStream.outputMode("append").foreachBatch(emit)
+    return (counts.writeStream.outputMode("update").foreachBatch(emit)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def stream_drift(spark: SparkSession, out: str, reference: DataFrame,
+                 threshold: float = fixed.PSI_THRESHOLD) -> DataFrame:
+    """(window_start, column, psi, drifted) of every window that the stream has written counters of."""
+    by = ["window_start", "column", "item"]
+    newest = spark.read.parquet(out).groupBy(*by).agg(F.max_by("n", "batch").alias("n"))
+    return window_psi(newest, reference, threshold)

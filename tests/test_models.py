@@ -16,7 +16,7 @@ from tablewright.plans.experiment import run_experiment
 from tablewright.plans.latent import run_latent
 from tablewright.plans.task import resolve_task
 from tablewright.sources.records import RecordStore
-from tablewright.streaming.monitor import drift_stream
+from tablewright.streaming.monitor import drift_stream, stream_drift
 
 
 @pytest.fixture(scope="module")
@@ -157,6 +157,11 @@ def test_experiment_end_to_end(spark, signal, tmp_path):
     assert store.experiment(run.id).first()["status"] == "finished" and store.runs_of(run.id).first()["status"] == "finished"
     assert store.ranking(run.run_id).count() == 2 and store.latest_report(run.id).count() == 1
     assert store.latest_dataset(run.id).first()["content_hash"]
+    total = stored.filter("fold is null and artifact_path is not null").collect()
+    assert [r["model_name"] for r in total] == [run.parts["chosen"].first()["model"]] and total[0]["artifact_hash"]
+    assert stored.filter("hyperparameters is null").count() == 0
+    assert run.parts["explanation"].count() > 0 and run.parts["secondary"].count() > 0
+    assert run.parts["confusion"].groupBy().sum("n").first()[0] == 120
     assert training.predict(run.model, signal).filter("prediction = label").count() > 90
 
 
@@ -169,7 +174,8 @@ def test_stream(spark, tmp_path):
     reference = drift_reference(df.filter("ts < '2024-01-03'").select("x", "c"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     drift_stream(stream, reference, "ts", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
+    got = stream_drift(spark, str(tmp_path / "out"), reference)
+    assert {r["window_start"].day for r in got.collect()} == {1, 2, 3, 4, 5, 6}
     moved = [(r["window_start"].day, r["column"]) for r in got.filter("drifted and column = 'x'").collect()]
     assert (4, "x") in moved and (1, "x") not in moved
 
