@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 #: Retrieved: a passage with this share of the score that the item itself would get.
 THRESHOLD = 0.6
-#: Verified: share of the item's five-word shingles, and of its question's and its answer's words.
-OVERLAP = 0.8
+#: Verified: share of the item's five-word shingles, and of the distinct words of its question and of its answer.
+OVERLAP, PART_OVERLAP = 0.8, 0.5
 SHINGLE = 5
 #: Words from one passage to the next.
 STRIDE = 32
@@ -202,7 +202,7 @@ def leaks(index: Index, text: str, threshold: float = THRESHOLD, overlap: float
             begin = int(block) * index.block
             for item, share in wand(index, query.tolist(), threshold, begin, min(begin + index.block, len(index.ids))):
                 seen = overlaps(index, item, terms[lo:hi])
-                if min(seen) >= overlap - 1e-9 and (share, *seen) > out.get(item, ()):
+                if seen[0] >= overlap - 1e-9 and min(seen[1:]) >= PART_OVERLAP and (share, *seen) > out.get(item, ()):
                     out[item] = (share, *seen)
     return out
 
