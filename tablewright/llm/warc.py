@@ -30,6 +30,8 @@ LEAST_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_CHUNK = 1 << 20
+#: Tasks of a read; beyond it a task reads several ranges.
+MOST_TASKS = 50_000
 
 RECORDS = ("warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, "
            "http_length long, payload binary")
@@ -234,5 +236,6 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
     cut = files.select("path", "length", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     cut = cut.withColumn("end", F.least(F.col("start") + range_bytes, F.col("length")))
-    # one range for each task: ranges are few bytes, their records are not
-    return cut.repartition("path", "start").mapInArrow(_read, RECORDS)
+    # A number of its own: by their few bytes the ranges would be put together, while their records are many.
+    tasks = max(1, min(cut.count(), MOST_TASKS))
+    return cut.repartition(tasks, "path", "start").mapInArrow(_read, RECORDS)
