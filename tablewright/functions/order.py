@@ -222,13 +222,12 @@ def running_totals(df: DataFrame, by: list[str], order: str, sums: dict[str, str
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores, for work heavy on the CPU.
 
-    Only where it is read from fewer files than that; a large table has more and is left
-    alone. Asks the plan for its files and runs nothing.
+    Only where its plan has fewer partitions than that; a large table has more and is left alone. Nothing is run.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -46,6 +46,9 @@ CODES_PER_TASK = 200_000
 GROUP_OF_TYPE = {"numeric": "numeric", "categorical": "categorical", "boolean": "categorical",
                  "datetime": "datetime", "text": "text"}
 
+# Categories of all one-hot columns of a table; each is a column of the vector and a row on the driver.
+MOST_CATEGORIES = 100_000
+
 
 def resolve_options(options: dict) -> dict:
     options = dict(options)
@@ -263,8 +266,10 @@ class TableEncoder(Estimator, _Shared, DefaultParamsReadable, DefaultParamsWrita
     def _fit_onehot(cls, df, columns, fills, cfg):
         limit = cfg["one_hot_max_categories"]
         counts: dict[str, list] = {c: [] for c in columns}
-        # At most high_cardinality_threshold rows per column.
-        for r in value_counts(cls._filled(df, columns, fills), columns).collect():
+        found = value_counts(cls._filled(df, columns, fills), columns).limit(MOST_CATEGORIES + 1).collect()
+        if len(found) > MOST_CATEGORIES:
+            raise ValueError(f"One-hot columns have more than {MOST_CATEGORIES} categories: {columns}.")
+        for r in found:
             counts[r["column"]].append((r["value"], r["count"]))
         result = []
         for c in columns:

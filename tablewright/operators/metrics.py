@@ -114,8 +114,9 @@ def precision_at_k(oof: DataFrame, positive=1, by=BY, key: str = "key", seed: in
         F.sum("pos").alias("hits"))
     cut = at.filter((F.col("above") < F.col("k")) & (F.col("above") + F.col("own") > F.col("k"))).select(
         *by, "score", (F.col("k") - F.col("above")).alias("room"))
+    # One row per group on the right, so that a score that most rows share is no single task.
     rows = oof.select(*by, col(key), "label", F.col("score").cast("double").alias("score"))
-    tied = hash_rank(rows.join(cut, [*by, "score"]), key, n, seed, by)
+    tied = hash_rank(rows.join(F.broadcast(cut), [*by, "score"]), key, n, seed, by)
     edge = tied.filter(F.col("rank") < F.col("room")).groupBy(*by).agg(
         F.sum((F.col("label") == positive).cast("long")).alias("hits"))
     hits = whole.unionByName(edge).groupBy(*by).agg(F.sum("hits").alias("hits"))

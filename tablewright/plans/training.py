@@ -21,6 +21,8 @@ from tablewright.operators.profile import require_columns
 from tablewright.plans.zoo import Entry, MissingPackage, Shape
 
 ROWS_PER_TASK = 20_000
+# Classes a target may have; one row each reaches the driver.
+MOST_CLASSES = 10_000
 OOF = ("label double, prediction double, score double, scores array<double>, model string, fold int")
 RESULTS = "model string, fold int, metrics map<string,double>, fit_seconds double, status string"
 
@@ -55,7 +57,10 @@ def learn_labels(df: DataFrame, task_type: str, target: str | None) -> Labels:
     labels = Labels(task_type, target)
     if target and task_type == "classification":
         # One row per class; numbers in their own order, text by its own.
-        found = df.filter(col(target).isNotNull()).select(col(target).alias("v")).distinct().orderBy("v")
+        found = df.filter(col(target).isNotNull()).select(col(target).alias("v")).distinct()
+        if found.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+            raise ValueError(f"Target '{target}' has more than {MOST_CLASSES} classes.")
+        found = found.orderBy("v")
         labels.classes = [r["v"] for r in found.select(as_text(F.col("v"), dtype_of(df, target)).alias("v")).collect()]
         if len(labels.classes) < 2:
             raise ValueError(f"Target '{target}' has fewer than 2 classes.")

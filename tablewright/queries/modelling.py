@@ -118,7 +118,7 @@ def odd_events(spark, d):
                                             (F.col("value") > 150).cast("int").alias("odd"))
 
 
-def crossed(spark, d, df, key, task_type, target, include, n_splits=3, **options):
+def crossed(spark, d, df, key, task_type, target, include, n_splits=5, **options):
     split = folds.assign_folds(df, key, task_type=task_type, target=target, n_splits=n_splits)
     models, _ = zoo.select_models(task_type, include)
     return training.cross_train(df, split, models, features.feature_encoder(df, target), task_type, target,
@@ -138,25 +138,24 @@ def zoo_linear_models(spark, d):
 @query("zoo_tree_models")
 def zoo_tree_models(spark, d):
     return flat(crossed(spark, d, labelled(spark, d), "doc_id", "classification", "quality",
-                        ["decision_tree", "random_forest"], params={"random_forest": {"n_estimators": 50}}).results)
+                        ["decision_tree", "random_forest"]).results)
 
 
 @query("zoo_boosting")
 def zoo_boosting(spark, d):
     return flat(crossed(spark, d, labelled(spark, d), "doc_id", "classification", "quality",
-                        ["hist_gradient_boosting"], 2, params={"hist_gradient_boosting": {"max_iter": 10}}).results)
+                        ["hist_gradient_boosting"]).results)
 
 
 @query("zoo_classifiers")
 def zoo_classifiers(spark, d):
     return flat(crossed(spark, d, labelled(spark, d), "doc_id", "classification", "quality",
-                        ["logistic_regression", "naive_bayes", "knn", "svm"], 2).results)
+                        ["logistic_regression", "naive_bayes", "knn", "svm"]).results)
 
 
 @query("zoo_nets")
 def zoo_nets(spark, d):
-    return flat(crossed(spark, d, labelled(spark, d), "doc_id", "classification", "quality", ["mlp"], 2,
-                        params={"mlp": {"max_iter": 100}}).results)
+    return flat(crossed(spark, d, labelled(spark, d), "doc_id", "classification", "quality", ["mlp"]).results)
 
 
 @query("zoo_regressors")
@@ -164,15 +163,13 @@ def zoo_regressors(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
     return flat(crossed(spark, d, p, "p_partkey", "regression", "p_retailprice",
                         ["decision_tree_regressor", "random_forest_regressor", "hist_gradient_boosting_regressor", "svr",
-                         "knn_regressor", "mlp_regressor"], 2, params={
-                             "random_forest_regressor": {"n_estimators": 20}, "mlp_regressor": {"max_iter": 100},
-                             "hist_gradient_boosting_regressor": {"max_iter": 10}}).results)
+                         "knn_regressor", "mlp_regressor"]).results)
 
 
 @query("zoo_anomaly")
 def zoo_anomaly(spark, d):
     return flat(crossed(spark, d, odd_events(spark, d), "event_id", "anomaly", "odd",
-                        ["isolation_forest", "local_outlier_factor", "one_class_svm"], 2).results)
+                        ["isolation_forest", "local_outlier_factor", "one_class_svm"]).results)
 
 
 @query("oof_predictions", """select key, label, count(*) as models from (select doc_id as key, cast(quality as double) as label,
@@ -184,6 +181,39 @@ def oof_predictions(spark, d):
     return oof.groupBy("key", "label").agg(F.count(F.lit(1)).alias("models"))
 
 
+RULE = """with f as (select cast((row_number() over (order by md5('42|' || event_id), event_id) - 1) % 5 as int) as fold from events)
+  select model, fold, count(*) as predicted, true as found from f, (select unnest([{models}]) as model) group by all"""
+RULE_CLASSIFIERS = ("logistic_regression", "decision_tree", "random_forest", "naive_bayes", "mlp")
+RULE_REGRESSORS = ("linear_regression", "decision_tree_regressor", "mlp_regressor")
+
+
+def _rule_found(spark, d, task_type, models, metric):
+    """Rows predicted for each model and fold, and whether the model has found the rule behind the target."""
+    e = table(spark, d, "events").select(
+        "event_id", "event_type", (F.col("user_id") % 7).cast("double").alias("u"),
+        (F.lit(5.0) * (F.col("event_type") == "click").cast("int") + F.col("user_id") % 7).alias("size"),
+        F.col("event_type").isin("click", "view").cast("int").alias("kind"))
+    target = "kind" if task_type == "classification" else "size"
+    df = e.drop("size" if target == "kind" else "kind")
+    split = folds.assign_folds(df, "event_id", "kfold")
+    chosen, _ = zoo.select_models(task_type, list(models))
+    found = training.cross_train(df, split, chosen, features.feature_encoder(df, target), task_type, target,
+                                 scratch(spark, "rule"))
+    rows = found.oof.groupBy("model", "fold").agg(F.countDistinct("key").alias("predicted"))
+    good = found.results.select("model", "fold", (F.col("metrics")[metric] > 0.95).alias("found"))
+    return rows.join(good, ["model", "fold"])
+
+
+@query("rule_classifiers", RULE.format(models=", ".join(f"'{m}'" for m in RULE_CLASSIFIERS)))
+def rule_classifiers(spark, d):
+    return _rule_found(spark, d, "classification", RULE_CLASSIFIERS, "accuracy")
+
+
+@query("rule_regressors", RULE.format(models=", ".join(f"'{m}'" for m in RULE_REGRESSORS)))
+def rule_regressors(spark, d):
+    return _rule_found(spark, d, "regression", RULE_REGRESSORS, "r2")
+
+
 @query("train_ranking")
 def train_ranking(spark, d):
     found = crossed(spark, d, labelled(spark, d), "doc_id", "classification", "quality",
@@ -225,7 +255,7 @@ def search_trials(spark, d):
 
 
 def _latent(spark, d, df, key, use_case, **options):
-    split = folds.assign_folds(df, key, "kfold", n_splits=2)
+    split = folds.assign_folds(df, key, "kfold")
     target = options.get("target")
     return latent.run_latent(df, split, features.feature_encoder(df, target), use_case, scratch(spark, "latent"),
                              **options)
@@ -234,7 +264,7 @@ def _latent(spark, d, df, key, use_case, **options):
 @query("latent_features")
 def latent_features(spark, d):
     return _latent(spark, d, labelled(spark, d), "doc_id", "latent_features", task_type="classification",
-                   target="quality", metric="roc_auc", epochs=10).comparison
+                   target="quality", metric="roc_auc").comparison
 
 
 @query("latent_denoising")
@@ -242,12 +272,12 @@ def latent_denoising(spark, d):
     c = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("p"), F.avg("l_discount").alias("d"),
         F.sum(F.col("l_quantity") * 2 + F.col("l_tax")).alias("r"))
-    return _latent(spark, d, c, "l_orderkey", "denoising", epochs=10, latent_dim=3).comparison
+    return _latent(spark, d, c, "l_orderkey", "denoising").comparison
 
 
 @query("latent_anomaly")
 def latent_anomaly(spark, d):
-    return _latent(spark, d, odd_events(spark, d), "event_id", "anomaly_detection", target="odd", epochs=5).comparison
+    return _latent(spark, d, odd_events(spark, d), "event_id", "anomaly_detection", target="odd").comparison
 
 
 @query("isolation_scores")
@@ -258,7 +288,7 @@ def isolation_scores(spark, d):
 
 @query("explain_tree")
 def explain_tree(spark, d):
-    return _explained(spark, d, "random_forest", {"n_estimators": 50})
+    return _explained(spark, d, "random_forest", {})
 
 
 @query("explain_linear")
@@ -273,7 +303,7 @@ def explain_permutation(spark, d):
 
 def _explained(spark, d, name, params):
     df = labelled(spark, d)
-    split = folds.assign_folds(df, "doc_id", "stratified_kfold", target="quality", n_splits=3)
+    split = folds.assign_folds(df, "doc_id", "stratified_kfold", target="quality")
     labels = training.learn_labels(df, "classification", "quality")
     data = training.encode_fold(df, split, 0, features.feature_encoder(df, "quality"), labels, 42)
     entry = zoo.CATALOGUE["classification"][name]
@@ -297,7 +327,7 @@ def explain_top(spark, d):
 @query("experiment_run")
 def experiment_run(spark, d):
     run = run_experiment(spark, scratch(spark, "experiment"), key="doc_id", task_type="classification",
-                         target="quality", dataframe=labelled(spark, d), n_splits=3,
+                         target="quality", dataframe=labelled(spark, d),
                          include=["logistic_regression", "decision_tree"])
     return run.parts["results_table"]
 
