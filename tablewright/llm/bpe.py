@@ -14,6 +14,7 @@ import base64
 import heapq
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -160,77 +161,94 @@ def frequent_words(docs: DataFrame, pattern: str, most: int = FREQUENT, folder:
 
 # -- encoding ----------------------------------------------------------------------------
 
-def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one word: the adjacent pair of lowest rank, the first of equals, is merged until none is left."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    if len(word) >= LONG:
-        return _merge_long(word, ranks)
-    parts = [word[i:i + 1] for i in range(len(word))]
-    none = len(ranks) + 1
-    pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-    while pairs:
-        low = min(pairs)
-        if low == none:
-            break
-        k = pairs.index(low)
-        parts[k:k + 2] = [parts[k] + parts[k + 1]]
-        del pairs[k]
-        if k:
-            pairs[k - 1] = ranks.get(parts[k - 1] + parts[k], none)
-        if k < len(pairs):
-            pairs[k] = ranks.get(parts[k] + parts[k + 1], none)
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same by a heap over linked parts: n log n for a word of any length."""
-    n = len(word)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = []
-
-    def offer(a: int) -> None:
-        b = after[a]
-        if b < n:
-            rank = ranks.get(word[a:end[b]])
-            if rank is not None:
-                heapq.heappush(heap, (rank, a, end[a], end[b]))
-
-    for a in range(n - 1):
-        offer(a)
-    while heap:
-        _, a, middle, stop = heapq.heappop(heap)
-        b = after[a]
-        if end[a] != middle or b >= n or b != middle or end[b] != stop:
-            continue
-        end[a], after[a] = stop, after[b]
-        if after[b] < n:
-            before[after[b]] = a
-        end[b] = -1
-        offer(a)
-        if before[a] >= 0:
-            offer(before[a])
-    out, a = [], 0
-    while a < n:
-        out.append(ranks[word[a:end[a]]])
-        a = after[a]
-    return out
+class Merges:
+    """The rank map for merging by token ids: bytes as ids, and the rank of each pair of ids that makes a piece."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.whole = ranks
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.size = max(ranks.values()) + 1
+        self.pairs = {}
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left * self.size + right] = rank
+
+    def of(self, word: bytes) -> list[int]:
+        """Token ids of a word: the adjacent pair of lowest rank, the first of equals, is merged until none is left."""
+        whole = self.whole.get(word)
+        if whole is not None:
+            return [whole]
+        if len(word) >= LONG:
+            return self._of_long(word)
+        size, rank_of = self.size, self.pairs.get
+        ids = [self.bytes[b] for b in word]
+        ranks = [rank_of(a * size + b, size) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == size:
+                break
+            k = ranks.index(low)
+            ids[k:k + 2] = [low]  # a piece's rank is its id
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank_of(ids[k - 1] * size + low, size)
+            if k < len(ranks):
+                ranks[k] = rank_of(low * size + ids[k + 1], size)
+        return ids
+
+    def _of_long(self, word: bytes) -> list[int]:
+        """The same by a heap over linked places: n log n for a word of any length."""
+        n, size = len(word), self.size
+        ids, before, after = [self.bytes[b] for b in word], list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = after[a]
+            if b < n:
+                rank = self.pairs.get(ids[a] * size + ids[b])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, a, ids[a], ids[b]))
+
+        for a in range(n - 1):
+            offer(a)
+        while heap:
+            rank, a, left, right = heapq.heappop(heap)
+            b = after[a]
+            if ids[a] != left or b >= n or ids[b] != right:
+                continue  # one of both was merged since
+            ids[a], ids[b], after[a] = rank, -1, after[b]
+            if after[b] < n:
+                before[after[b]] = a
+            offer(a)
+            if before[a] >= 0:
+                offer(before[a])
+        out, a = [], 0
+        while a < n:
+            out.append(ids[a])
+            a = after[a]
+        return out
 
 
 class _Ids(dict):
-    """Chunk -> its token ids as bytes of 32-bit numbers, remembered for a bounded number of chunks."""
+    """Chunk -> its token ids as bytes of 32-bit numbers, remembered for a bounded number of chunks and words."""
 
-    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, known: dict[str, bytes], merges: Merges, pattern: str) -> None:
         super().__init__()
-        self.known, self.ranks, self.cut = known, ranks, regex.compile(pattern)
+        self.known, self.merges, self.cut = known, merges, regex.compile(pattern)
+        self.rare: dict[str, bytes] = {}
 
     def of_words(self, text: str) -> bytes:
         out = []
         for word in self.cut.findall(text):
-            ids = self.known.get(word)
+            ids = self.known.get(word) or self.rare.get(word)
             if ids is None:
-                ids = np.array(merge_word(word.encode(), self.ranks), dtype="<i4").tobytes()
+                if len(self.rare) >= HELD:
+                    self.rare.clear()
+                ids = array("i", self.merges.of(word.encode())).tobytes()
+                if len(word) <= LONG:
+                    self.rare[word] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -241,9 +259,9 @@ class _Ids(dict):
         return ids
 
 
-def _encode(known, ranks, pattern: str):
+def _encode(known, merges, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(known.value, ranks.value, pattern)
+        ids = _Ids(known.value, merges.value, pattern)
         for batch in batches:
             lists = []
             for text in batch.column("text").to_pylist():
@@ -268,9 +286,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("doc_id"), full_text(F.col(text_col)).alias("text"))
     literal = Ranks(spark, ranks)
     words = frequent_words(rows, pattern, most, folder)
-    coded = words.repartition("word").select("word", encode_word(F.col("word").cast("binary"), literal).alias("ids"))
-    known = {r["word"]: np.array(r["ids"], dtype="<i4").tobytes() for r in coded.toLocalIterator()}
-    sent = [spark.sparkContext.broadcast(x) for x in (known, ranks)]
+    # as many tasks as cores: each has the literal to load, and the words are bounded
+    coded = words.repartition(spark.sparkContext.defaultParallelism).select("word", encode_word(F.col("word").cast("binary"), literal).alias("ids"))
+    table = coded.toArrow()  # `most` rows at most
+    known = {w: np.array(ids, dtype="<i4").tobytes()
+             for w, ids in zip(table.column("word").to_pylist(), table.column("ids").to_pylist())}
+    sent = [spark.sparkContext.broadcast(x) for x in (known, Merges(ranks))]
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_encode(*sent, pattern), f"doc_id {id_type}, ids array<int>")
 

@@ -108,7 +108,7 @@ def repeated_cells(docs: DataFrame, cells: int) -> list[np.ndarray]:
     parts = docs.select("text").mapInArrow(_sketch_of_task(cells), "sketch_row int, block long, hits binary")
     merged = parts.groupBy("sketch_row", "block").applyInPandas(_merge_block, "sketch_row int, block long, bits binary")
     bits = [np.zeros(max(cells, BLOCK) // 8, dtype=np.uint8) for _ in range(DEPTH)]
-    for row in merged.toLocalIterator():
+    for row in merged.toArrow().to_pylist():  # cells / 8 bytes a row of the sketch
         at = row["block"] * BLOCK // 8
         bits[row["sketch_row"]][at:at + BLOCK // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
     return bits
