@@ -5,7 +5,7 @@ each step, the adjacent pair of lowest rank. Ranks come from one literal map, cu
 lookup compares a few keys. Counted over the whole table, the most frequent words (a bounded number) are encoded so,
 once, and their ids broadcast. A word outside that list is merged by the same rule in the task that meets it, as the
 fold is too slow for words that occur once (see README); so the ids do not depend on the bound, and no text is
-shuffled. Decoding looks the pieces up in one literal array and joins their bytes.
+shuffled. Decoding joins the bytes of the pieces.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.llm.common import full_text, let, written
 
@@ -32,7 +34,7 @@ FREQUENT_BYTES = 32
 #: Parts of the literal rank map.
 PARTS = 1 << 14
 #: Distinct words that a task holds before it hands them on or starts afresh.
-HELD = 300_000
+HELD = 600_000
 #: Bytes from which a word is merged with a heap.
 LONG = 64
 
@@ -119,6 +121,11 @@ def cut_chunks(text: str) -> list[str] | None:
     return [first, *[" " + r for r in rest]] if first else None
 
 
+def one_word(chunk: str) -> bool:
+    """True for a space and letters, which the pattern takes as one match."""
+    return chunk[0] == " " and chunk[1:].isalpha()
+
+
 def _count_words(pattern: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, chunks = regex.compile(pattern), Counter()
@@ -126,6 +133,9 @@ def _count_words(pattern: str):
         def flush() -> pa.RecordBatch:
             words: Counter = Counter()
             for chunk, n in chunks.items():
+                if one_word(chunk):
+                    words[chunk] += n
+                    continue
                 for word in cut.findall(chunk):
                     words[word] += n
             chunks.clear()
@@ -135,7 +145,7 @@ def _count_words(pattern: str):
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                chunks.update(cut_chunks(text) or (text,))
+                chunks.update(cut_chunks(text) or ((text,) if text else ()))
                 if len(chunks) >= HELD:
                     yield flush()
         yield flush()
@@ -168,12 +178,17 @@ class Merges:
         self.whole = ranks
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         self.size = max(ranks.values()) + 1
-        self.pairs = {}
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Made by each worker once, so that neither the driver nor the broadcast holds it."""
+        ranks, found = self.whole, {}
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
                 left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left * self.size + right] = rank
+                    found[left * self.size + right] = rank
+        return found
 
     def of(self, word: bytes) -> list[int]:
         """Token ids of a word: the adjacent pair of lowest rank, the first of equals, is merged until none is left."""
@@ -239,23 +254,23 @@ class _Ids(dict):
         self.known, self.merges, self.cut = known, merges, regex.compile(pattern)
         self.rare: dict[str, bytes] = {}
 
+    def of_word(self, word: str) -> bytes:
+        ids = self.known.get(word) or self.rare.get(word)
+        if ids is None:
+            if len(self.rare) >= HELD:
+                self.rare.clear()
+            ids = array("i", self.merges.of(word.encode())).tobytes()
+            if len(word) <= LONG:
+                self.rare[word] = ids
+        return ids
+
     def of_words(self, text: str) -> bytes:
-        out = []
-        for word in self.cut.findall(text):
-            ids = self.known.get(word) or self.rare.get(word)
-            if ids is None:
-                if len(self.rare) >= HELD:
-                    self.rare.clear()
-                ids = array("i", self.merges.of(word.encode())).tobytes()
-                if len(word) <= LONG:
-                    self.rare[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.of_word, self.cut.findall(text)))
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= HELD:
             self.clear()
-        self[chunk] = ids = self.of_words(chunk)
+        self[chunk] = ids = self.of_word(chunk) if one_word(chunk) else self.of_words(chunk)
         return ids
 
 
@@ -296,11 +311,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return rows.mapInArrow(_encode(*sent, pattern), f"doc_id {id_type}, ids array<int>")
 
 
-def decode(ids: Column, ranks_path: str) -> Column:
-    """The bytes of an array of token ids: pieces from one literal array, joined. An unknown id adds nothing."""
-    ranks = load_ranks(ranks_path)
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.hex().upper()
-    literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
+def _decode(pieces, names: list[str]):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = pieces.value
+        for batch in batches:
+            lists = batch.column("ids")
+            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).tolist(), [0]
+            offsets += np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            data = [b"".join([piece.get(i, b"") for i in flat[a:b]]) for a, b in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(data, pa.binary())],
+                                             names=[*names, "decoded"])
+    return decode
+
+
+def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
+    """The rows with `decoded` (binary): the bytes of the pieces of their `ids`, joined.
+
+    NULL and empty arrays give no bytes; an id that is none adds nothing. All columns of the table are kept.
+    """
+    pieces = coded.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in load_ranks(ranks_path).items()})
+    schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())])
+    return coded.mapInArrow(_decode(pieces, coded.columns), schema)
