@@ -5,7 +5,7 @@ each step, the adjacent pair of lowest rank. Ranks come from one literal map, cu
 lookup compares a few keys. Counted over the whole table, the most frequent words (a bounded number) are encoded so,
 once, and their ids broadcast. A word outside that list is merged by the same rule in the task that meets it, as the
 fold is too slow for words that occur once (see README); so the ids do not depend on the bound, and no text is
-shuffled. Decoding joins the bytes of the pieces.
+shuffled. Decoding looks the pieces up in one literal array and joins their bytes.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.llm.common import full_text, let, written
 
@@ -34,7 +34,7 @@ FREQUENT_BYTES = 32
 #: Parts of the literal rank map.
 PARTS = 1 << 14
 #: Distinct words that a task holds before it hands them on or starts afresh.
-HELD = 600_000
+HELD = 300_000
 #: Bytes from which a word is merged with a heap.
 LONG = 64
 
@@ -46,15 +46,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Ranks:
-    """The rank map as Spark literals: pieces are hex strings, one map for each part of the hash space."""
-
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], parts: int = PARTS) -> None:
-        pieces = spark.createDataFrame([(p.hex().upper(), r) for p, r in ranks.items()], "piece string, rank int")
-        grouped = pieces.groupBy(F.pmod(F.xxhash64("piece"), F.lit(parts)).alias("part")).agg(
-            F.map_from_entries(F.collect_list(F.struct("piece", "rank"))).alias("m")).collect()
-        maps: list[dict] = [{} for _ in range(parts)]
-        for row in grouped:
-            maps[row["part"]] = row["m"]
+    """The rank map as a Spark literal: pieces are hex strings, one map for each part of the hash space."""
+
+    def __init__(self, ranks: dict[bytes, int], parts: int = PARTS) -> None:
+        maps: list[dict[str, int]] = [{} for _ in range(parts)]
+        for piece, rank in ranks.items():
+            code = piece.hex().upper()
+            # xxhash64 of Spark, which pmod cuts into parts below
+            digest = xxhash.xxh64_intdigest(code.encode(), 42)
+            maps[(digest - (digest >> 63 << 64)) % parts][code] = rank
         self.parts = parts
         self.literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
@@ -299,7 +299,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path)
     rows = docs.select(F.col(id_col).alias("doc_id"), full_text(F.col(text_col)).alias("text"))
-    literal = Ranks(spark, ranks)
+    literal = Ranks(ranks)
     words = frequent_words(rows, pattern, most, folder)
     # as many tasks as cores: each has the literal to load, and the words are bounded
     coded = words.repartition(spark.sparkContext.defaultParallelism).select("word", encode_word(F.col("word").cast("binary"), literal).alias("ids"))
@@ -311,24 +311,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return rows.mapInArrow(_encode(*sent, pattern), f"doc_id {id_type}, ids array<int>")
 
 
-def _decode(pieces, names: list[str]):
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.value
-        for batch in batches:
-            lists = batch.column("ids")
-            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).tolist(), [0]
-            offsets += np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            data = [b"".join([piece.get(i, b"") for i in flat[a:b]]) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(data, pa.binary())],
-                                             names=[*names, "decoded"])
-    return decode
-
-
-def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
-    """The rows with `decoded` (binary): the bytes of the pieces of their `ids`, joined.
+def decode(ids: Column, ranks_path: str) -> Column:
+    """The bytes of an array of token ids: pieces from one literal array, joined. An unknown id adds nothing.
 
-    NULL and empty arrays give no bytes; an id that is none adds nothing. All columns of the table are kept.
+    In the plan and not in Arrow tasks: a second Python worker beside each encoding one would not fit the memory.
     """
-    pieces = coded.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in load_ranks(ranks_path).items()})
-    schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return coded.mapInArrow(_decode(pieces, coded.columns), schema)
+    ranks = load_ranks(ranks_path)
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.hex().upper()
+    literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))

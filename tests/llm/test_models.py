@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tablewright.llm import bpe, decontaminate, extract, quality_gam, token_counts, warc
 from tests.llm.test_words import EDGES, clashing, prose, table
@@ -227,7 +228,7 @@ def test_bpe(spark, library, most):
     odd += ["".join(draw.choice("ab é\n\t1'.s ") for _ in range(200)) for _ in range(20)]
     texts = EDGES + list(enumerate(odd, 100))
     coded = bpe.encode(clashing(table(spark, texts)), RANKS, public_tokenizers.PATTERN, most=most)
-    got = bpe.decode(coded, RANKS).collect()
+    got = coded.select("doc_id", "ids", bpe.decode(F.col("ids"), RANKS).alias("decoded")).collect()
     assert [(r.doc_id, r.ids) for r in got] == [(i, library.encode_ordinary(t or "")) for i, t in texts]
     assert [bytes(r.decoded).decode() for r in got] == [t or "" for _, t in texts]
     assert bpe.encode(table(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
