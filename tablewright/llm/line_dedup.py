@@ -12,58 +12,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import WORD_CHAR, full_text, let, match
+from tablewright.llm.common import WORD_CHAR, full_text, let, match, words
 
 #: Lines of the shortest run that is removed.
 RUN = 3
 
 
-def line_hashes(text: Column) -> Column:
-    """(hash, at) of each line that has a word, in order; `at` is its number among all lines, from 0."""
+def line_hashes(text: Column, counted: bool = False) -> Column:
+    """(hash, at) of each line that has a word, in order; `at` is its number among all lines, from 0.
+
+    counted: also `words`, the line's number of words.
+    """
     lines = F.transform(F.split(text, "\n"), lambda line, at: F.struct(
-        F.when(line.rlike(WORD_CHAR), F.xxhash64(F.trim(line))).alias("hash"), at.alias("at")))
+        F.when(line.rlike(WORD_CHAR), F.xxhash64(F.trim(line))).alias("hash"), at.alias("at"),
+        *[F.size(words(line)).alias("words")] * counted))
     return F.filter(lines, lambda x: x["hash"].isNotNull())
 
 
 def windows(hashes: Column, run: int) -> Column:
-    """For each run of lines: start, its fingerprint (smallest hash), the hash of all lines around it, in order."""
+    """For each run of lines: start, lines (`run`), its fingerprint (smallest hash), the hash of all lines around it,
+    in order."""
     def one(start: Column, part: Column) -> Column:
-        return F.struct(start.alias("start"), F.array_min(part).alias("fingerprint"),
+        return F.struct(start.alias("start"), F.lit(run).alias("lines"), F.array_min(part).alias("fingerprint"),
                         F.xxhash64(F.array_position(part, F.array_min(part)), part).alias("context"))
 
     return F.when(F.size(hashes) >= run, F.transform(
         F.sequence(F.lit(0), F.size(hashes) - run),
         lambda i: let(F.slice(hashes, i + 1, F.lit(run)), lambda part: one(i, part)))).otherwise(
-        F.array().cast("array<struct<start:int,fingerprint:bigint,context:bigint>>"))
+        F.array().cast("array<struct<start:int,lines:int,fingerprint:bigint,context:bigint>>"))
+
+
+def long_windows(lines: Column, run: int, least_words: int) -> Column:
+    """The windows of fewer than `run` lines that hold `least_words` words or more."""
+    def of_size(size: int) -> Column:
+        return F.filter(windows(F.transform(lines, lambda line: line["hash"]), size), lambda w: F.aggregate(
+            F.slice(lines, w["start"] + 1, F.lit(size)), F.lit(0), lambda n, line: n + line["words"]) >= least_words)
 
+    return F.concat(*[of_size(size) for size in range(1, run)])
 
-def repeated_windows(rows: DataFrame, run: int) -> DataFrame:
-    """(doc_id, body, starts): starts of the windows that an earlier place holds too.
+
+def repeated_windows(rows: DataFrame, run: int, least_words: int | None = None) -> DataFrame:
+    """(doc_id, body, starts): (start, lines) of the windows that an earlier place holds too.
 
     Places are ordered by doc_id, then by start; rows: doc_id, body (hash of the text), text.
     """
-    found = let(line_hashes(F.col("text")), lambda x: windows(F.transform(x, lambda line: line["hash"]), run))
+    def of(lines: Column) -> Column:
+        every = windows(F.transform(lines, lambda line: line["hash"]), run)
+        return every if least_words is None or run < 2 else F.concat(every, long_windows(lines, run, least_words))
+
+    found = let(line_hashes(F.col("text"), least_words is not None), of)
     each = (rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "body", found.alias("found"))
             .select("doc_id", "body", F.explode("found").alias("w")).select("doc_id", "body", "w.*"))
     groups = (each.groupBy("fingerprint", "context")
               .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
               .filter(F.col("first") < F.col("last")).select("fingerprint", "context", "first"))
     later = match(each, groups, ["fingerprint", "context"], "inner").filter(F.struct("doc_id", "start") > F.col("first"))
-    return later.groupBy("doc_id", "body").agg(F.collect_set("start").alias("starts"))
+    return later.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "lines")).alias("starts"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
+               least_words: int | None = None) -> DataFrame:
     """The input rows and columns with later repeated runs of lines taken out of the text, and _n_removed (long).
 
     A line (trimmed; lines without a word stand outside all runs and always stay) goes when a run of `run` lines that
     covers it begins at an earlier place too: in a document with a smaller id, or further up in the same one. NULL
     text stays NULL. A row with a NULL id keeps its lines and does not count. Rows that repeat an id are one place:
     both keep what no earlier place holds. Texts of fewer lines and empty tables pass unchanged.
+
+    least_words: runs of fewer lines, single lines too, count as well where they hold that many words.
     """
     body = F.xxhash64(full_text(F.col(text_col)))
     rows = docs.select(F.col(id_col).alias("doc_id"), full_text(F.col(text_col)).alias("text"), body.alias("body"))
     # the key's own names, so that other columns of docs may have any name
-    found = repeated_windows(rows, run).select(
+    found = repeated_windows(rows, run, least_words).select(
         F.col("doc_id").alias("_id_of_run"), F.col("body").alias("_body_of_run"),
         F.col("starts").alias("_starts_of_run"))
     joined = docs.withColumn("_body", body).join(
@@ -72,7 +93,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(hashed: Column) -> Column:
         gone = F.array_distinct(F.flatten(F.transform("_starts_of_run", lambda s: F.transform(
-            F.sequence(s, s + run - 1), lambda k: F.get(hashed, k)["at"]))))
+            F.sequence(s["start"], s["start"] + s["lines"] - 1), lambda k: F.get(hashed, k)["at"]))))
         return let(F.sort_array(gone), lambda g: F.struct(
             F.array_join(_without(F.split(text, "\n"), g), "\n").alias("text"), F.size(g).cast("long").alias("n")))
 

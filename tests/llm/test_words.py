@@ -172,6 +172,38 @@ def test_line_dedup(spark):
     assert got[0].line == "line" and got[0].starts == "starts"
 
 
+def long_line_brute(texts, least_words, run=3):
+    """Runs of `run` lines, and shorter ones of `least_words` words."""
+    places, owners = {}, []
+    for row, (i, t) in enumerate(texts):
+        lines = (t or "").split("\n")
+        at = [k for k, x in enumerate(lines) if WORD.search(x)]
+        for size in range(1, run + 1):
+            for s in range(len(at) - size + 1):
+                key = tuple(lines[k].strip(" ") for k in at[s:s + size])
+                if i is not None and (size == run or sum(len(WORD.findall(x)) for x in key) >= least_words):
+                    owners.append((key, (i, s), row, at[s:s + size]))
+                    places[key] = min(places.get(key, (i, s)), (i, s))
+    gone = defaultdict(set)
+    for key, place, row, at in owners:
+        gone[row] |= set(at) if place > places[key] else set()
+    return [(i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[row]),
+             len(gone[row])) for row, (i, t) in enumerate(texts)]
+
+
+def test_line_dedup_of_long_lines(spark):
+    draw, one, two = random.Random(9), prose(1, 60), f"{prose(2, 30)}\n\n{prose(3, 20)}"
+    texts = [*EDGES, (10, one), (11, one), (12, f"own\n{one}\nwords"), (13, two), (14, f"{two}\nend"), (15, prose(4, 49)),
+             (16, prose(4, 49)), (17, f"{prose(5, 50)}\n{prose(6, 3)}"), (18, f"{prose(5, 50)}\n{prose(6, 3)}"), (None, one)]
+    pool = [prose(20 + k, draw.choice((5, 24, 26, 50))) for k in range(9)] + [""]
+    texts += [(30 + i, "\n".join(draw.choice(pool) for _ in range(draw.randrange(6)))) for i in range(60)]
+    got = line_dedup.line_dedup(clashing(table(spark, texts)), least_words=50).collect()
+    assert Counter((r.doc_id, r.text, r._n_removed) for r in got) == Counter(long_line_brute(texts, 50))
+    kept = {r.doc_id: r.text for r in got}
+    assert (kept[10], kept[11], kept[12]) == (one, "", "own\nwords")
+    assert kept[14] == "\nend" and kept[16] == prose(4, 49) and kept[18] == ""
+
+
 # -- op 9 --------------------------------------------------------------------------------
 
 def substring_brute(texts):
