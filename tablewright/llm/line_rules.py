@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Each line is normalised and hashed, the distinct documents that hold it are counted per host, lines above the
-host's limit are taken out, and documents with too little left are rejected.
+Each line is normalised and hashed, the distinct texts that hold it are counted per host (copies of a text are
+one), lines above the host's limit are taken out, and documents with too little left are rejected.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import WORD_CHAR, full_text, let, match, words, written
 
-#: A line is common when more distinct documents of its host hold it than the larger of both.
+#: A line is common when more distinct texts of its host hold it than the larger of both.
 MIN_DOCUMENTS = 20
 MIN_SHARE = 0.02
 #: A document is depleted when a smaller share of its words is left.
@@ -72,7 +72,7 @@ def base_failed() -> Column:
 
 
 def common_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, line) held by more distinct documents of the host than the limit.
+    """(host, line) held by more distinct texts of the host than the limit.
 
     lines: one row per (host, body, line), body being a hash of a document's text: copies of a text count once.
     A hot line is counted in parts on every task before its counts meet.
