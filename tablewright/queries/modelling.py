@@ -246,10 +246,10 @@ def final_model_digest(spark, d):
 @query("search_trials")
 def search_trials(spark, d):
     df = labelled(spark, d)
-    split = folds.assign_folds(df, "doc_id", "stratified_kfold", target="quality", n_splits=2)
+    split = folds.assign_folds(df, "doc_id", "stratified_kfold", target="quality")
     models, _ = zoo.select_models("classification", ["logistic_regression", "naive_bayes"])
     trials, _ = search.tune(df, split, models, features.feature_encoder(df, "quality"), "classification", "quality",
-                            "macro_f1", scratch(spark, "search"), n_trials=3)
+                            "macro_f1", scratch(spark, "search"))
     return search.best_trials(trials, models, "macro_f1").select(
         "rank", "model", "best_value", "best_params", "n_complete", "n_pruned", "status")
 

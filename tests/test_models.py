@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tablewright.functions import fixed
 from tablewright.operators import explain, features, folds, neighbors
 from tablewright.operators.drift import drift_reference
 from tablewright.operators.forest import IsolationForest
@@ -15,6 +16,7 @@ from tablewright.plans import search, training, zoo
 from tablewright.plans.experiment import run_experiment
 from tablewright.plans.latent import run_latent
 from tablewright.plans.task import resolve_task
+from tablewright.queries import modelling
 from tablewright.sources.records import RecordStore
 from tablewright.streaming.monitor import drift_stream, stream_drift
 
@@ -206,3 +208,16 @@ def test_depth_reaches_the_trees():
     assert entry.build({**entry.defaults, "max_depth": 24}, shape).getMaxDepth() == 24
     with pytest.raises(ValueError, match="31"):
         entry.build({**entry.defaults, "max_depth": 31}, shape)
+
+
+def test_search_query_runs_the_defaults(spark, sf, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def tune(df, split, *args, n_trials=fixed.N_TRIALS, **more):
+        raise Stop(split.n_splits, n_trials)
+
+    monkeypatch.setattr(search, "tune", tune)
+    with pytest.raises(Stop) as seen:
+        modelling.search_trials(spark, sf)
+    assert seen.value.args == (fixed.N_SPLITS, fixed.N_TRIALS)
