@@ -49,6 +49,19 @@ def test_near_copy_stage(stages):
     assert set(after) == {min(ids) for ids in first.values()}
 
 
+def test_near_copy_stage_of_repeated_ids(spark, sf):
+    """Row by row: an id with two texts, equal rows, rows without an id."""
+    t = {k: " ".join(f"{k}{n * n % 97}" for n in range(80)) for k in "abcdef"}
+    rows = [(2, "b", 1), (5, "b", 1), (5, "a", 1), (9, "a", 1), *[(3, "c", 1)] * 5, (4, "d", 1), (4, "d", 2),
+            (None, "e", 1), (None, "e", 1), (None, "f", 1), (7, "f", 1)]
+    docs = spark.createDataFrame([(i, t[k], "en", "s", n) for i, k, n in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = corpus_pipeline.near_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    kept = sorted(((r.text[0], r.doc_id) for r in got.collect()))
+    assert kept == [("a", 5), ("b", 2), ("c", 3), ("d", 4), ("e", None), ("f", 7)]
+
+
 def test_decontamination_stage(spark, sf, stages):
     before, after = stages["decontamination"]
     items = [set(decontaminate.shingles(decontaminate.terms_of(r.text)))
