@@ -222,9 +222,17 @@ def train_sample(labels: DataFrame, label_col: str = "quality", train_rows: int
     return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
 
 
-def train(measured: DataFrame, sample: DataFrame) -> Model:
-    """Fit on the sample's rows of `measured` (doc_id, features); only these numbers reach the driver."""
-    rows = measured.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "features").toPandas()
+def train(measured: DataFrame, sample: DataFrame, train_rows: int = TRAIN_ROWS, folder: str | None = None) -> Model:
+    """Fit on the sample's rows of `measured` (doc_id, features); only these numbers reach the driver.
+
+    Rows equal in id and features are one. Where an id repeats with so many texts that there are still more rows than
+    `train_rows` and the sample's ids, those are used whose hash falls in the share that makes that many on average.
+    """
+    found = written(measured.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "features").distinct(), folder)
+    share = max(train_rows, sample.count()) / max(1, found.count())
+    if share < 1:
+        found = found.filter(F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    rows = found.toPandas()
     # an order of their own, so that sums do not depend on partitions
     x = np.array(rows["features"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
     order = np.lexsort((*x.T[::-1], rows["doc_id"].to_numpy()))
@@ -250,7 +258,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows; other columns are left out.
     """
     measured = written(features(docs, id_col, text_col), folder)
-    model = train(measured, train_sample(labels, label_col, train_rows))
+    model = train(measured, train_sample(labels, label_col, train_rows), train_rows, folder)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     id_type = measured.schema["doc_id"].dataType.simpleString()
     scored = measured.mapInArrow(_score(sent, ["doc_id"]), f"doc_id {id_type}, score double")
@@ -266,7 +274,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_
     """
     sample = written(train_sample(labels, label_col, train_rows), folder)
     model = train(features(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"), "doc_id", text_col),
-                  sample)
+                  sample, train_rows, folder)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

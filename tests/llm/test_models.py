@@ -54,6 +54,18 @@ def test_held_out_accuracy(spark, sf):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
 
 
+def test_rows_that_reach_the_driver_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_gam, "fit", lambda x, y: seen.append(x))
+    width, sample = len(quality_gam.FEATURES), spark.createDataFrame([(1, 1.0), (2, 0.0)], "doc_id long, label double")
+    same = [(1, [0.5] * width)] * 900 + [(2, [0.1] * width)]
+    other = [(1, [float(k)] * width) for k in range(3000)]
+    for rows in (same, same + other):
+        measured = spark.createDataFrame(rows, "doc_id long, features array<double>")
+        quality_gam.train(measured, sample, 300)
+    assert len(seen[0]) == 2 and 200 < len(seen[1]) < 400
+
+
 # -- op 2 --------------------------------------------------------------------------------
 
 ITEMS = [(k, f"What is {prose(k, 14, 300)}?\nIt is {prose(100 + k, 8, 300)}.") for k in range(60)]
