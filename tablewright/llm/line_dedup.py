@@ -1,10 +1,10 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by grouping windows of line hashes, in DataFrame functions only.
 
-Every window of `run` consecutive lines selects its smallest line hash as fingerprint, so any run of `run` lines that
-two places share has a fingerprint in common. The fingerprint's occurrences are joined on what stands around it: the
-lines before and after it in its window, as one hash, which extends the match both ways to the guaranteed length.
-Longer matches are the union of such windows. Of each group of equal windows the first place stays; the lines of all
-later ones go. No pair of occurrences is ever made: a group keeps its first place only, found in parts on each task.
+Every window of `run` consecutive lines is grouped by its smallest line hash and a hash of all its lines, which together
+are a key of 128 bits for the whole window. Nothing is selected as winnowing would: no minima thin out the windows and no
+match is extended. Longer matches are the union of such windows. Of each group of equal windows the first place stays;
+the lines of all later ones go. No pair of occurrences is ever made: a group keeps its first place only, found in parts
+on each task.
 """
 
 from __future__ import annotations
