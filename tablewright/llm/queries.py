@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import (
     bpe,
+    collocations,
     decontaminate,
     extract,
     line_dedup,
@@ -84,6 +85,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_decontaminate": op2_decontaminate,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extract": op8_extract,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe": op10_bpe,
+    "op11_collocations": op11_collocations,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -174,4 +180,36 @@ left_over as (select w.rid, string_agg(word, ' ' order by w.k) as kept from word
 select doc_id, len(ws)::bigint as n_words, coalesce(len(ks), 0)::bigint as n_removed,
   sha256(case when ks is null then array_to_string(ws, ' ') else coalesce(kept, '') end) as kept_sha256
 from d left join lists using (rid) left join left_over using (rid)""",
+    "op11_collocations": r"""
+with p as (select row_number() over () as pid, lang, piece from (
+      select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+w as (select pid, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+o as (select pid, lang, unnest(ws) as w1, generate_subscripts(ws, 1) as pos from w),
+q as (select lang, w1, lead(w1, 1) over s as w2, lead(w1, 2) over s as w3 from o
+      window s as (partition by pid order by pos)),
+one as (select lang, w1, count(*) as f from q group by 1, 2),
+two as (select lang, w1, w2, count(*) as f from q where w2 is not null group by 1, 2, 3 having count(*) >= 10),
+three as (select lang, w1, w2, w3, count(*) as f from q where w3 is not null group by 1, 2, 3, 4
+          having count(*) >= 10),
+total as (select lang, sum(f)::bigint as n from one group by 1),
+s2 as (select t.lang, t.w1, t.w2, t.f as a, x.f as l, y.f as r from two t
+       join one x on x.lang = t.lang and x.w1 = t.w1 join one y on y.lang = t.lang and y.w1 = t.w2),
+s3 as (select t.*, x.f as l1, y.f as r1, u.f as l2, v.f as r2,
+       (1000000::hugeint * t.f * t.f) // (x.f::hugeint * y.f) as c1,
+       (1000000::hugeint * t.f * t.f) // (u.f::hugeint * v.f) as c2 from three t
+       join one x on x.lang = t.lang and x.w1 = t.w1
+       join two y on y.lang = t.lang and y.w1 = t.w2 and y.w2 = t.w3
+       join two u on u.lang = t.lang and u.w1 = t.w1 and u.w2 = t.w2
+       join one v on v.lang = t.lang and v.w1 = t.w3),
+around as (select lang, w1, w2, max(f) as f from (select lang, w1, w2, f from three union all
+           select lang, w2, w3, f from three) group by 1, 2, 3),
+cand as (select s.lang, s.w1 || ' ' || s.w2 as phrase, a, l, r, (1000000::hugeint * a * a) // (l::hugeint * r) as score
+         from s2 s left join around b on b.lang = s.lang and b.w1 = s.w1 and b.w2 = s.w2
+         where b.f is null or 100 * b.f < 50 * a
+         union all
+         select lang, w1 || ' ' || w2 || ' ' || w3, f, case when c2 < c1 then l2 else l1 end,
+         case when c2 < c1 then r2 else r1 end, least(c1, c2) from s3),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from cand)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= 2000""",
 }
