@@ -15,6 +15,7 @@ from tablewright.llm import (
     extract,
     line_dedup,
     line_rules,
+    prefix_trie,
     quality_gam,
     simhash,
     substring_dedup,
@@ -89,6 +90,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_decontaminate": op2_decontaminate,
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe": op10_bpe,
     "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -212,4 +218,27 @@ cand as (select s.lang, s.w1 || ' ' || s.w2 as phrase, a, l, r, (1000000::hugein
          case when c2 < c1 then r2 else r1 end, least(c1, c2) from s3),
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from cand)
 select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= 2000""",
+    "op12_prefix_trie": """
+with o as (select conv_id, list(md5(length(role)::varchar || ':' || role || text) order by turn nulls first,
+           md5(length(role)::varchar || ':' || role || text)) as ids,
+           list(length(text) order by turn nulls first, md5(length(role)::varchar || ':' || role || text)) as lens
+           from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           where conv_id is not null) group by 1),
+h as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''),
+      lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i:
+      case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 6 as h from o),
+r as (select h.conv_id, list_concat(list_slice(coalesce(b.ids, []), 1, h), list_slice(h.ids, h + 1, len(h.ids))) as ids,
+      list_concat(list_slice(coalesce(b.lens, []), 1, h), list_slice(h.lens, h + 1, len(h.lens))) as lens
+      from h left join o b on b.conv_id = h.conv_id - h.conv_id % 100),
+pre as (select conv_id, ids, lens, unnest(range(len(ids) + 1)) as d from r),
+node as (select list_slice(ids, 1, d) as key, d, min(conv_id) as conv_id, count(*) as n,
+         coalesce(max(lens[d]), 0) as len, sha256(coalesce(string_agg(case when len(ids) = d then conv_id::varchar end,
+         ',' order by conv_id), '')) as ends from pre group by 1, 2),
+kids as (select list_slice(key, 1, d - 1) as key, d - 1 as d, count(*) as n from node where d > 0 group by 1, 2),
+each as (select node.*, coalesce(kids.n, 0) as n_children from node left join kids using (key, d)),
+sub as (select list_slice(key, 1, e) as key, e as d, sum((n - 1) * len) as saved, count(*) filter (n_children = 0) as leaves
+        from (select *, unnest(range(d + 1)) as e from each) group by 1, 2)
+select e.conv_id, e.d::bigint as depth, p.conv_id as parent_conv_id, e.n::bigint as n_convs,
+  e.n_children::bigint as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens, e.ends as ends_sha256
+from each e join sub using (key, d) left join node p on p.key = list_slice(e.key, 1, e.d - 1) and p.d = e.d - 1""",
 }
