@@ -15,6 +15,7 @@ from tablewright.llm import (
     extract,
     line_dedup,
     line_rules,
+    ngram_join,
     prefix_trie,
     quality_gam,
     simhash,
@@ -94,6 +95,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_decontaminate": op2_decontaminate,
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -241,4 +247,18 @@ sub as (select list_slice(key, 1, e) as key, e as d, sum((n - 1) * len) as saved
 select e.conv_id, e.d::bigint as depth, p.conv_id as parent_conv_id, e.n::bigint as n_convs,
   e.n_children::bigint as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens, e.ends as ends_sha256
 from each e join sub using (key, d) left join node p on p.key = list_slice(e.key, 1, e.d - 1) and p.d = e.d - 1""",
+    "op13_ngram_join": rf"""
+with recursive d as materialized (select row_number() over () as rid, doc_id, {_WORDS.format(
+      "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+g as materialized (select distinct rid, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then
+      [array_to_string(ws, ' ')] else [array_to_string(ws[k:k + 2], ' ') for k in range(1, len(ws) - 1)] end) as g from d),
+n as materialized (select rid, count(*) as n from g group by 1),
+met as (select a.rid as x, b.rid as y, count(*) as n from g a join g b on a.g = b.g and a.rid < b.rid group by 1, 2),
+link as materialized (select x, y from met join n a on a.rid = x join n b on b.rid = y
+         where 100 * met.n >= 90 * (a.n + b.n - met.n)),
+edge as materialized (select x, y from link union all select y, x from link),
+reach as (select x, y from edge union select r.x, e.y from reach r join edge e on e.x = r.y),
+low as (select r.x as rid, min(d.doc_id) as low from reach r join d on d.rid = r.y group by 1)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(least(low, doc_id), doc_id) as component_id
+from d left join n using (rid) left join low using (rid)""",
 }
