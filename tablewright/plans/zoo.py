@@ -6,15 +6,15 @@ what gives the same optimum in Spark where there is one.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 
+from tablewright.operators.boosting import HistBoosting
 from tablewright.operators.forest import IsolationForest
 from tablewright.operators.kernels import FourierMap, GaussianBayes, OneClassSVM
 from tablewright.operators.neighbors import LocalOutlierFactor, Neighbors
@@ -61,10 +61,6 @@ def _subset(value, default: str) -> str:
     return {"sqrt": "sqrt", "log2": "log2", None: "all"}.get(value, str(value)) if value != "" else default
 
 
-def _per_class(estimator, s: Shape):
-    return estimator if s.n_classes <= 2 else OneVsRest(classifier=estimator, rawPredictionCol="rawPrediction")
-
-
 def logistic(p, s):
     return LogisticRegression(maxIter=int(p.get("max_iter", 1000)), regParam=1.0 / (p.get("C", 1.0) * s.n),
                               standardization=False)
@@ -92,17 +88,12 @@ def _forest(kind, subset: str):
                              featureSubsetStrategy=_subset(p.get("max_features", ""), subset), seed=s.seed)
 
 
-def _boosting(p):
-    return dict(maxIter=int(p.get("max_iter", 100)), stepSize=float(p.get("learning_rate", 0.1)), maxBins=64,
-                maxDepth=max(1, math.ceil(math.log2(int(p.get("max_leaf_nodes", 31))))))
-
-
 def boosted_classifier(p, s):
-    return _per_class(GBTClassifier(seed=s.seed, **_boosting(p)), s)
+    return HistBoosting.of(n_classes=s.n_classes, seed=s.seed, **p)
 
 
 def boosted_regressor(p, s):
-    return GBTRegressor(seed=s.seed, **_boosting(p))
+    return HistBoosting.of(seed=s.seed, **p)
 
 
 def _mapped(p, s, *stages):
@@ -190,8 +181,8 @@ CATALOGUE: dict[str, dict[str, Entry]] = {
                                space={"max_depth": DEPTH_SPACE, "min_samples_split": _range(WHOLE, 2, 20)}),
         "random_forest": Entry(_forest(RandomForestClassifier, "sqrt"), "ensemble", defaults={"n_estimators": 300},
                                space={**FOREST_SPACE, "max_features": _pick("sqrt", "log2", None)}),
-        # Boosting in Spark has no quadratic penalty on leaves, so that one is not searched.
-        "hist_gradient_boosting": Entry(boosted_classifier, "ensemble", space=BOOST_SPACE),
+        "hist_gradient_boosting": Entry(boosted_classifier, "ensemble", space={
+            **BOOST_SPACE, "l2_regularization": _range(REAL, 1e-6, 1.0, log=True)}),
         "svm": Entry(kernel_classifier, "kernel", space={"C": C_SPACE, "gamma": GAMMA_SPACE}),
         "knn": Entry(neighbours, "neighbors", space=NEAR_SPACE),
         "naive_bayes": Entry(bayes, "bayes", space={"var_smoothing": _range(REAL, 1e-12, 1e-6, log=True)}),

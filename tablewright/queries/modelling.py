@@ -158,12 +158,34 @@ def zoo_nets(spark, d):
     return flat(crossed(spark, d, labelled(spark, d), "doc_id", "classification", "quality", ["mlp"]).results)
 
 
+def _regressed(spark, d, *models):
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    return flat(crossed(spark, d, p, "p_partkey", "regression", "p_retailprice", list(models)).results)
+
+
 @query("zoo_regressors")
 def zoo_regressors(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
-    return flat(crossed(spark, d, p, "p_partkey", "regression", "p_retailprice",
-                        ["decision_tree_regressor", "random_forest_regressor", "hist_gradient_boosting_regressor", "svr",
-                         "knn_regressor", "mlp_regressor"]).results)
+    return _regressed(spark, d, "decision_tree_regressor", "knn_regressor")
+
+
+@query("zoo_forest_regressor")
+def zoo_forest_regressor(spark, d):
+    return _regressed(spark, d, "random_forest_regressor")
+
+
+@query("zoo_boosting_regressor")
+def zoo_boosting_regressor(spark, d):
+    return _regressed(spark, d, "hist_gradient_boosting_regressor")
+
+
+@query("zoo_svr")
+def zoo_svr(spark, d):
+    return _regressed(spark, d, "svr")
+
+
+@query("zoo_net_regressor")
+def zoo_net_regressor(spark, d):
+    return _regressed(spark, d, "mlp_regressor")
 
 
 @query("zoo_anomaly")
@@ -214,6 +236,16 @@ def rule_regressors(spark, d):
     return _rule_found(spark, d, "regression", RULE_REGRESSORS, "r2")
 
 
+@query("rule_boosting", RULE.format(models="'hist_gradient_boosting'"))
+def rule_boosting(spark, d):
+    return _rule_found(spark, d, "classification", ["hist_gradient_boosting"], "accuracy")
+
+
+@query("rule_boosting_regressor", RULE.format(models="'hist_gradient_boosting_regressor'"))
+def rule_boosting_regressor(spark, d):
+    return _rule_found(spark, d, "regression", ["hist_gradient_boosting_regressor"], "r2")
+
+
 @query("train_ranking")
 def train_ranking(spark, d):
     found = crossed(spark, d, labelled(spark, d), "doc_id", "classification", "quality",
@@ -344,7 +376,7 @@ def experiment_run(spark, d):
   s as (select w, "column", coalesce(e, 1e-6) as e, greatest(coalesce(n / t, 1e-6), 1e-6) as a from grid
    join t using (w, "column") left join e using ("column", item) left join n using (w, "column", item)),
   p as (select w, "column", round(sum((a - e) * ln(a / e)), 6) as psi from s group by all)
-  select cast(w as date) as day, "column", round(psi, 5) as psi, psi >= 0.2 as drifted from p""")
+  select cast(w as date) as day, "column", psi, psi >= 0.2 as drifted from p""")
 def stream_drift(spark, d):
     """events as a stream: drift of each day against the first half."""
     events = table(spark, d, "events")
@@ -357,4 +389,4 @@ def stream_drift(spark, d):
     monitor.drift_stream(source.select("ts", "value", "event_type"), reference, "ts", f"{folder}/out",
                          f"{folder}/state", delay=delay).awaitTermination()
     found = monitor.stream_drift(spark, f"{folder}/out", reference)
-    return rounded(found.select(F.to_date("window_start").alias("day"), "column", "psi", "drifted"), psi=5)
+    return found.select(F.to_date("window_start").alias("day"), "column", "psi", "drifted")

@@ -121,12 +121,12 @@ def records_operation_counts(spark, d):
     return T.operation_counts(T.logged_actions(_action_events(spark, d)))
 
 
-@query("records_grouping_sets", f"""select model as model_name, fold, round(round(avg(rmse), 6), 5) as rmse, round(round(avg(r2), 6), 5) as r2
+@query("records_grouping_sets", f"""select model as model_name, fold, round(avg(rmse), 6) as rmse, round(avg(r2), 6) as r2
   from {FOLD_RESULTS} group by grouping sets ((model, fold), (model))""")
 def records_grouping_sets(spark, d):
     rows = T.result_rows(fold_results(spark, d), "run")
     return rows.select("model_name", "fold", *[
-        F.round(F.get_json_object("metrics_json", f"$.{m}").cast("double"), 5).alias(m) for m in ("rmse", "r2")])
+        F.get_json_object("metrics_json", f"$.{m}").cast("double").alias(m) for m in ("rmse", "r2")])
 
 
 @query("records_notes", """select min(doc_id) as pos, source as text from documents group by 2 order by 1""")
