@@ -32,9 +32,10 @@ SCALE = 1_000_000
 COVERED = 50
 NO_LANG = "und"
 
-#: Bytes of text hashed together, and phrases that a task counts at once.
+#: Bytes of text hashed together, words joined together, and phrases that a task counts at once.
 CHUNK = 1 << 20
-HELD = 2_000_000
+JOINED = 500_000
+HELD = 1_000_000
 
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09]] = True
@@ -130,6 +131,7 @@ def _first_relation(salt: int, frequent):
     return occurrences
 
 
+#: R1; each later relation has the rows of R1 that can extend it beside its own.
 FIRST = "at array<int>, phrase array<long>"
 RELATION = f"{FIRST}, at1 array<int>, word array<long>"
 
@@ -140,18 +142,29 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[cuts[0]:cuts[-1]], cuts - cuts[0]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut after about JOINED words each, so that a join's arrays stay small; a row is never cut."""
+    for batch in batches:
+        ends = batch.column(batch.num_columns - 1).offsets.to_numpy()
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + JOINED)) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def _joined(batch: pa.RecordBatch, k: int) -> tuple:
-    """R(k-1) merge-joined with R1: row, place and k words of each phrase of k words; R1's rows and places."""
-    at, cuts = _flat(batch.column("at"))
-    at1, cuts1 = _flat(batch.column("at1"))
+    """R(k-1) merge-joined with R1: row, place and k words of each phrase of k words; R1's rows, places and words."""
+    at, cuts = _flat(batch.column(0))
+    at1, cuts1 = _flat(batch.column(batch.num_columns - 2))
+    words = _flat(batch.column(batch.num_columns - 1))[0]
     rows = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     rows1 = np.repeat(np.arange(len(cuts1) - 1), np.diff(cuts1))
     key, key1 = (rows << 32) + at + (k - 1), (rows1 << 32) + at1  # both ascend
     near = np.searchsorted(key1, key)
     met = np.flatnonzero(np.append(key1, -1)[near] == key)
-    phrase = _flat(batch.column("phrase"))[0].reshape(-1, k - 1)[met]
-    word = _flat(batch.column("word"))[0][near[met]]
-    return rows[met], at[met], np.column_stack((phrase, word)).view(np.uint64), rows1, at1
+    phrase = _flat(batch.column(1))[0].reshape(-1, k - 1)[met]
+    return rows[met], at[met], np.column_stack((phrase, words[near[met]])).view(np.uint64), rows1, at1, words
 
 
 def folded(words: list[np.ndarray]) -> np.ndarray:
@@ -188,7 +201,7 @@ def _count_phrases(k: int):
                 [pa.array(phrases[first, i].view(np.int64)) for i in range(k)] + [pa.array(n.astype(np.int64))],
                 names=[*names, "n"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             held.append(_joined(batch, k)[2])
             size += len(held[-1])
             if size >= HELD:
@@ -208,8 +221,8 @@ def phrase_counts(relation: DataFrame, k: int, min_count: int) -> DataFrame:
 def _next_relation(k: int, frequent):
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = frequent.value
-        for batch in batches:
-            rows, at, phrases, rows1, at1 = _joined(batch, k)
+        for batch in _slices(batches):
+            rows, at, phrases, rows1, at1, words = _joined(batch, k)
             kept = has(bits, folded(list(phrases.T)))
             rows, at, phrases = rows[kept], at[kept], phrases[kept]
             after = np.isin((rows1 << 32) + at1, (rows << 32) + at + k)
@@ -217,7 +230,7 @@ def _next_relation(k: int, frequent):
             cuts, cuts1 = np.searchsorted(rows, np.arange(n + 1)), np.searchsorted(rows1[after], np.arange(n + 1))
             yield pa.RecordBatch.from_arrays([
                 _lists(at, cuts), _lists(np.ascontiguousarray(phrases).view(np.int64).ravel(), cuts * k),
-                _lists(at1[after], cuts1), _lists(_flat(batch.column("word"))[0][after], cuts1)],
+                _lists(at1[after], cuts1), _lists(words[after], cuts1)],
                 names=["at", "phrase", "at1", "word"])
     return extend
 
@@ -293,7 +306,6 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     found = {1: words.select(F.col("code").alias("c0"), "n")}
     frequent = spark.sparkContext.broadcast(bits_of(words, "code"))
     relation = _written_relation(texts.mapInArrow(_first_relation(salt, frequent), FIRST), folder)
-    relation = relation.select("*", F.col("at").alias("at1"), F.col("phrase").alias("word"))
     for k in range(2, most_words + 1):
         found[k] = written(phrase_counts(relation, k, min_count), folder)
         if k < most_words:
