@@ -1,8 +1,10 @@
-"""Dense nets trained where the rows are.
+"""Dense nets trained by synchronous mini-batch Adam.
 
-A round is one job: every partition starts from the shared weights, runs mini-batch Adam
-over its own rows and returns its state; states are averaged by rows (parallel SGD with
-parameter averaging). Only weights travel: they are merged in Spark down to a few slots.
+Rows are dealt into small groups by their key, and every epoch deals the groups anew into mini-batches. A step adds up
+the gradient over all rows of its batch, wherever they are, and changes the weights once; so a net is the same for any
+number of partitions. Rows that fit one task are trained there in one job. Beyond, a step is one job that reads its
+groups only and returns sums of the size of the weights. (A barrier stage would do the same without jobs, but Spark
+looks for its gathered messages once a second, ten times the time of such a job.)
 """
 
 from __future__ import annotations
@@ -20,11 +22,16 @@ from pyspark.sql import functions as F
 from tablewright.functions import fixed
 from tablewright.operators.learners import LearnedModel, Learner, moments
 
-# Passes over each Arrow batch of a partition between two averagings, whatever the table's size.
-LOCAL_PASSES = 10
-# Rows a partition should have before averaging over more partitions pays.
-ROWS_PER_PARTITION = 5_000
+# Rows of a task; a table of no more is trained in one.
+ROWS_PER_TASK = 20_000
+# Sums of this many tasks at most reach the driver in one step; those of more are added up in as many slots first.
 SLOTS = 32
+# Steps of an epoch at most; the batches of larger tables hold more rows than asked.
+MOST_STEPS = 1_000
+# Groups of a batch.
+GROUPS = 4
+# Epochs without an improvement by tol after which training ends.
+PATIENCE = 10
 
 AUTOENCODER = {  # Fixed values: the default net of the latent step.
     "hidden_dims": [64, 32], "latent_dim": 8, "epochs": 30, "batch_size": 64,
@@ -67,105 +74,160 @@ class Net:
                 break
         return acts
 
-    def gradient(self, flat, x, y, alpha: float):
+    def gradient(self, flat, x, y):
+        """Loss and gradient summed over the rows (the mean over the outputs for squared errors)."""
         acts = self.forward(x, flat)
-        out, n = acts[-1], len(x)
+        out = acts[-1]
         if self.loss == "softmax":
             e = np.exp(out - out.max(axis=1, keepdims=True))
             p = e / e.sum(axis=1, keepdims=True)
-            loss = -np.log(np.maximum(p[y.astype(bool)], 1e-300)).mean()
-            delta = (p - y) / n
+            loss = -np.log(np.maximum(p[y.astype(bool)], 1e-300)).sum()
+            delta = p - y
         else:
             diff = out - y
-            loss = float((diff ** 2).mean())
-            delta = 2.0 * diff / diff.size
+            loss = float((diff ** 2).sum()) / diff.shape[1]
+            delta = 2.0 * diff / diff.shape[1]
         grads = []
         layers = self.layers(flat)
         for i in range(len(layers) - 1, -1, -1):
             w, _ = layers[i]
-            grads.append((acts[i].T @ delta + alpha * w / n, delta.sum(axis=0)))
+            grads.append((acts[i].T @ delta, delta.sum(axis=0)))
             if i:
                 delta = delta @ w.T
                 if self._active(i - 1):
                     delta = delta * (acts[i] > 0)
-        flat_grad = np.concatenate([part.ravel() for g in reversed(grads) for part in g])
-        return loss, flat_grad
-
-
-def _adam(net: Net, state, x, y, cfg, rng):
-    """One pass of mini-batch Adam over the rows of a partition."""
-    size = len(net.flat)
-    w, m, v, t = state[:size].copy(), state[size:2 * size].copy(), state[2 * size:3 * size].copy(), state[-1]
-    total, batch = 0.0, max(1, int(cfg["batch_size"]))
-    order = rng.permutation(len(x))
-    for start in range(0, len(x), batch):
-        rows = order[start:start + batch]
-        xb, yb = x[rows], y[rows]
-        inp = xb + rng.normal(scale=cfg["noise_std"], size=xb.shape) if cfg["noise_std"] else xb
-        loss, g = net.gradient(w, inp, yb, cfg["alpha"])
-        t += 1
-        m = 0.9 * m + 0.1 * g
-        v = 0.999 * v + 0.001 * g * g
-        w -= cfg["learning_rate"] * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-        total += loss * len(rows)
-    return np.concatenate([w, m, v, [t]]), total
-
-
-def train(rows: DataFrame, n: int, net: Net, cfg: dict, seed: int, target: str) -> tuple[Net, float]:
-    """``rows`` has x (array of double) and, unless the input is the target, y.
-
-    ``cfg``: epochs, batch_size, learning_rate, alpha, noise_std, mean, std, tol. Rows are
-    standardised inside the task. Stops when ten passes have not improved the loss by tol.
+        return loss, np.concatenate([part.ravel() for g in reversed(grads) for part in g])
+
+    def is_weight(self):
+        """True for the weights, False for the biases, in the order of the flat vector."""
+        return np.concatenate([np.repeat([True, False], [a * b, b]) for a, b in self.shapes])
+
+
+def batch_count(n: int, batch_size: int) -> int:
+    """Mini-batches of an epoch over n rows."""
+    return max(1, round(n / max(batch_size, math.ceil(n / MOST_STEPS), 1)))
+
+
+def batches_of(batches: int, seed: int, epoch: int) -> np.ndarray:
+    """(batch, its groups) of an epoch."""
+    return np.random.default_rng([seed, epoch]).permutation(batches * GROUPS).reshape(batches, GROUPS)
+
+
+def _noise(keys: np.ndarray, seed: int, epoch: int, width: int, scale: float) -> np.ndarray:
+    """Noise of each row by its key, so that it does not depend on where the row is."""
+    return np.vstack([np.random.default_rng([seed, epoch, int(k)]).normal(scale=scale, size=width)
+                      for k in keys.astype(np.int64).view(np.uint64)])
+
+
+def batch_sums(net: Net, w: np.ndarray, keys: np.ndarray, x: np.ndarray, y: np.ndarray, cfg: dict, seed: int,
+               epoch: int) -> np.ndarray:
+    """Rows, loss and gradient of some rows, added up."""
+    inp = x + _noise(keys, seed, epoch, x.shape[1], cfg["noise_std"]) if cfg["noise_std"] and len(x) else x
+    if not len(x):
+        return np.zeros(len(w) + 2)
+    loss, gradient = net.gradient(w, inp, y)
+    return np.concatenate(([len(x), loss], gradient))
+
+
+def adam(net: Net, n: int, cfg: dict, seed: int, sums_of) -> tuple[np.ndarray, float]:
+    """Weights and the last epoch's loss. sums_of(weights, epoch, groups) adds up the rows of the groups.
+
+    cfg: epochs, batch_size, learning_rate, alpha, noise_std, tol (None: no early end).
     """
-    wanted = max(1, math.ceil(n / ROWS_PER_PARTITION))
-    rows = rows.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)
-    mean, std = np.asarray(cfg["mean"]), np.asarray(cfg["std"])
-    state = np.concatenate([net.flat, np.zeros(2 * len(net.flat) + 1)])
+    batches, penalty = batch_count(n, int(cfg["batch_size"])), net.is_weight() * cfg["alpha"]
+    w, m, v, t = net.flat.copy(), np.zeros_like(net.flat), np.zeros_like(net.flat), 0
     best, stale, loss = math.inf, 0, math.nan
-    sizes, kind, linear_after = net.sizes, net.loss, net.linear_after
-    n_classes, epochs = sizes[-1], int(cfg["epochs"])
+    for epoch in range(int(cfg["epochs"])):
+        total, seen = 0.0, 0.0
+        for groups in batches_of(batches, seed, epoch):
+            sums = sums_of(w, epoch, groups)
+            if not sums[0]:
+                continue
+            g = (sums[2:] + penalty * w) / sums[0]
+            t += 1
+            m = 0.9 * m + 0.1 * g
+            v = 0.999 * v + 0.001 * g * g
+            w = w - cfg["learning_rate"] * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+            seen, total = seen + sums[0], total + sums[1]
+        loss = total / seen
+        if cfg.get("tol") is not None:
+            stale = 0 if loss < best - cfg["tol"] else stale + 1
+            best = min(best, loss)
+            if stale >= PATIENCE:
+                break
+    return w, loss
+
+
+def train(rows: DataFrame, n: int, net: Net, cfg: dict, seed: int, target: str,
+          tasks: int | None = None) -> tuple[Net, float]:
+    """``rows``: key (64-bit, equal keys share a batch), x (array of double) and, unless the input is the target, y.
+
+    ``cfg``: that of adam, mean and std; rows are standardised inside the tasks. ``tasks``: partitions to train in,
+    else one for each ROWS_PER_TASK rows.
+    """
+    tasks = tasks or max(1, math.ceil(n / ROWS_PER_TASK))
+    groups = batch_count(n, int(cfg["batch_size"])) * GROUPS
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(groups)).cast("int"))
+    mean, std = np.asarray(cfg["mean"]), np.asarray(cfg["std"])
+    sizes, kind, linear_after, flat = net.sizes, net.loss, net.linear_after, net.flat
+    small = {k: v for k, v in cfg.items() if k not in ("mean", "std")}
+
+    def arrays(held: list[pd.DataFrame]):
+        keys = np.concatenate([np.zeros(0, np.int64), *[p["key"].to_numpy(dtype=np.int64) for p in held]])
+        x = (np.vstack([np.zeros((0, sizes[0])), *[np.vstack(p["x"].to_numpy()) for p in held]]) - mean) / std
+        if target == "input":
+            return keys, x, x
+        y = np.concatenate([np.zeros(0), *[p["y"].to_numpy(dtype=float) for p in held]])
+        return keys, x, np.eye(sizes[-1])[y.astype(int)] if target == "class" else y.reshape(-1, 1)
+
+    def alone(batches):
+        held = [pdf for pdf in batches if len(pdf)]
+        keys, x, y = arrays(held)
+        grp = np.concatenate([np.zeros(0, np.int64), *[p["grp"].to_numpy() for p in held]])
+        order = np.lexsort((keys, grp))  # sums do not depend on the order in which rows arrive
+        keys, x, y, grp = keys[order], x[order], y[order], grp[order]
+        cuts, worker = np.searchsorted(grp, np.arange(groups + 1)), Net(sizes, kind, linear_after, flat)
+
+        def sums_of(w, epoch, some):
+            at = np.concatenate([np.arange(cuts[g], cuts[g + 1]) for g in some])
+            return batch_sums(worker, w, keys[at], x[at], y[at], small, seed, epoch)
+
+        w, loss = adam(worker, n, small, seed, sums_of)
+        yield pd.DataFrame({"loss": [loss], "flat": [w]})
+
+    if tasks == 1:
+        found = rows.coalesce(1).mapInPandas(alone, "loss double, flat array<double>").first()
+        return Net(sizes, kind, linear_after, found["flat"]), float(found["loss"])
+
+    # Sorted by group, so that a step reads the cached blocks of its groups only.
+    kept = rows.repartition(tasks, "key").sortWithinPartitions("grp", "key").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def together(w, epoch, some):
+        def run(batches):
+            from pyspark import TaskContext
+            worker, total = Net(sizes, kind, linear_after, flat), np.zeros(len(w) + 2)
+            for pdf in batches:
+                if len(pdf):
+                    total += batch_sums(worker, w, *arrays([pdf]), small, seed, epoch)
+            yield pd.DataFrame({"slot": [TaskContext.get().partitionId() % SLOTS], "sums": [total]})
+
+        sums = kept.filter(F.col("grp").isin([int(g) for g in some])).mapInPandas(run, "slot int, sums array<double>")
+        if tasks > SLOTS:
+            sums = sums.groupBy("slot").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+        return np.sum([r["sums"] for r in sums.collect()], axis=0)
+
     try:
-        for epoch in range(0, epochs, LOCAL_PASSES):
-            shared = state
-
-            def run(batches, shared=shared, epoch=epoch):
-                from pyspark import TaskContext
-                part = TaskContext.get().partitionId()
-                rng = np.random.default_rng([seed, epoch, part])
-                worker = Net(sizes, kind, linear_after, shared[:(len(shared) - 1) // 3])
-                mine, seen, total = shared, 0, 0.0
-
-                def pairs(pdf):
-                    x = (np.vstack(pdf["x"].to_numpy()) - mean) / std
-                    if target == "input":
-                        return x, x
-                    if target == "class":
-                        return x, np.eye(n_classes)[pdf["y"].to_numpy(dtype=int)]
-                    return x, pdf["y"].to_numpy(dtype=float).reshape(-1, 1)
-
-                held = (pairs(pdf) for pdf in batches if len(pdf))  # an Arrow batch at a time
-                for x, y in held:
-                    for _ in range(min(LOCAL_PASSES, epochs - epoch)):
-                        mine, part_loss = _adam(worker, mine, x, y, cfg, rng)
-                    seen, total = seen + len(x), total + part_loss
-                if seen:
-                    yield pd.DataFrame({"slot": [part % SLOTS], "n": [float(seen)], "loss": [total], "state": [mine]})
-
-            states = rows.mapInPandas(run, "slot int, n double, loss double, state array<double>")
-            merged = states.groupBy("slot").agg(
-                F.sum("n").alias("n"), F.sum("loss").alias("loss"),
-                Summarizer.mean(array_to_vector("state"), F.col("n")).alias("state")).collect()
-            weights = np.array([r["n"] for r in merged])
-            state = np.average([r["state"].toArray() for r in merged], axis=0, weights=weights)
-            loss = sum(r["loss"] for r in merged) / weights.sum()
-            if cfg.get("tol") is not None:
-                stale = 0 if loss < best - cfg["tol"] else stale + 1
-                best = min(best, loss)
-                if stale:
-                    break
+        w, loss = adam(net, n, small, seed, together)
     finally:
-        rows.unpersist()
-    return Net(sizes, kind, linear_after, state[:len(net.flat)]), float(loss)
+        kept.unpersist()
+    return Net(sizes, kind, linear_after, w), float(loss)
+
+
+def _row_key(learner: Learner, features: str, label: str | None = None):
+    """64 bits of the row's key, or of its values where no key is known: equal rows then share a batch."""
+    key = learner.column("keyCol")
+    values = [F.col(key)] if key else [vector_to_array(features), *([F.col(label)] if label else [])]
+    return F.xxhash64(*values).alias("key")
 
 
 def _as_state(net: Net, scale: dict, **more) -> dict:
@@ -209,7 +271,7 @@ class Autoencoder(Learner):
                "noise_std": self.option("noise_std") if self.option("denoising") else 0.0,
                "mean": scale["mean"], "std": scale["std"]}
         seed = self.option("seed")
-        rows = dataset.select(vector_to_array(x).alias("x"))
+        rows = dataset.select(_row_key(self, x), vector_to_array(x).alias("x"))
         net, loss = train(rows, scale["n"], Net(sizes, "mse", len(hidden), seed=seed), cfg, seed, "input")
         return self._model(AutoencoderModel, _as_state(net, scale, latent=len(hidden), train_loss=loss))
 
@@ -257,7 +319,8 @@ class NetClassifier(Learner):
         scale = _safe(moments(dataset, x))
         net = Net([len(scale["mean"]), *self.option("hidden"), self.option("n_classes")], "softmax",
                   seed=self.option("seed"))
-        rows = dataset.select(vector_to_array(x).alias("x"), F.col(self.column("labelCol")).alias("y"))
+        y = self.column("labelCol")
+        rows = dataset.select(_row_key(self, x, y), vector_to_array(x).alias("x"), F.col(y).alias("y"))
         net, loss = train(rows, scale["n"], net, _net_cfg(self, scale), self.option("seed"), "class")
         return self._model(NetClassifierModel, _as_state(net, scale, train_loss=loss))
 
@@ -292,7 +355,8 @@ class NetRegressor(Learner):
         row = dataset.agg(F.avg(y).alias("m"), F.stddev_pop(y).alias("s")).first()
         centre, width = row["m"] or 0.0, row["s"] or 1.0
         net = Net([len(scale["mean"]), *self.option("hidden"), 1], "mse", seed=self.option("seed"))
-        rows = dataset.select(vector_to_array(x).alias("x"), ((F.col(y) - centre) / width).alias("y"))
+        rows = dataset.select(_row_key(self, x, y), vector_to_array(x).alias("x"),
+                              ((F.col(y) - centre) / width).alias("y"))
         net, loss = train(rows, scale["n"], net, _net_cfg(self, scale), self.option("seed"), "value")
         return self._model(NetRegressorModel, _as_state(net, scale, train_loss=loss, centre=centre, width=width))
 

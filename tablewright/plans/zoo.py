@@ -128,11 +128,11 @@ def bayes(p, s):
 
 
 def net_classifier(p, s):
-    return NetClassifier.of(n_classes=s.n_classes, seed=s.seed, **p)
+    return NetClassifier.of(s.key, n_classes=s.n_classes, seed=s.seed, **p)
 
 
 def net_regressor(p, s):
-    return NetRegressor.of(seed=s.seed, **p)
+    return NetRegressor.of(s.key, seed=s.seed, **p)
 
 
 def isolation(p, s):
