@@ -201,9 +201,12 @@ def vote_weight(weights: str):
 
 
 class Neighbors(Learner):
-    """Classifier (class indexes) or regressor by the k nearest training rows."""
+    """Classifier (class indexes) or regressor by the k nearest training rows.
 
-    DEFAULTS = {"n_neighbors": 5, "weights": "uniform", "n_classes": 0}
+    search: "exact", or "hashed" for the neighbours that locality-sensitive hashing finds (operators/hashing.py).
+    """
+
+    DEFAULTS = {"n_neighbors": 5, "weights": "uniform", "n_classes": 0, "search": "exact"}
 
     def _fit(self, dataset):
         rows = _rows(self, dataset, F.col(self.column("labelCol")).cast("double").alias("label"))
@@ -215,8 +218,10 @@ class Neighbors(Learner):
 
 class NeighborsModel(_RowsModel):
     def neighbours(self, dataset: DataFrame) -> DataFrame:
+        from tablewright.operators.hashing import nearest_hashed
         s = self.fitted
-        found = nearest(self.queries(dataset), self.rows.select("key", "x"), s["n_neighbors"], n_refs=s["n"])
+        search = nearest_hashed if s.get("search") == "hashed" else nearest
+        found = search(self.queries(dataset), self.rows.select("key", "x"), s["n_neighbors"], n_refs=s["n"])
         return found.join(self.rows.select(F.col("key").alias("ref"), "label"), "ref")
 
     def _transform(self, dataset):

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tablewright.operators import explain as X
-from tablewright.operators import features, folds, neighbors, ranking
+from tablewright.operators import features, folds, hashing, neighbors, ranking
 from tablewright.operators.forest import IsolationForest
 from tablewright.operators.drift import drift_reference
 from tablewright.operators.kernels import GaussianBayes
@@ -76,6 +76,14 @@ def knn_weighted(spark, d):
     return rounded(_knn(spark, d, n_neighbors=7, weights="distance").select("key", "prediction"), prediction=6)
 
 
+@query("knn_hashed_recall", "select count(*) as queries, true as enough from embeddings")
+def knn_hashed_recall(spark, d):
+    """Whether hashing finds nine in ten of the exact five neighbours of all rows."""
+    rows = vectors(spark, d).select("key", "x").persist()
+    return hashing.recall(rows, rows, 5, skip_same=True, most_queries=rows.count()).select(
+        "queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 LOF = f"""with p as {_near(20, 'a.key <> b.key')}, k as (select q, max(d) as kd from p group by 1),
   l as (select p.q, 1 / (avg(greatest(kd, d)) + 1e-10) as lrd from p join k on k.q = p.r group by 1)
   select p.q as key, round(avg(n.lrd) / any_value(l.lrd), 6) as lof from p join l on l.q = p.q join l n on n.q = p.r group by p.q"""
