@@ -2,10 +2,11 @@
 
 Distinct words are encoded by Spark higher-order functions: an `aggregate` folds over the word's bytes and merges, in
 each step, the adjacent pair of lowest rank. Ranks come from one literal map, cut by the hash of the piece so that a
-lookup compares a few keys. Counted over the whole table, the most frequent words (a bounded number) are encoded so,
-once, and their ids broadcast. A word outside that list is merged by the same rule in the task that meets it, as the
-fold is too slow for words that occur once (see README); so the ids do not depend on the bound, and no text is
-shuffled. Decoding looks the pieces up in one literal array and joins their bytes.
+lookup compares a few keys; it stands once in the plan. The most frequent words (a bounded number, counted over a fixed
+share of the texts) are encoded so, once, and their ids broadcast. A word outside that list is merged by the same rule in
+the task that meets it, as the fold is too slow for words that occur once (see README); so the ids depend neither on
+the bound nor on the share, and no text is shuffled. Decoding looks the pieces up in one literal array and joins their
+bytes.
 """
 
 from __future__ import annotations
@@ -31,10 +32,14 @@ from tablewright.llm.common import full_text, let, written
 #: Words whose ids are broadcast, and the longest of them in bytes: the broadcast has a fixed bound.
 FREQUENT = 1 << 17
 FREQUENT_BYTES = 32
+#: Frequent words are counted over every text whose hash is a multiple of this; ids do not depend on it.
+SHARE = 8
 #: Parts of the literal rank map.
 PARTS = 1 << 14
-#: Distinct words that a task holds before it hands them on or starts afresh.
+#: Distinct words that a counting task holds before it hands them on.
 HELD = 300_000
+#: Chunks that a worker remembers in each of two generations.
+REMEMBERED = 400_000
 #: Bytes from which a word is merged with a heap.
 LONG = 64
 
@@ -58,20 +63,24 @@ class Ranks:
         self.parts = parts
         self.literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
-    def of(self, piece: Column) -> Column:
-        """Rank of a piece, NULL if it is none."""
-        return F.get(self.literal, F.pmod(F.xxhash64(piece), F.lit(self.parts)).cast("int"))[piece]
+    def of(self, table: Column, piece: Column) -> Column:
+        """Rank of a piece in the bound table, NULL if it is none."""
+        return F.get(table, F.pmod(F.xxhash64(piece), F.lit(self.parts)).cast("int"))[piece]
 
 
 def encode_word(word: Column, ranks: Ranks) -> Column:
     """Token ids of one word (binary): ranked merges folded over its bytes."""
+    return let(ranks.literal, lambda table: _fold(word, lambda piece: ranks.of(table, piece)))
+
+
+def _fold(word: Column, rank_of) -> Column:
     code = F.hex(word)
     n = F.length(code) / 2
     none = F.lit(None).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substring(code, i * 2 + 1, F.lit(2)))
 
     def pair_rank(p: Column, i: Column) -> Column:
-        return ranks.of(F.concat(F.get(p, i), F.get(p, i + 1)))
+        return rank_of(F.concat(F.get(p, i), F.get(p, i + 1)))
 
     def start(p: Column) -> Column:
         pairs = F.transform(p, lambda _, i: F.when(i + 1 < F.size(p), pair_rank(p, i)).otherwise(none))
@@ -101,9 +110,9 @@ def encode_word(word: Column, ranks: Ranks) -> Column:
         return F.when(lowest.isNull(), state).otherwise(let(lowest, at))
 
     folded = let(pieces, lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p)), start(p), merge, lambda s: s["p"]))
-    ids = let(folded, lambda p: F.transform(p, lambda piece: ranks.of(piece)))
+    ids = let(folded, lambda p: F.transform(p, rank_of))
     # a word that is a piece needs no merges
-    return let(code, lambda c: let(ranks.of(c), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(ids)))
+    return let(code, lambda c: let(rank_of(c), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(ids)))
 
 
 # -- words of a text ---------------------------------------------------------------------
@@ -152,12 +161,14 @@ def _count_words(pattern: str):
     return count
 
 
-def frequent_words(docs: DataFrame, pattern: str, most: int = FREQUENT, folder: str | None = None) -> DataFrame:
+def frequent_words(docs: DataFrame, pattern: str, most: int = FREQUENT, folder: str | None = None,
+                   share: int = SHARE) -> DataFrame:
     """The words of highest count, `most` at most: those at or above a count that all together keep the bound.
 
-    The bound is found from counts of counts on a logarithmic scale (a few hundred rows), so no task sorts all words.
+    Counted over the texts whose hash is a multiple of `share`. The bound is found from counts of counts on a logarithmic scale (a few hundred rows), so no task sorts all words.
     """
-    counted = (docs.select("text").mapInArrow(_count_words(pattern), "word string, n long").groupBy("word")
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    counted = (some.select("text").mapInArrow(_count_words(pattern), "word string, n long").groupBy("word")
                .agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
                .withColumn("step", F.floor(F.log2("n") * 16).cast("int")))
     counted = written(counted, folder)
@@ -247,36 +258,63 @@ class Merges:
 
 
 class _Ids(dict):
-    """Chunk -> its token ids as bytes of 32-bit numbers, remembered for a bounded number of chunks and words."""
+    """Chunk -> its token ids as bytes of 32-bit numbers, remembered for a bounded number of chunks.
+
+    Two generations: when the younger is full it becomes the older, and what is met again moves up.
+    """
 
-    def __init__(self, known: dict[str, bytes], merges: Merges, pattern: str) -> None:
+    def __init__(self, known: pa.Table, merges: Merges, pattern: str) -> None:
         super().__init__()
-        self.known, self.merges, self.cut = known, merges, regex.compile(pattern)
-        self.rare: dict[str, bytes] = {}
+        self.known = {w: np.array(ids, dtype="<i4").tobytes()
+                      for w, ids in zip(known.column("word").to_pylist(), known.column("ids").to_pylist())}
+        self.merges, self.cut, self.older = merges, regex.compile(pattern), {}
+        self.parts: dict[str, bytes] = {}  # matches inside other chunks
 
     def of_word(self, word: str) -> bytes:
-        ids = self.known.get(word) or self.rare.get(word)
+        return self.known.get(word) or array("i", self.merges.of(word.encode())).tobytes()
+
+    def of_words(self, text: str) -> bytes:
+        return b"".join(map(self.of_part, self.cut.findall(text)))
+
+    def of_part(self, word: str) -> bytes:
+        if one_word(word):
+            return self[word]
+        ids = self.parts.get(word)
         if ids is None:
-            if len(self.rare) >= HELD:
-                self.rare.clear()
-            ids = array("i", self.merges.of(word.encode())).tobytes()
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            ids = self.of_word(word)
             if len(word) <= LONG:
-                self.rare[word] = ids
+                self.parts[word] = ids
         return ids
 
-    def of_words(self, text: str) -> bytes:
-        return b"".join(map(self.of_word, self.cut.findall(text)))
-
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= HELD:
-            self.clear()
-        self[chunk] = ids = self.of_word(chunk) if one_word(chunk) else self.of_words(chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.of_word(chunk) if one_word(chunk) else self.of_words(chunk)
+        if len(chunk) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
         return ids
 
 
+#: The memory of a worker process, which serves one task after the other: (its broadcasts, pattern) and the ids.
+_REMEMBERED: list = [None, None]
+
+
+def _ids_of(known, merges, pattern: str) -> _Ids:
+    key = (known.value, merges.value, pattern)
+    held = _REMEMBERED[0]
+    if held is None or held[0] is not key[0] or held[1] is not key[1] or held[2] != pattern:
+        _REMEMBERED[:] = [key, _Ids(pa.ipc.open_stream(key[0]).read_all(), key[1], pattern)]
+    return _REMEMBERED[1]
+
+
 def _encode(known, merges, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(known.value, merges.value, pattern)
+        ids = _ids_of(known, merges, pattern)
         for batch in batches:
             lists = []
             for text in batch.column("text").to_pylist():
@@ -303,10 +341,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     words = frequent_words(rows, pattern, most, folder)
     # as many tasks as cores: each has the literal to load, and the words are bounded
     coded = words.repartition(spark.sparkContext.defaultParallelism).select("word", encode_word(F.col("word").cast("binary"), literal).alias("ids"))
-    table = coded.toArrow()  # `most` rows at most
-    known = {w: np.array(ids, dtype="<i4").tobytes()
-             for w, ids in zip(table.column("word").to_pylist(), table.column("ids").to_pylist())}
-    sent = [spark.sparkContext.broadcast(x) for x in (known, Merges(ranks))]
+    table, sink = coded.toArrow(), pa.BufferOutputStream()  # `most` rows at most
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    sent = [spark.sparkContext.broadcast(x) for x in (sink.getvalue().to_pybytes(), Merges(ranks))]
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_encode(*sent, pattern), f"doc_id {id_type}, ids array<int>")
 
