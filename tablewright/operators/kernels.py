@@ -1,94 +1,16 @@
-"""Kernel models re-aimed at random Fourier features, and Gaussian naive Bayes."""
+"""Gaussian naive Bayes."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from tablewright.functions import fixed
 from tablewright.operators.learners import LearnedModel, Learner, moments
 
 
-class FourierMap(Learner):
-    """RBF kernel of width gamma as an explicit map: 'scale' = 1 / (d Var X), 'auto' = 1 / d."""
-
-    DEFAULTS = {"gamma": "scale", "size": 256, "seed": fixed.SEED, "output": "mapped"}
-
-    def _fit(self, dataset):
-        s = moments(dataset, self.column("featuresCol"))
-        mean, std = np.array(s["mean"]), np.array(s["std"])
-        d = len(mean)
-        gamma = self.option("gamma")
-        if gamma == "scale":
-            spread = float((std ** 2).mean() + mean.var())  # variance of all matrix entries
-            gamma = 1.0 / (d * spread) if spread > 0 else 1.0
-        elif gamma == "auto":
-            gamma = 1.0 / d
-        return self._model(FourierMapModel, {"gamma": gamma, "d": d, "size": self.option("size"),
-                                             "seed": self.option("seed"), "output": self.option("output")})
-
-
-class FourierMapModel(LearnedModel):
-    def _transform(self, dataset):
-        s = self.fitted
-        rng = np.random.default_rng(s["seed"])
-        w = rng.normal(scale=np.sqrt(2.0 * s["gamma"]), size=(s["d"], s["size"]))
-        b = rng.uniform(0.0, 2.0 * np.pi, s["size"])
-        factor = np.sqrt(2.0 / s["size"])
-
-        @F.pandas_udf("array<double>")
-        def run(x: pd.Series) -> pd.Series:
-            return pd.Series(list(factor * np.cos(np.vstack(x.to_numpy()) @ w + b)) if len(x) else [])
-        return dataset.withColumn(s["output"], array_to_vector(run(self.features())))
-
-
-class OneClassSVM(Learner):
-    """Linear one-class objective on mapped features: 1/2 |w|^2 - rho + hinge / (nu n).
-
-    Sub-gradients are summed per partition and merged in Spark, one job per step.
-    """
-
-    DEFAULTS = {"nu": 0.5, "steps": 40}
-
-    def _fit(self, dataset):
-        x, nu = self.column("featuresCol"), self.option("nu")
-        rows = dataset.select(x).persist(StorageLevel.MEMORY_AND_DISK)
-        first = rows.select(Summarizer.metrics("count", "mean").summary(F.col(x)).alias("s")).first()["s"]
-        n, w = first["count"], first["mean"].toArray()
-        rho = float(w @ w)
-        for step in range(int(self.option("steps"))):
-            margin = _dot(x, w)
-            out = rows.withColumn("_m", margin).filter(F.col("_m") < rho).select(
-                Summarizer.metrics("count", "sum").summary(F.col(x)).alias("s")).first()["s"]
-            k = out["count"]
-            pull = out["sum"].toArray() / (nu * n) if k else np.zeros(len(w))
-            rate = 1.0 / (step + 2.0)
-            w = w - rate * (w - pull)
-            rho = rho + rate * (1.0 - k / (nu * n)) * max(abs(rho), 1e-3)
-        rows.unpersist()
-        return self._model(OneClassSVMModel, {"w": w.tolist(), "rho": rho})
-
-
-def _dot(x: str, w: np.ndarray):
-    @F.pandas_udf("double")
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series(np.vstack(v.to_numpy()) @ w if len(v) else [], dtype=float)
-    return run(vector_to_array(x))
-
-
-class OneClassSVMModel(LearnedModel):
-    """score = distance below the boundary, larger = more anomalous."""
-
-    def _transform(self, dataset):
-        s = self.fitted
-        return dataset.withColumn("score", s["rho"] - _dot(self.column("featuresCol"), np.array(s["w"]))).withColumn(
-            "prediction", (F.col("score") > 0).cast("double"))
-
-
 class GaussianBayes(Learner):
     """Per class and feature: mean and variance, from one grouped aggregate."""
 

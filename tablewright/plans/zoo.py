@@ -6,17 +6,18 @@ what gives the same optimum in Spark where there is one.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 
 from tablewright.operators.boosting import HistBoosting
+from tablewright.operators.dual import DualSVM, LandmarkMap
 from tablewright.operators.forest import IsolationForest
-from tablewright.operators.kernels import FourierMap, GaussianBayes, OneClassSVM
+from tablewright.operators.kernels import GaussianBayes
 from tablewright.operators.neighbors import LocalOutlierFactor, Neighbors
 from tablewright.operators.net import NetClassifier, NetRegressor
 
@@ -97,25 +98,22 @@ def boosted_regressor(p, s):
 
 
 def _mapped(p, s, *stages):
-    first = FourierMap.of(gamma=p.get("gamma", "scale"), seed=s.seed)
+    first = LandmarkMap.of(gamma=p.get("gamma", "scale"), seed=s.seed)
     return Pipeline(stages=[first, *stages])
 
 
+def _dual(s, objective: str, **options):
+    return DualSVM(featuresCol="mapped", options=json.dumps({"objective": objective, "seed": s.seed, **options}))
+
+
 def kernel_classifier(p, s):
-    """Linear margin on the mapped features, probabilities by a logistic fit on the margin."""
-    svc = LinearSVC(featuresCol="mapped", maxIter=100, regParam=1.0 / (p.get("C", 1.0) * s.n),
-                    rawPredictionCol="margin", standardization=False, tol=1e-4)
-    if s.n_classes > 2:
-        svc = OneVsRest(classifier=LinearSVC(featuresCol="mapped", maxIter=100, standardization=False, tol=1e-4,
-                                             regParam=1.0 / (p.get("C", 1.0) * s.n)),
-                        featuresCol="mapped", rawPredictionCol="margin")
+    """Margins in the landmark space, probabilities by a logistic fit on them."""
     platt = LogisticRegression(featuresCol="margin", predictionCol="likely", rawPredictionCol="likely_raw", maxIter=50)
-    return _mapped(p, s, svc, platt)
+    return _mapped(p, s, _dual(s, "hinge", C=p.get("C", 1.0), n_classes=s.n_classes), platt)
 
 
 def kernel_regressor(p, s):
-    return _mapped(p, s, LinearRegression(featuresCol="mapped", loss="huber", maxIter=200,
-                                          regParam=1.0 / (p.get("C", 1.0) * s.n), standardization=False))
+    return _mapped(p, s, _dual(s, "epsilon", C=p.get("C", 1.0), epsilon=p.get("epsilon", 0.1)))
 
 
 def neighbours(p, s):
@@ -144,8 +142,7 @@ def outlier_factor(p, s):
 
 
 def one_class(p, s):
-    svm = OneClassSVM(featuresCol="mapped", options=f'{{"nu": {float(p.get("nu", 0.5))}}}')
-    return _mapped(p, s, svm)
+    return _mapped(p, s, _dual(s, "one_class", nu=float(p.get("nu", 0.5))))
 
 
 def absent(package: str):
