@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import time
 import zlib
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import Estimator
@@ -16,6 +15,7 @@ from tablewright.functions import fixed
 from tablewright.functions.exprs import nan_to_null
 from tablewright.operators.folds import Folds, check_folds
 from tablewright.operators.ranking import minimised
+from tablewright.plans.budget import BudgetSpent, left, side_by_side, within
 from tablewright.plans.training import FoldData, encode_fold, learn_labels, metric_maps, predictions
 from tablewright.plans.zoo import Entry, MissingPackage
 
@@ -78,7 +78,8 @@ def tune(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder: Estimat
          spaces: dict[str, dict] | None = None, threads: int = 4) -> tuple[DataFrame, list[tuple[str, str]]]:
     """The trial table (model, trial, params, value, status, seconds) and the skipped models.
 
-    Trials of a model run on a few driver threads; Spark interleaves their jobs.
+    Trials of a model run on a few driver threads, each in a pool of its own. A trial that runs when the time is up is
+    stopped and not recorded.
     """
     df = nan_to_null(df)
     check_folds(folds, df)
@@ -90,14 +91,14 @@ def tune(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder: Estimat
 
     def run(name, entry, number, params, deadline):
         began = time.monotonic()
-        if deadline is not None and began >= deadline:
-            return None
         value, status = None, "complete"
         try:
-            value = score_point(entry, params, data, labels, metric)
+            value = within(df.sparkSession, left(deadline), lambda: score_point(entry, params, data, labels, metric))
             status = "complete" if value is not None else "pruned"
         except MissingPackage:
             raise
+        except BudgetSpent:
+            return None
         except Exception:  # a bad combination prunes its trial
             status = "pruned"
         return name, number, json.dumps(params), value, status, round(time.monotonic() - began, 4)
@@ -116,8 +117,9 @@ def tune(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder: Estimat
                       if x is not None]
             deadline = min(limits) if limits else None
             try:
-                with ThreadPoolExecutor(threads) as pool:
-                    done = list(pool.map(lambda p: run(name, entry, p[0], p[1], deadline), enumerate(points[name])))
+                done = side_by_side(df.sparkSession, [
+                    lambda n=n, p=p, name=name, entry=entry, deadline=deadline: run(name, entry, n, p, deadline)
+                    for n, p in enumerate(points[name])], threads)
                 rows += [r for r in done if r is not None]
             except MissingPackage as problem:
                 skipped.append((name, f"missing package {problem.name}"))

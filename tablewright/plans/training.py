@@ -18,6 +18,7 @@ from tablewright.operators.explain import explain
 from tablewright.operators.folds import Folds, check_folds
 from tablewright.operators.metrics import anomaly_positive, evaluate
 from tablewright.operators.profile import require_columns
+from tablewright.plans.budget import BudgetSpent, left, within
 from tablewright.plans.zoo import Entry, MissingPackage, Shape
 
 ROWS_PER_TASK = 20_000
@@ -169,7 +170,7 @@ def cross_train(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder:
     A fold is encoded once and shared by all models, one fold at a time. Predictions are
     written below ``scratch`` (a shared folder), so metrics never run a model again. A model
     that fails is recorded and the others go on; with a time budget, models whose turn comes
-    after it (in the first fold: as it foretells) are skipped.
+    after it (in the first fold: as it foretells) are skipped, and a fit that runs when it ends is stopped.
     """
     df = nan_to_null(df)
     check_folds(folds, df)
@@ -180,6 +181,7 @@ def cross_train(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder:
     times: list[tuple] = []
     failed: set[str] = set()
     start = time.monotonic()
+    end = None if time_budget_seconds is None else start + time_budget_seconds
     path = f"{scratch}/oof"
     table = folds.attach(df, f"{scratch}/folds")
     for fold in range(folds.n_splits):
@@ -190,10 +192,17 @@ def cross_train(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder:
                 del active[name]
                 continue
             began = time.monotonic()
-            try:
+
+            def fit_and_predict(entry=entry, name=name, data=data, fold=fold):
                 fitted = entry.build(chosen[name], data.shape).fit(data.train)
                 predictions(fitted, data.test, name, fold).write.mode("append").partitionBy("model", "fold").parquet(path)
+
+            try:
+                within(spark, left(end), fit_and_predict)
                 times.append((name, fold, round(time.monotonic() - began, 4), "ok"))
+            except BudgetSpent:
+                skipped.append((name, "time budget spent"))
+                del active[name]
             except MissingPackage as problem:
                 skipped.append((name, f"missing package {problem.name}"))
                 alerts.append(f"Model '{name}' is skipped: {problem}")
@@ -207,6 +216,9 @@ def cross_train(df: DataFrame, folds: Folds, models: dict[str, Entry], encoder:
     if not any(t[3] == "ok" for t in times):
         raise ValueError("No model could be trained: " + "; ".join(alerts + [f"{m}: {r}" for m, r in skipped]))
     oof = spark.read.schema(f"key {dtype_of(df, folds.key).simpleString()}, {OOF}").parquet(path)
+    # a stopped write leaves nothing, a fit that ended late leaves rows that no result stands for
+    complete = [F.struct(F.lit(m).alias("model"), F.lit(k).alias("fold")) for m, k, _, state in times if state == "ok"]
+    oof = oof.filter(F.struct("model", "fold").isin(complete)) if skipped else oof
     if failed:
         oof = oof.filter(~F.col("model").isin(*failed))
         times = [t for t in times if t[0] not in failed or t[3] == "failed"]
