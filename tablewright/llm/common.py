@@ -33,6 +33,11 @@ def full_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of a table as one struct, whatever their names; getField takes them out again."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on equal keys, NULL equal to NULL; the right table's keys go, its other columns must not clash."""
     named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

@@ -1,106 +1,137 @@
-"""Line dedup by grouping windows of line hashes, in DataFrame functions only.
-
-Every window of `run` consecutive lines is grouped by its smallest line hash and a hash of all its lines, which together
-are a key of 128 bits for the whole window. Nothing is selected as winnowing would: no minima thin out the windows and no
-match is extended. Longer matches are the union of such windows. Of each group of equal windows the first place stays;
-the lines of all later ones go. No pair of occurrences is ever made: a group keeps its first place only, found in parts
-on each task.
+"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+
+From each line on, the shortest window that counts (`run` lines, or fewer with `least_words` words) selects its line of
+smallest hash as a fingerprint. Whatever run of lines two places share, if it counts, holds such a window, so both places
+select the same fingerprint in it. Fingerprints that stand at one place only are dropped; those left are joined with
+their positions and extended both ways to the runs of up to `run` lines around them. Equal runs meet by fingerprint and
+hash, their first place stays, and the lines of all later ones go; a longer match is the union of the runs around its
+fingerprints, which are never further apart than a window. No pair of places is made: a run keeps its first place only,
+found in parts on each task, and later places are looked up in a written table, so that a common run can be split.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import WORD_CHAR, full_text, let, match, words
+from tablewright.llm.common import WORD_CHAR, full_text, let, match, packed, words, written
 
-#: Lines of the shortest run that is removed.
+#: Lines of the shortest run that is removed, whatever it holds, and words of a shorter one that is removed.
 RUN = 3
+LEAST_WORDS = 50
 
 
-def line_hashes(text: Column, counted: bool = False) -> Column:
-    """(hash, at) of each line that has a word, in order; `at` is its number among all lines, from 0.
-
-    counted: also `words`, the line's number of words.
-    """
+def line_hashes(text: Column) -> Column:
+    """(hash, at, words) of each line that has a word, in order; `at` is its number among all lines, from 0."""
     lines = F.transform(F.split(text, "\n"), lambda line, at: F.struct(
         F.when(line.rlike(WORD_CHAR), F.xxhash64(F.trim(line))).alias("hash"), at.alias("at"),
-        *[F.size(words(line)).alias("words")] * counted))
+        F.size(words(line)).alias("words")))
     return F.filter(lines, lambda x: x["hash"].isNotNull())
 
 
-def windows(hashes: Column, run: int) -> Column:
-    """For each run of lines: start, lines (`run`), its fingerprint (smallest hash), the hash of all lines around it,
-    in order."""
-    def one(start: Column, part: Column) -> Column:
-        return F.struct(start.alias("start"), F.lit(run).alias("lines"), F.array_min(part).alias("fingerprint"),
-                        F.xxhash64(F.array_position(part, F.array_min(part)), part).alias("context"))
+def _counts(lines: Column, start: Column, size: int, run: int, least_words: int | None) -> Column:
+    """Whether `size` lines from `start` on are a run that counts; NULL or false where they reach over the end."""
+    inside = (start >= 0) & (start + size <= F.size(lines))
+    if size == run:
+        return inside
+    if least_words is None:
+        return F.lit(False)
+    held = reduce(add, [F.coalesce(F.get(lines, start + k)["words"], F.lit(0)) for k in range(size)])
+    return inside & (held >= least_words)
+
 
-    return F.when(F.size(hashes) >= run, F.transform(
-        F.sequence(F.lit(0), F.size(hashes) - run),
-        lambda i: let(F.slice(hashes, i + 1, F.lit(run)), lambda part: one(i, part)))).otherwise(
-        F.array().cast("array<struct<start:int,lines:int,fingerprint:bigint,context:bigint>>"))
+def minima(lines: Column, run: int, least_words: int | None) -> Column:
+    """Numbers of the lines that are the smallest (the first of equals) of some shortest window that counts."""
+    def smallest(i: Column) -> Column:
+        size = F.lit(None).cast("int")
+        for n in range(run, 0, -1):
+            size = F.when(_counts(lines, i, n, run, least_words), n).otherwise(size)
+        held = F.transform(F.slice(lines, i + 1, F.coalesce(size, F.lit(1))), lambda x, k: F.struct(x["hash"], (i + k).alias("p")))
+        return F.when(size.isNotNull(), F.array_min(held)["p"])
 
+    every = F.when(F.size(lines) > 0, F.transform(F.sequence(F.lit(0), F.size(lines) - 1), smallest))
+    return F.array_distinct(F.filter(F.coalesce(every, F.array().cast("array<int>")), lambda p: p.isNotNull()))
 
-def long_windows(lines: Column, run: int, least_words: int) -> Column:
-    """The windows of fewer than `run` lines that hold `least_words` words or more."""
-    def of_size(size: int) -> Column:
-        return F.filter(windows(F.transform(lines, lambda line: line["hash"]), size), lambda w: F.aggregate(
-            F.slice(lines, w["start"] + 1, F.lit(size)), F.lit(0), lambda n, line: n + line["words"]) >= least_words)
 
-    return F.concat(*[of_size(size) for size in range(1, run)])
+def fingerprints(rows: DataFrame, run: int, least_words: int | None) -> DataFrame:
+    """(doc_id, body, fingerprint, p, near) of the selected lines; near: (hash, words) of the lines around p that a run
+    over p can hold, `before` of them in front of p."""
+    found = let(line_hashes(F.col("text")), lambda lines: F.transform(minima(lines, run, least_words), lambda p: F.struct(
+        F.get(lines, p)["hash"].alias("fingerprint"), p.alias("p"), F.least(p, F.lit(run - 1)).alias("before"),
+        F.transform(F.slice(lines, F.greatest(p - run + 2, F.lit(1)), F.least(p, F.lit(run - 1)) + run),
+                    lambda x: F.struct(x["hash"], x["words"])).alias("near"))))
+    return (rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "body", F.explode(found).alias("f"))
+            .select("doc_id", "body", "f.*"))
 
 
-def repeated_windows(rows: DataFrame, run: int, least_words: int | None = None) -> DataFrame:
-    """(doc_id, body, starts): (start, lines) of the windows that an earlier place holds too.
+def _extended(run: int, least_words: int | None) -> Column:
+    """Every run of up to `run` lines that counts and holds the fingerprint's line: start, lines, hash."""
+    near, before, p = F.col("near"), F.col("before"), F.col("p")
+    sides = [F.when(_counts(near, before - left, size, run, least_words), F.struct(
+        (p - left).cast("int").alias("start"), F.lit(size).alias("lines"),
+        F.xxhash64(F.transform(F.slice(near, before - left + 1, F.lit(size)), lambda x: x["hash"])).alias("hash")))
+        for size in range(1, run + 1) for left in range(size)]
+    return F.filter(F.array(*sides), lambda r: r.isNotNull())
+
+
+def repeated_runs(rows: DataFrame, run: int, least_words: int | None, folder: str | None = None) -> DataFrame:
+    """(doc_id, body, starts): (start, lines) of the runs that an earlier place holds too.
 
     Places are ordered by doc_id, then by start; rows: doc_id, body (hash of the text), text.
     """
-    def of(lines: Column) -> Column:
-        every = windows(F.transform(lines, lambda line: line["hash"]), run)
-        return every if least_words is None or run < 2 else F.concat(every, long_windows(lines, run, least_words))
-
-    found = let(line_hashes(F.col("text"), least_words is not None), of)
-    each = (rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "body", found.alias("found"))
-            .select("doc_id", "body", F.explode("found").alias("w")).select("doc_id", "body", "w.*"))
-    groups = (each.groupBy("fingerprint", "context")
-              .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
-              .filter(F.col("first") < F.col("last")).select("fingerprint", "context", "first"))
-    later = match(each, groups, ["fingerprint", "context"], "inner").filter(F.struct("doc_id", "start") > F.col("first"))
+    place = F.struct("doc_id", "p")
+    each = fingerprints(rows, run, least_words)
+    twice = (each.groupBy("fingerprint").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+             .filter(F.col("first") < F.col("last")).select("fingerprint"))
+    joined = written(each.join(twice, "fingerprint", "left_semi"), folder)
+    runs = joined.select("doc_id", "body", "fingerprint", F.explode(_extended(run, least_words)).alias("r")).select(
+        "doc_id", "body", "fingerprint", "r.*")
+    start = F.struct("doc_id", "start")
+    groups = written(runs.groupBy("fingerprint", "hash", "lines").agg(F.min(start).alias("first"), F.max(start).alias("last"))
+                     .filter(F.col("first") < F.col("last")).select("fingerprint", "hash", "lines", "first"), folder)
+    later = match(runs, groups, ["fingerprint", "hash", "lines"], "inner").filter(start > F.col("first"))
     return later.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "lines")).alias("starts"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
-               least_words: int | None = None) -> DataFrame:
-    """The input rows and columns with later repeated runs of lines taken out of the text, and _n_removed (long).
-
-    A line (trimmed; lines without a word stand outside all runs and always stay) goes when a run of `run` lines that
-    covers it begins at an earlier place too: in a document with a smaller id, or further up in the same one. NULL
-    text stays NULL. A row with a NULL id keeps its lines and does not count. Rows that repeat an id are one place:
-    both keep what no earlier place holds. Texts of fewer lines and empty tables pass unchanged.
-
-    least_words: runs of fewer lines, single lines too, count as well where they hold that many words.
-    """
-    body = F.xxhash64(full_text(F.col(text_col)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), full_text(F.col(text_col)).alias("text"), body.alias("body"))
-    # the key's own names, so that other columns of docs may have any name
-    found = repeated_windows(rows, run, least_words).select(
-        F.col("doc_id").alias("_id_of_run"), F.col("body").alias("_body_of_run"),
-        F.col("starts").alias("_starts_of_run"))
-    joined = docs.withColumn("_body", body).join(
-        found, (F.col(id_col) == F.col("_id_of_run")) & (F.col("_body") == F.col("_body_of_run")), "left")
-    text = F.col(text_col)
+def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
+           least_words: int | None = LEAST_WORDS, folder: str | None = None) -> DataFrame:
+    """(row, text, n_removed): each input row as a struct, its new text and how many lines went."""
+    whole = docs.select(packed(docs).alias("row"))
+    text = F.col("row").getField(text_col)
+    body = F.xxhash64(full_text(text))
+    rows = whole.select(F.col("row").getField(id_col).alias("doc_id"), full_text(text).alias("text"), body.alias("body"))
+    found = repeated_runs(rows, run, least_words, folder).withColumnsRenamed({"doc_id": "place", "body": "of"})
+    joined = whole.withColumn("body", body).join(
+        found, (F.col("row").getField(id_col) == F.col("place")) & (F.col("body") == F.col("of")), "left")
 
     def cut(hashed: Column) -> Column:
-        gone = F.array_distinct(F.flatten(F.transform("_starts_of_run", lambda s: F.transform(
+        gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(
             F.sequence(s["start"], s["start"] + s["lines"] - 1), lambda k: F.get(hashed, k)["at"]))))
         return let(F.sort_array(gone), lambda g: F.struct(
             F.array_join(_without(F.split(text, "\n"), g), "\n").alias("text"), F.size(g).cast("long").alias("n")))
 
-    edited = F.when(F.col("_starts_of_run").isNotNull(), let(line_hashes(text), cut))
-    return joined.withColumn("_edited", edited).select(
-        *[F.coalesce("_edited.text", text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce("_edited.n", F.lit(0).cast("long")).alias("_n_removed"))
+    new = F.when(F.col("starts").isNotNull(), let(line_hashes(text), cut))
+    return joined.withColumn("new", new).select(
+        "row", F.coalesce("new.text", text).alias("text"), F.coalesce("new.n", F.lit(0).cast("long")).alias("n_removed"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
+               least_words: int | None = LEAST_WORDS, folder: str | None = None) -> DataFrame:
+    """The input rows and columns with later repeated runs of lines taken out of the text, and _n_removed (long).
+
+    A line (trimmed; lines without a word stand outside all runs and always stay) goes when a run that covers it begins
+    at an earlier place too: in a document with a smaller id, or further up in the same one. A run is `run` consecutive
+    lines, or fewer, a single one too, that hold `least_words` words (None: only `run` lines count). NULL text stays
+    NULL. A row with a NULL id keeps its lines and does not count. Rows that repeat an id are one place: both keep what
+    no earlier place holds. Shorter texts and empty tables pass unchanged. Columns may have any names; an input column
+    _n_removed gives way to the operator's.
+    """
+    out = edited(docs, id_col, text_col, run, least_words, folder)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+                        for c in docs.columns if c != "_n_removed"], F.col("n_removed").alias("_n_removed"))
 
 
 def _without(lines: Column, gone: Column) -> Column:
