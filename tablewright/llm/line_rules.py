@@ -1,7 +1,8 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Each line is normalised and hashed, the distinct texts that hold it are counted per host (copies of a text are
-one), lines above the host's limit are taken out, and documents with too little left are rejected.
+Each line is normalised and hashed, the distinct documents that hold it are counted per host, lines above the host's
+limit are taken out, and documents with too little left are rejected. Lines are held once for each distinct text, with
+the number of documents behind it, so that copies are counted and not carried.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import WORD_CHAR, full_text, let, match, words, written
 
-#: A line is common when more distinct texts of its host hold it than the larger of both.
+#: A line is common when more documents of its host hold it than the larger of both.
 MIN_DOCUMENTS = 20
 MIN_SHARE = 0.02
 #: A document is depleted when a smaller share of its words is left.
@@ -71,14 +72,23 @@ def base_failed() -> Column:
             | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED) * F.col("n_words")))
 
 
-def common_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, line) held by more distinct texts of the host than the limit.
+def documents_of(rows: DataFrame) -> DataFrame:
+    """(host, body, documents): how many documents with a word have a text; rows (doc_id, host, body, text) that repeat
+    an id and a text are one document, those without an id one for each text."""
+    return (rows.filter(full_text(F.col("text")).rlike(WORD_CHAR)).select("host", "body", "doc_id").distinct()
+            .groupBy("host", "body").agg(F.count(F.lit(1)).alias("documents")))
 
-    lines: one row per (host, body, line), body being a hash of a document's text: copies of a text count once.
-    A hot line is counted in parts on every task before its counts meet.
+
+def common_lines(lines: DataFrame, documents: DataFrame, min_documents: int = MIN_DOCUMENTS,
+                 min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, line) held by more documents of the host than the limit.
+
+    lines: one row per (host, body, line), body being a hash of a document's text; documents: as documents_of gives
+    them. A hot line is counted in parts on every task before its counts meet.
     """
-    held = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > min_documents)
-    hosts = lines.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    held = (match(lines, documents, ["host", "body"], "inner").groupBy("host", "line")
+            .agg(F.sum("documents").alias("held")).filter(F.col("held") > min_documents))
+    hosts = documents.groupBy("host").agg(F.sum("documents").alias("of"))
     return match(held, hosts, ["host"], "inner").filter(F.col("held") > F.col("of") * min_share).select("host", "line")
 
 
@@ -88,7 +98,9 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, base counts, base_failed, n_common_words, kept.
 
     NULL text has no words and fails; NULL hosts form one host; rows with NULL or repeated ids are judged one by
-    one, rows equal in id, text and host get equal results. An empty table gives no rows. Other columns are left.
+    one, rows equal in id, text and host get equal results and count as one document. Copies of a text under other ids
+    are documents of their own: where they pass the limit, all of their lines are common and all of them go. An empty
+    table gives no rows. Other columns are left.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
     body = F.xxhash64(full_text(F.col("text")), F.length(full_text(F.col("text"))))
@@ -102,12 +114,14 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # max: rows that repeat a text give the same number more than once
     lines = written(each.groupBy("host", "body", "line").agg(
         F.max("words").alias("words"), F.count(F.lit(1)).alias("times")), folder)
-    common = common_lines(lines, min_documents, min_share)
+    documents = written(documents_of(rows.withColumn("body", body)), folder)
+    common = common_lines(lines, documents, min_documents, min_share)
     texts = rows.select("host", body.alias("body")).groupBy("host", "body").agg(F.count(F.lit(1)).alias("rows"))
     found = match(lines, common, ["host", "line"], "inner")
     lost = match(found.groupBy("host", "body").agg(F.sum(F.col("words") * F.col("times")).alias("lost")),
                  texts, ["host", "body"], "inner")
-    lost = lost.select("host", "body", (F.col("lost") / F.col("rows")).cast("long").alias("lost"))
+    # written, so that the join below can split a text with very many copies
+    lost = written(lost.select("host", "body", (F.col("lost") / F.col("rows")).cast("long").alias("lost")), folder)
     joined = match(base, lost, ["host", "body"]).withColumn(
         "n_common_words", F.coalesce("lost", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_common_words")
