@@ -131,8 +131,9 @@ l as (select rid, unnest(string_split(text, chr(10))) as line from d),
 lw as (select * from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup as (select rid, (count(*) - count(distinct line))::bigint as n from lw group by rid),
 norm as (select rid, {_WORDS.format("translate(lower(line), '123456789', '000000000')")} as line from lw),
-held as (select source, line, count(distinct text) as held from norm join d using (rid) group by 1, 2),
-hosts as (select source, count(distinct text) as docs from d
+held as (select source, line, count(distinct coalesce(doc_id::varchar, '') || '|' || md5(text)) as held
+         from norm join d using (rid) group by 1, 2),
+hosts as (select source, count(distinct coalesce(doc_id::varchar, '') || '|' || md5(text)) as docs from d
           where regexp_matches(text, '[^\x20\x09-\x0D]') group by 1),
 common as (select h.source, line from held h join hosts o on h.source is not distinct from o.source
            where held > 20 and held > docs * 0.02::double),
@@ -157,13 +158,16 @@ select page_id, payload_bytes, payload_digest,
 with d as (select row_number() over () as rid, doc_id, text from documents),
 l as (select rid, doc_id, unnest(string_split(text, chr(10))) as line,
       generate_subscripts(string_split(text, chr(10)), 1) as k from d),
-s as (select *, row_number() over (partition by rid order by k) as s from l
-      where regexp_matches(line, '[^\x20\x09-\x0D]')),
-win as (select rid, doc_id, s, trim(line) as a, lead(trim(line), 1) over o as b, lead(trim(line), 2) over o as c
-        from s window o as (partition by rid order by s)),
-later as (select rid, s from win where c is not null
-          qualify row(doc_id, s) > min(row(doc_id, s)) over (partition by a, b, c)),
-gone as (select distinct rid, s + i as s from later, (values (0), (1), (2)) t(i)),
+s as (select *, trim(line) as a, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n,
+      row_number() over (partition by rid order by k) as s from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+near as (select rid, doc_id, s, a, lead(a, 1) over o as b, lead(a, 2) over o as c, n,
+         lead(n, 1) over o as n1 from s window o as (partition by rid order by s)),
+win as (select rid, doc_id, s, 3 as size, [a, b, c] as run from near where c is not null
+        union all select rid, doc_id, s, 2, [a, b] from near where b is not null and n + n1 >= 50
+        union all select rid, doc_id, s, 1, [a] from near where n >= 50),
+later as (select rid, s, size from win where doc_id is not null
+          qualify row(doc_id, s) > min(row(doc_id, s)) over (partition by run)),
+gone as (select distinct rid, s + i as s from later, (values (0), (1), (2)) t(i) where i < size),
 numbers as (select rid, k from s join gone using (rid, s)),
 kept as (select l.rid, string_agg(line, chr(10) order by l.k) filter (n.k is null) as text, count(n.k) as n
          from l left join numbers n on n.rid = l.rid and n.k = l.k group by l.rid)

@@ -8,7 +8,7 @@ import tiktoken
 
 import corpus_pipeline
 from tablewright.llm import bpe, decontaminate, quality_gam
-from tests.llm.test_words import line_brute, print_brute, roots_brute
+from tests.llm.test_words import EDGES, clashing, long_line_brute, print_brute, prose, roots_brute
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_quality_stage(spark, sf, stages):
 
 def test_line_stage(stages):
     before, after = stages["line dedup"]
-    want = {i: t for i, t, _ in line_brute([(r.doc_id, r.text) for r in before.values()])}
+    want = {i: t for i, t, _ in long_line_brute([(r.doc_id, r.text) for r in before.values()], 50)}
     assert {i: r.text for i, r in after.items()} == want
     assert all(r.n_chars == (len(r.text) if r.text != before[i].text else before[i].n_chars) for i, r in after.items())
 

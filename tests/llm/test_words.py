@@ -27,7 +27,9 @@ def prose(seed, n, vocabulary=2000):
 
 def clashing(df):
     """More columns, named as the operators name theirs."""
-    return df.withColumns({c: F.lit(c) for c in ("line", "host", "body", "fp", "starts", "score", "ids", "at", "w1")})
+    return df.withColumns({c: F.lit(c) for c in (
+        "line", "host", "body", "fp", "starts", "score", "ids", "at", "w1", "row", "new", "place", "of", "number", "hash",
+        "_body", "_edited", "_id_of_run", "_starts_of_run", "_place", "_number", "a.b", "x`y")})
 
 
 EDGES = [(None, "a b c"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "a\x0bb\x0cc d é"), (None, None)]
@@ -70,9 +72,12 @@ def test_common_lines_deplete(spark):
     assert all(got[100 + i].kept and got[100 + i].n_common_words == 0 for i in range(30))
 
 
-def test_copies_are_one_document(spark):
-    texts = [(i, prose(1, 80)) for i in range(40)]
-    assert all(r.kept for r in line_rules.line_rules(table(spark, texts)).collect())
+def test_copies_count_as_documents(spark):
+    """Above the limits all copies go; rows that repeat an id and a text are one document."""
+    texts = [(i, prose(1, 80)) for i in range(40)] + [(100, prose(2, 80))] * 40 + [(200 + i, prose(3, 80)) for i in range(20)]
+    got = {r.doc_id: r for r in line_rules.line_rules(table(spark, texts)).collect()}
+    assert all(not got[i].kept and got[i].n_common_words == 80 for i in range(40))
+    assert got[100].kept and all(got[200 + i].kept for i in range(20))
 
 
 def test_empty_tables(spark):
@@ -167,9 +172,9 @@ def test_line_dedup(spark):
     pool = [prose(k, 4) for k in range(12)] + ["", "  ", " padded "]
     texts = EDGES + [(20 + i, "\n".join(draw.choice(pool) for _ in range(draw.randrange(12)))) for i in range(80)]
     texts += [(7, "\n".join(pool) + "\n" + "\n".join(pool)), (300, "same\n" * 500)]
-    got = line_dedup.line_dedup(clashing(table(spark, texts))).collect()
+    got = line_dedup.line_dedup(clashing(table(spark, texts)), least_words=None).collect()
     assert Counter((r.doc_id, r.text, r._n_removed) for r in got) == Counter(line_brute(texts))
-    assert got[0].line == "line" and got[0].starts == "starts"
+    assert all(got[0][c] == c for c in ("line", "starts", "_body", "_edited", "_id_of_run", "row", "a.b", "x`y"))
 
 
 def long_line_brute(texts, least_words, run=3):
@@ -197,13 +202,33 @@ def test_line_dedup_of_long_lines(spark):
              (16, prose(4, 49)), (17, f"{prose(5, 50)}\n{prose(6, 3)}"), (18, f"{prose(5, 50)}\n{prose(6, 3)}"), (None, one)]
     pool = [prose(20 + k, draw.choice((5, 24, 26, 50))) for k in range(9)] + [""]
     texts += [(30 + i, "\n".join(draw.choice(pool) for _ in range(draw.randrange(6)))) for i in range(60)]
-    got = line_dedup.line_dedup(clashing(table(spark, texts)), least_words=50).collect()
+    got = line_dedup.line_dedup(clashing(table(spark, texts))).collect()
     assert Counter((r.doc_id, r.text, r._n_removed) for r in got) == Counter(long_line_brute(texts, 50))
     kept = {r.doc_id: r.text for r in got}
     assert (kept[10], kept[11], kept[12]) == (one, "", "own\nwords")
     assert kept[14] == "\nend" and kept[16] == prose(4, 49) and kept[18] == ""
 
 
+def test_minima_are_in_every_shared_run(spark):
+    """Selected lines thin out, and each run that counts holds one wherever it stands."""
+    draw = random.Random(12)
+    shared = "\n".join(prose(k, draw.choice((3, 60))) for k in range(40))
+    texts = [(k, f"{prose(100 + k, 5)}\n" * draw.randrange(4) + shared + f"\n{prose(200 + k, 4)}" * draw.randrange(4)) for k in range(6)]
+    rows = table(spark, texts).withColumn("body", F.lit(0).cast("long"))
+    found = defaultdict(set)
+    for r in line_dedup.fingerprints(rows, 4, None).collect():
+        found[r.doc_id].add(r.fingerprint)
+    lines = [r.h for r in spark.createDataFrame([(x,) for x in shared.split("\n")], "x string").select(F.xxhash64("x").alias("h")).collect()]
+    common = set.intersection(*found.values())
+    assert all(common & set(lines[k:k + 4]) for k in range(37)) and len(common & set(lines)) < 30
+
+
+def test_count_column_gives_way(spark):
+    df = table(spark, [(1, "a\nb\nc"), (2, "a\nb\nc")]).withColumn("_n_removed", F.lit("mine"))
+    got = {r.doc_id: r._n_removed for r in line_dedup.line_dedup(df).collect()}
+    assert got == {1: 0, 2: 3}
+
+
 # -- op 9 --------------------------------------------------------------------------------
 
 def substring_brute(texts):
