@@ -38,6 +38,11 @@ def packed(docs: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The table with its columns called c0, c1 and so on, as mapInArrow takes no dots or backticks in names."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on equal keys, NULL equal to NULL; the right table's keys go, its other columns must not clash."""
     named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

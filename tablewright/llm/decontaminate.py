@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import numbered, written
+
 K1, B = 1.2, 0.75
 #: Retrieved: a passage with this share of the score that the item itself would get.
 THRESHOLD = 0.6
@@ -81,15 +83,17 @@ class Index:
     longest: int = 0
 
 
-def build_index(items: list[tuple], frequency: dict[str, int] | None = None, n_items: int | None = None) -> Index:
-    """items: (id, text). frequency and n_items: document frequencies over all items, where these are a part."""
+def build_index(items: list[tuple], frequency: dict[str, int] | None = None, n_items: int | None = None,
+                mean: float | None = None) -> Index:
+    """items: (id, text). frequency, n_items and mean: document frequencies, number and mean number of terms of all
+    items, where these are a part."""
     split = [(i, text or "", terms_of(text or "")) for i, text in items]
     split = sorted((s for s in split if s[2]), key=lambda s: (len(s[2]), s[1]))
     index = Index(ids=[s[0] for s in split], longest=max((len(s[2]) for s in split), default=0))
     total = n_items if n_items is not None else len(split)
     if frequency is None:
         frequency = Counter(t for s in split for t in set(s[2]))
-    mean = sum(len(s[2]) for s in split) / max(1, len(split))
+    mean = sum(len(s[2]) for s in split) / max(1, len(split)) if mean is None else mean
     postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
     for number, (_, text, terms) in enumerate(split):
         weights = {}
@@ -209,21 +213,36 @@ def leaks(index: Index, text: str, threshold: float = THRESHOLD, overlap: float
 
 # -- Spark -------------------------------------------------------------------------------
 
-def indexes(benchmark: DataFrame, id_col: str, text_col: str, most_chars: int = INDEX_CHARS) -> Iterator[Index]:
-    """One index for each part of the items, each of bounded size; frequencies are those of all items."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    chars, count = items.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
-    parts = -(-(chars or 0) // most_chars)
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [terms_of(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("item"), batch.column("text"), pa.array([len(t) for t in found], pa.int64()),
+             pa.array([sorted(set(t)) for t in found], pa.list_(pa.string()))], names=["item", "text", "n", "terms"])
+
+
+def item_texts(benchmark: DataFrame, text_col: str, folder: str | None = None) -> DataFrame:
+    """(item, text, n, terms): the distinct texts that have terms, numbered; their number of terms and distinct terms."""
+    texts = benchmark.select(F.col(text_col).alias("text")).filter("text is not null").distinct()
+    kept = texts.withColumn("item", F.monotonically_increasing_id()).select("item", "text")
+    return written(kept.mapInArrow(_item_terms, "item long, text string, n long, terms array<string>").filter("n > 0"), folder)
+
+
+def indexes(items: DataFrame, most_chars: int = INDEX_CHARS) -> Iterator[Index]:
+    """One index for each part of the item texts, each of bounded size (a text is never cut).
+
+    Number, mean length and frequencies are those of all items and counted in one way, so scores do not depend on the
+    parts. Copies of an item are one text and meet in one part.
+    """
+    row = items.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
+    parts = -(-(row["chars"] or 0) // most_chars)
+    counts = items.select(F.explode("terms").alias("term")).groupBy("term").count()
+    counts = written(counts) if parts > 1 else counts
     for part in range(parts):
-        if parts == 1:
-            yield build_index([tuple(r) for r in items.collect()])
-            continue
         own = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        term = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
-        mine = own.select(term.alias("term")).distinct()
-        df = items.select(term.alias("term")).groupBy("term").count().join(mine, "term")
-        frequency = defaultdict(lambda: 1, {r["term"]: r["count"] for r in df.toLocalIterator()})
-        yield build_index([tuple(r) for r in own.toLocalIterator()], frequency, count)
+        mine = own.select(F.explode("terms").alias("term")).distinct()
+        frequency = {r["term"]: r["count"] for r in counts.join(mine, "term").toLocalIterator()}
+        yield build_index([tuple(r) for r in own.select("item", "text").toLocalIterator()], frequency, row["n"], row["mean"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -239,8 +258,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     types = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = (f"doc_id {types[0]}, item_id {types[1]}, share double, overlap double, question_overlap double, "
               "answer_overlap double")
-    found = spark.createDataFrame([], schema)
-    for index in indexes(benchmark, item_col, item_text, most_chars):
+    schema = schema.replace(f"item_id {types[1]}", "item long")
+    found, items = spark.createDataFrame([], schema), item_texts(benchmark, item_text)
+    for index in indexes(items, most_chars):
         sent = spark.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -257,25 +277,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(columns[0], batch.schema.field("doc_id").type), pa.array(columns[1]),
                          *[pa.array(c, pa.float64()) for c in columns[2:]]],
-                        names=["doc_id", "item_id", "share", "overlap", "question_overlap", "answer_overlap"])
+                        names=["doc_id", "item", "share", "overlap", "question_overlap", "answer_overlap"])
 
         found = found.union(rows.mapInArrow(find, schema))
-    return found
+    # every id of a found text
+    named = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).join(
+        items.select("item", "text"), "text").select("item", "item_id")
+    return found.join(named, "item").select("doc_id", "item_id", "share", "overlap", "question_overlap", "answer_overlap")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text",
                   threshold: float = THRESHOLD, overlap: float = OVERLAP, most_chars: int = INDEX_CHARS) -> DataFrame:
     """The rows that hold no item, all columns unchanged; nothing is shuffled."""
-    kept = docs
-    for index in indexes(benchmark, item_text, item_text, most_chars):
+    kept, at = numbered(docs), docs.columns.index(text_col)
+    for index in indexes(item_texts(benchmark, item_text), most_chars):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
                 clean = [not leaks(index, t or "", threshold, overlap)
-                         for t in batch.column(text_col).to_pylist()]
+                         for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.mapInArrow(keep, docs.schema)
-    return kept
+        kept = kept.mapInArrow(keep, kept.schema)
+    return kept.toDF(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import full_text, written
+from tablewright.llm.common import full_text, numbered, written
 
 #: Labelled rows that the fit takes at most.
 TRAIN_ROWS = 40_000
@@ -279,7 +279,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features_of(t or "") for t in batch.column(text_col).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([features_of(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(sent.value.score(x) >= cut))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain, at = numbered(docs), docs.columns.index(text_col)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
