@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import re
 import zlib
 
 import numpy as np
@@ -104,6 +105,18 @@ def test_contaminated(spark, most_chars):
     assert decontaminate.contaminated(table(spark, []), bench).count() == 0
 
 
+def test_parts_change_nothing(spark):
+    """Shares and rows are the same for one index and for many; copies of an item are one text with several ids."""
+    copies = [*ITEMS, *[(1000 + k, ITEMS[k % 3][1]) for k in range(30)]]
+    bench = spark.createDataFrame(copies, "item_id long, text string")
+    texts = [(i, f"{prose(500 + i, i * 7, 300)} {ITEMS[i][1]} {prose(600 + i, 50, 300)}") for i in range(12)]
+    chars = sum(len(t) for t in {t for _, t in ITEMS})
+    found = [sorted(map(tuple, decontaminate.contaminated(table(spark, texts), bench, most_chars=-(-chars // parts)).collect()))
+             for parts in (1, 2, 7)]
+    assert found[0] == found[1] == found[2]
+    assert {(i, j) for i, j, *_ in found[0]} == {(i, i) for i in range(12)} | {(k % 3, 1000 + k) for k in range(30)}
+
+
 def test_prefilter_loses_nothing():
     index = decontaminate.build_index(ITEMS)
     for k, text in ITEMS:
@@ -224,6 +237,47 @@ def test_extract_edges(spark):
     assert extract.extract_pages(pages(spark, [])).count() == 0
 
 
+def unmarked(page):
+    """The page without its article marks and class names."""
+    page = re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"""\s(?:class|id|role)=(?:"[^"]*"|'[^']*')""", "", page)
+
+
+def test_regions_of_unmarked_pages(spark, sf):
+    """By the looks of blocks alone the scan finds the articles whose marks were taken away, and not the whole page."""
+    every = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet")
+    weights = extract.learn_weights(every.filter("page_id % 2 = 0"))
+    found = [r.html for r in every.filter("page_id % 2 = 1").collect() if r.html]
+    equal = cut = 0
+    for page in found:
+        plain = unmarked(page)
+        got = extract.extract(plain, weights)
+        equal += got == extract.extract(page, weights)
+        cut += len(extract.region(plain, weights)) < len(list(extract.tokens(plain)))
+    assert not any("<article" in unmarked(p) for p in found)
+    assert equal >= 0.9 * len(found) and cut == len(found)
+    body = " ".join(f"word{i}" for i in range(180))
+    page = f"<html><body><div>Site A Home World Sport Money</div><div>{body}.</div><div>Most read teaser</div></body></html>"
+    assert extract.extract(page, weights) == f"{body}."
+    assert extract.extract(page, extract.DEFAULT_WEIGHTS) != f"{body}."
+
+
+def test_the_scan_decides(spark, sf):
+    """Weights of looks turned round give other regions on the same pages."""
+    every = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet")
+    pages_ = [unmarked(r.html) for r in every.collect() if r.html]
+    weights = extract.learn_weights(every)
+    turned = {k: -v if " " in k and not k.startswith("plain") else v for k, v in weights.items()}
+    assert sum(extract.extract(p, weights) != extract.extract(p, turned) for p in pages_) > 0.9 * len(pages_)
+
+
+def test_rare_names_are_counted_together(spark):
+    rows = [(k, "u", f"<p>a b c<x-{k}>d</x-{k}><article><p>{'w ' * 40}<y-{k}>z</y-{k}></article>") for k in range(60)]
+    weights = extract.learn_weights(pages(spark, rows), rare_share=0.002)
+    assert f"<{extract.RARE}>" in weights and not any(name.startswith("<x-") for name in weights)
+    assert any(name.startswith("<x-") for name in extract.learn_weights(pages(spark, rows)))
+
+
 # -- op 10 -------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

@@ -101,6 +101,7 @@ def test_collocations_in_small_parts(monkeypatch):
     monkeypatch.setattr(collocations, "CHUNK", 50)
     monkeypatch.setattr(collocations, "JOINED", 7)
     monkeypatch.setattr(collocations, "HELD", 11)
+    monkeypatch.setattr(collocations, "HELD_WORDS", 5)
     assert counts() == whole and len(whole) > 50
 
 
@@ -239,11 +240,14 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("frequent,stars,tile", [((16, 256), 4, 1_000_000), ((2, 4), 2, 500), ((1, 1), 0, 3000), ((1, 10**9), 1, 2000)])
-def test_jaccard_groups(spark, frequent, stars, tile):
-    """Pairs, triples or single tokens; few or no rounds with leaders; one tile or many."""
+@pytest.mark.parametrize("frequent,stars,tile,rounds,share", [
+    ((2, 16, 256), 4, 1_000_000, 2, 0.2), ((1, 2, 4), 2, 500, 1, 0.0), ((1, 1, 1), 0, 3000, 1, 1.0), ((2, 2, 10**9), 1, 2000, 3, 0.1)])
+def test_jaccard_groups(spark, frequent, stars, tile, rounds, share, monkeypatch):
+    """Pairs, triples or single tokens; few or no rounds with leaders; one tile or many; tokens counted first or not."""
+    monkeypatch.setattr(ngram_join, "CELLS", tile)
     rows = near_rows()
-    got = ngram_join.jaccard_groups(clashing(table(spark, rows)).repartition(6), frequent=frequent, stars=stars, tile_tokens=tile)
+    got = ngram_join.jaccard_groups(clashing(table(spark, rows)).repartition(6), frequent=frequent, stars=stars, tile_tokens=tile,
+                                    rounds=rounds, share=share, block_tokens=tile)
     found = Counter(tuple(r) for r in got.collect())
     assert found == groups_brute(rows)
     assert len({c for _, _, c in found}) < len({i for i, _ in rows}) - 60
@@ -269,5 +273,7 @@ def test_linked_sets_share_a_signature():
         kinds = dict(zip(pool.tolist(), draw.integers(1, int(draw.integers(2, 5)), len(pool)).tolist()))
         if trial % 3 == 0:
             kinds = dict.fromkeys(pool.tolist(), 3)
+        for x in np.setxor1d(a, b).tolist():  # held by one of both only: alone in a table of these two
+            kinds[x] = int(draw.integers(0, 2)) if trial % 2 else 0
         sigs = [ngram_join.signatures(s, np.array([kinds[x] for x in s.tolist()], dtype=np.int64)) for s in (a, b)]
         assert np.intersect1d(*sigs).size, (n, both, union)

@@ -84,3 +84,44 @@ def test_token_stage(stages):
 def test_run_gives_the_last_stage(spark, sf, stages):
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == {i: r.ids for i, r in stages["token ids"][1].items()}
+
+
+NAMED = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_documents(spark):
+    texts = [*EDGES, (20, prose(1, 4000)), (21, prose(1, 4000)), (None, prose(2, 300)), (22, prose(3, 80)), (22, prose(3, 80)),
+             (22, prose(4, 80)), (23, "\n".join(prose(k, 60) for k in range(4))), (24, prose(0, 60) + "\n" + prose(50, 70))]
+    return clashing(spark.createDataFrame([(i, t, None, None, None) for i, t in texts], NAMED))
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_documents(spark, sf, name, stage):
+    """NULL, empty, long and repeated texts and columns of any name: own columns come back as they were."""
+    docs = odd_documents(spark)
+    got = stage(spark, docs, sf)
+    if name == "token ids":
+        rows = got.collect()
+        assert len(rows) == docs.count() and got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+        assert all(r.n_tokens == len(r.ids) for r in rows)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        return
+    assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+    rows = got.collect()
+    kept = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    assert rows and all(r[c] == c for r in rows for c in kept)
+    before = [(r.doc_id, r.text) for r in docs.collect()]
+    after = [(r.doc_id, r.text) for r in rows]
+    if name == "line dedup":
+        assert sorted(map(str, after)) == sorted(str((i, t)) for i, t, _ in long_line_brute(before, 50))
+    else:
+        assert all(pair in before for pair in after)
+    if name == "near copies":
+        assert sum(t == prose(1, 4000) for _, t in after) == 1 and (22, prose(4, 80)) in after
+    none = stage(spark, docs.limit(0), sf)
+    assert none.count() == 0 and none.columns == docs.columns
+
+
+def test_lines_without_a_length_column(spark, sf):
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf).collect()} == {1: "a\nb\nc", 2: ""}
