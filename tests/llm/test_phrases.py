@@ -244,10 +244,10 @@ def near_rows():
     ((2, 16, 256), 4, 1_000_000, 2, 0.2), ((1, 2, 4), 2, 500, 1, 0.0), ((1, 1, 1), 0, 3000, 1, 1.0), ((2, 2, 10**9), 1, 2000, 3, 0.1)])
 def test_jaccard_groups(spark, frequent, stars, tile, rounds, share, monkeypatch):
     """Pairs, triples or single tokens; few or no rounds with leaders; one tile or many; tokens counted first or not."""
-    monkeypatch.setattr(ngram_join, "CELLS", tile)
+    monkeypatch.setattr(ngram_join, "CELLS", 8 if rounds == 1 else 256)
     rows = near_rows()
     got = ngram_join.jaccard_groups(clashing(table(spark, rows)).repartition(6), frequent=frequent, stars=stars, tile_tokens=tile,
-                                    rounds=rounds, share=share, block_tokens=tile)
+                                    rounds=rounds, share=share, block_sets=max(2, tile // 500))
     found = Counter(tuple(r) for r in got.collect())
     assert found == groups_brute(rows)
     assert len({c for _, _, c in found}) < len({i for i, _ in rows}) - 60
@@ -258,6 +258,16 @@ def test_jaccard_groups_of_nothing(spark):
     assert Counter(tuple(r) for r in ngram_join.jaccard_groups(table(spark, EDGES)).collect()) == groups_brute(EDGES)
 
 
+def test_cells_differ_by_no_more_than_the_tokens():
+    import numpy as np
+    draw = np.random.default_rng(6)
+    for _ in range(200):
+        pool = draw.integers(0, 2**63, 900, dtype=np.uint64)
+        a, b = (np.unique(draw.choice(pool, int(draw.integers(1, 900)))) for _ in range(2))
+        cells = [np.frombuffer(ngram_join.cells_of(x), dtype=np.uint8).astype(int) for x in (a, b)]
+        assert np.abs(cells[0] - cells[1]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_linked_sets_share_a_signature():
     """For sets of all sizes and any classes of their tokens."""
     import numpy as np
