@@ -504,7 +504,7 @@ class HistBoosting(Learner):
         bins = rows.mapInArrow(_bin_rows(edges), "bins binary, y double")
         if parts == 1:
             trees = json.loads(bins.coalesce(1).mapInArrow(
-                _in_one_task(loss, start, iterations, growth), "trees string").first()["trees"])
+                _in_one_task(loss, start, iterations, growth), "trees string").collect()[0]["trees"])
         else:
             kept = bins.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
             trees = _in_many_tasks(kept, parts, loss, start, iterations, growth)

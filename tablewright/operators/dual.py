@@ -245,7 +245,7 @@ def _fit_dual(rows: DataFrame, kind: str, option, one_class: bool) -> dict:
         found = run(_OneTask(kind, np.vstack(pdf["x"].to_numpy()), pdf["y"].to_numpy(dtype=float), epsilon, seed))
         yield pd.DataFrame({"w": [found["w"]], "rho": [found.get("rho", 0.0)], "gap": [found["gap"]], "primal": [found["primal"]]})
 
-    row = rows.coalesce(1).mapInPandas(alone, "w array<double>, rho double, gap double, primal double").first()
+    row = rows.coalesce(1).mapInPandas(alone, "w array<double>, rho double, gap double, primal double").collect()[0]
     return {"w": row["w"], "rho": row["rho"], "gap": row["gap"], "primal": row["primal"]}
 
 

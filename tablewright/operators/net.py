@@ -196,7 +196,7 @@ def train(rows: DataFrame, n: int, net: Net, cfg: dict, seed: int, target: str,
         yield pd.DataFrame({"loss": [loss], "flat": [w]})
 
     if tasks == 1:
-        found = rows.coalesce(1).mapInPandas(alone, "loss double, flat array<double>").first()
+        found = rows.coalesce(1).mapInPandas(alone, "loss double, flat array<double>").collect()[0]
         return Net(sizes, kind, linear_after, found["flat"]), float(found["loss"])
 
     # Sorted by group, so that a step reads the cached blocks of its groups only.
