@@ -14,8 +14,8 @@ NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
 def col(name: str) -> Column:
-    """A column by its exact name, dots and all."""
-    return F.col(f"`{name}`")
+    """A column by its exact name, dots, backticks and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def dtype_of(df: DataFrame, name: str) -> T.DataType:

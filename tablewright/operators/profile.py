@@ -12,6 +12,7 @@ from tablewright.functions.exprs import (
     NESTED, col, corrected_kurtosis, corrected_skewness, dtype_of, fingerprint,
     is_numeric, is_temporal, is_textual, melt, nan_to_null, percent, stack_aggregates, to_moment)
 from tablewright.functions.order import PERCENTILE_CELLS, quantiles
+from tablewright.operators.gram import wide_correlations
 
 ROLES = ("id", "time", "group")
 STAT_PROBS = [0.25, 0.5, 0.75]
@@ -183,14 +184,30 @@ def duplicates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         "pct_duplicate_rows", percent(F.col("n_duplicate_rows"), F.col("n_rows")))
 
 
+#: Columns up to which their pairs are expressions of one aggregate.
+FEW_COLUMNS = 12
+
+
 def high_correlations(df: DataFrame, columns: list[str],
                       threshold: float = fixed.CORRELATION_THRESHOLD) -> DataFrame:
-    """Pairs with |Pearson r| >= threshold, pairwise complete, strongest first."""
+    """Pairs with |Pearson r| >= threshold, pairwise complete, strongest first.
+
+    Up to FEW_COLUMNS columns one aggregate holds all pairs, beyond it blocks of Gram matrices do.
+    """
     pairs = list(combinations(columns, 2))
+    if len(columns) > FEW_COLUMNS:
+        return (wide_correlations(df, columns, threshold).select("a", "b", F.round("r", 4).alias("pearson"))
+                .orderBy(F.desc(F.abs("pearson")), "a", "b"))
     values = nan_to_null(df.select([col(c).cast("double").alias(c) for c in columns]))
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, pearson double")
-    aggregates = [F.corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+
+    def spread(x: str, y: str):
+        return F.stddev_pop(F.when(col(y).isNotNull(), col(x)))
+
+    # corr() itself divides by zero where a column is constant
+    aggregates = [F.try_divide(F.covar_pop(col(a), col(b)), spread(a, b) * spread(b, a)).alias(f"r{i}")
+                  for i, (a, b) in enumerate(pairs)]
     rows = values.agg(*aggregates).select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)])))
