@@ -101,7 +101,6 @@ def test_collocations_in_small_parts(monkeypatch):
     monkeypatch.setattr(collocations, "CHUNK", 50)
     monkeypatch.setattr(collocations, "JOINED", 7)
     monkeypatch.setattr(collocations, "HELD", 11)
-    monkeypatch.setattr(collocations, "HELD_WORDS", 5)
     assert counts() == whole and len(whole) > 50
 
 
