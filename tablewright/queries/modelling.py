@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import explain as X
 from tablewright.operators import features, folds, hashing, neighbors, ranking
-from tablewright.operators.forest import IsolationForest
+from tablewright.operators.clean import Cleaner
 from tablewright.operators.drift import drift_reference
+from tablewright.operators.forest import IsolationForest
 from tablewright.operators.kernels import GaussianBayes
 from tablewright.plans import latent, search, training, zoo
 from tablewright.plans.experiment import run_experiment
@@ -398,3 +399,39 @@ def stream_drift(spark, d):
                          f"{folder}/state", delay=delay).awaitTermination()
     found = monitor.stream_drift(spark, f"{folder}/out", reference)
     return found.select(F.to_date("window_start").alias("day"), "column", "psi", "drifted")
+
+
+def _event_stream(spark, d):
+    """events as a stream, and how late a row may be in it: a table's files come in any order."""
+    events = table(spark, d, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    delay = f"{int((last - first).total_seconds()) + 1} seconds" if first else "0 seconds"
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return events, source.withColumn("ts", F.col("ts").cast("timestamp")), delay
+
+
+@query("stream_clean", """select event_id, event_type, value from events""")
+def stream_clean(spark, d):
+    """events with up to two copies of a row, cleaned on a stream: every row once."""
+    events, source, delay = _event_stream(spark, d)
+    kept = ["event_id", "ts", "event_type", "value"]
+    model = Cleaner.of().fit(events.select(*kept))
+    copied = source.withColumn("copy", F.explode(F.sequence(F.lit(0), F.pmod("event_id", F.lit(3))))).select(*kept)
+    folder = scratch(spark, "clean")
+    monitor.write_stream(monitor.clean_stream(copied, model, "ts", delay), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "event_type", "value")
+
+
+@query("stream_predict", """select event_id, case when event_type in ('click', 'view') then '1' else '0' end as prediction
+  from events""")
+def stream_predict(spark, d):
+    """A model fitted on the table predicts the same rows on a stream; the rule behind the target is found."""
+    events, source, _ = _event_stream(spark, d)
+    features_of = lambda t: t.select("event_id", "event_type", (F.col("user_id") % 7).cast("double").alias("u"))
+    df = features_of(events).withColumn("kind", F.col("event_type").isin("click", "view").cast("int"))
+    entry = zoo.CATALOGUE["classification"]["decision_tree"]
+    model, labels = training.fit_final(df, "event_id", features.feature_encoder(df, "kind"), entry, {}, "classification", "kind")
+    folder = scratch(spark, "predict")
+    found = monitor.predict_stream(features_of(source), model).select("event_id", labels.name(F.col("prediction")).alias("prediction"))
+    monitor.write_stream(found, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "prediction")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import fixed
-from tablewright.functions.exprs import as_text, col, dtype_of, nan_to_null
+from tablewright.functions.exprs import as_text, col, dtype_of, fingerprint, nan_to_null
 from tablewright.operators.clean import CleaningModel
 from tablewright.operators.drift import _bin
 
@@ -20,9 +20,30 @@ from tablewright.operators.drift import _bin
 MOST_ITEMS = 10_000
 
 
-def clean_stream(stream: DataFrame, model: CleaningModel) -> DataFrame:
-    """Row-wise cleaning; duplicates need a key and a watermark, so they are left in."""
-    return model.transform_rows(stream)
+def clean_stream(stream: DataFrame, model: CleaningModel, time_column: str | None = None,
+                 delay: str = "1 hour") -> DataFrame:
+    """Row-wise cleaning; with a time column, rows that repeat an earlier one within ``delay`` are dropped too.
+
+    Rows are told apart by a 128-bit fingerprint of all columns, so state is 16 bytes a row, kept for the delay only.
+    Without a time column duplicates stay, as their state would grow with the stream.
+    """
+    rows = model.transform_rows(stream)
+    if time_column is None:
+        return rows
+    if not rows.isStreaming:
+        raise ValueError("Duplicates of a batch table are dropped by the cleaning model itself.")
+    marked = rows.withColumn("_row", fingerprint(rows.columns)).withWatermark(time_column, delay)
+    return marked.dropDuplicatesWithinWatermark(["_row"]).drop("_row")
+
+
+def write_stream(stream: DataFrame, out: str, checkpoint: str):
+    """Start a query that appends each micro-batch to its own folder below ``out``, so that a batch which runs again
+    after a failure replaces itself."""
+    def emit(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return (stream.writeStream.outputMode("append").foreachBatch(emit).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def predict_stream(stream: DataFrame, model: PipelineModel) -> DataFrame:
