@@ -34,8 +34,8 @@ NO_LANG = "und"
 
 #: Bytes of text hashed together, words joined together, and phrases that a task counts at once.
 CHUNK = 1 << 20
-JOINED = 500_000
-HELD = 1_000_000
+JOINED = 250_000
+HELD = 500_000
 
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09]] = True
@@ -76,9 +76,9 @@ def _seeds(langs: list[str], salt: int) -> list[int]:
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[bytes]]]:
     """Langs and lower-cased texts of some consecutive rows, about CHUNK bytes together."""
     langs, texts, size = [], [], 0
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-        langs.append(lang)
-        texts.append(text.encode().lower())  # of bytes, lower() changes A-Z only
+    for lang, text in zip(batch.column("lang"), batch.column("text")):
+        langs.append(lang.as_py())
+        texts.append(text.as_buffer().to_pybytes().lower())  # of bytes, lower() changes A-Z only
         size += len(texts[-1]) + 1
         if size >= CHUNK:
             yield langs, texts
@@ -189,9 +189,10 @@ def _count_phrases(k: int):
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            # sorted: neighbours share their first words, so the shuffle packs them well
+            # sorted by most of the first word's digits, so that neighbours share it and the shuffle packs them well
             phrases = np.concatenate(held) if held else np.zeros((0, k), dtype=np.uint64)
-            phrases = phrases[np.lexsort(phrases.T[::-1])]
+            rest = folded(list(phrases.T[1:]))
+            phrases = phrases[np.argsort((phrases[:, 0] & ~np.uint64(0xFFFFFF)) | (rest >> np.uint64(40)))]
             new = np.ones(len(phrases), dtype=bool)
             new[1:] = (phrases[1:] != phrases[:-1]).any(axis=1)
             first = np.flatnonzero(new)
