@@ -52,7 +52,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_warc(spark, folder)
     own = F.col("warc_type") == "response"
     id_type = pages.schema["page_id"].dataType
-    number = lambda urn: F.nullif(F.substring_index(urn, ":", -1), F.lit("")).cast(id_type)
+    number = lambda urn: warc.page_of(urn, id_type)
     return read.select(
         number(F.col("record_id")).alias("page_id"),
         F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),

@@ -98,7 +98,13 @@ def with_payload(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
 
 
 def _urn(page_id: Column) -> Column:
-    return F.concat(F.lit("urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("")))
+    """Ids of any characters: what a header may not hold is percent-encoded."""
+    return F.concat(F.lit("urn:x-page:"), F.coalesce(F.url_encode(page_id.cast("string")), F.lit("")))
+
+
+def page_of(urn: Column, id_type) -> Column:
+    """The page id in a record's id; NULL where it is empty."""
+    return F.url_decode(F.nullif(F.substring_index(urn, ":", -1), F.lit(""))).cast(id_type)
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

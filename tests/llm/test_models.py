@@ -187,6 +187,14 @@ def test_warc_round_trip(spark, tmp_path):
             assert r.http_length == len(payload) and bytes(r.payload) == (b"" if revisit else payload)
 
 
+def test_warc_ids_of_any_characters(spark, tmp_path):
+    ids = ["a:b", "line\r\nX: y", "é 100%", "urn:x-page:1", "+", "plain"]
+    rows = spark.createDataFrame([(i, "u", f"{i} " * 60) for i in ids] + [(None, "u", "n" * 200)], "page_id string, url string, html string")
+    warc.write_warc(rows, f"{tmp_path}/a")
+    got = warc.read_warc(spark, f"{tmp_path}/a").select(warc.page_of(F.col("record_id"), "string").alias("i"), "payload").collect()
+    assert {r.i: bytes(r.payload).decode() for r in got} == {**{i: f"{i} " * 60 for i in ids}, None: "n" * 200}
+
+
 def test_warc_of_large_and_no_records(spark, tmp_path):
     warc.write_warc(pages(spark, [(1, "u", "é" * (9 << 20)), (2, "u", "x")]).coalesce(1), f"{tmp_path}/a")
     got = {r.record_id: len(r.payload) for r in warc.read_warc(spark, f"{tmp_path}/a").collect()}
