@@ -6,7 +6,8 @@ anchor for about 16 words. Each task sends the sparse cells of its own sketch, b
 one bit for each cell (counted twice or more) is broadcast; its size is bounded by `max_cells`.
 
 Pass 2 groups only windows whose anchor is estimated repeated, by a 96-bit hash of their words, and finds the
-smallest document of each. What the sketch overestimates is sorted out here; nothing repeated can be missed.
+smallest document of each. What the sketch overestimates is sorted out here; nothing repeated can be missed. The windows
+of several documents are written, and a third pass sends only windows that their bits hold to be looked up there.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import full_text, match
+from tablewright.llm.bits import bits_of, has
+from tablewright.llm.common import full_text, match, written
 from tablewright.llm.spans import Powers, mix, spans, window_hashes, word_hashes
 
 WINDOW = 50
@@ -26,6 +28,8 @@ ANCHOR = 20
 #: Rows of the sketch; cells of a row lie in blocks of BLOCK cells.
 DEPTH = 2
 BLOCK = 1 << 16
+#: Slots in which the tasks' sketches first meet.
+SLOTS = 32
 #: Cells of a row: eight for each expected anchor, between these bounds (2**29 cells are 64 MB of bits a row).
 MIN_CELLS = 1 << 20
 MAX_CELLS = 1 << 29
@@ -66,7 +70,8 @@ def _cell(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
 
 def _sketch_of_task(cells: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, pending, size = Powers(), [], 0
+        from pyspark import TaskContext
+        powers, pending, size, slot = Powers(), [], 0, TaskContext.get().partitionId() % SLOTS
 
         def flush() -> Iterator[pa.RecordBatch]:
             all_anchors = np.concatenate(pending) if pending else np.zeros(0, dtype=np.uint64)
@@ -78,6 +83,7 @@ def _sketch_of_task(cells: int):
                 parts = np.split(cell, cuts) if len(cell) else []
                 yield pa.RecordBatch.from_pydict({
                     "sketch_row": pa.array([row] * len(parts), pa.int32()),
+                    "slot": pa.array([slot] * len(parts), pa.int32()),
                     "block": pa.array([int(p[0]) // BLOCK for p in parts], pa.int64()),
                     "hits": pa.array([(p % BLOCK).astype("<u2").tobytes() for p in parts], pa.binary())})
             pending.clear()
@@ -94,23 +100,53 @@ def _sketch_of_task(cells: int):
     return count
 
 
-def _merge_block(key, pdf):
-    """Sum of a block over the tasks' sketches: one bit for each cell counted twice or more."""
-    import pandas as pd
-    counts = np.zeros(BLOCK, dtype=np.uint32)
-    for hits in pdf["hits"]:
-        counts += np.bincount(np.frombuffer(hits, dtype="<u2"), minlength=BLOCK).astype(np.uint32)
-    return pd.DataFrame({"sketch_row": [key[0]], "block": [key[1]], "bits": [np.packbits(counts > 1).tobytes()]})
+def _merge(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Sums of the blocks' cells over rows sorted by their first `keys` columns, one block at a time."""
+    now, counts = None, None
+    for batch in batches:
+        for *key, hits in zip(*[batch.column(k).to_pylist() for k in range(keys)], batch.column("hits").to_pylist()):
+            if key != now:
+                if now is not None:
+                    yield now, counts
+                now, counts = key, np.zeros(BLOCK, dtype=np.uint32)
+            counts += np.bincount(np.frombuffer(hits, dtype="<u2"), minlength=BLOCK).astype(np.uint32)
+    if now is not None:
+        yield now, counts
+
+
+def _merge_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tasks' sketches of a slot as one sketch, no cell above two."""
+    for (row, block, _), counts in _merge(batches, 3):
+        hits = np.repeat(np.arange(BLOCK), np.minimum(counts, 2)).astype("<u2").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int64()), pa.array([hits])],
+                                         names=["sketch_row", "block", "hits"])
+
+
+def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit for each cell of a block that is counted twice or more."""
+    for (row, block), counts in _merge(batches, 2):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([row], pa.int32()), pa.array([block], pa.int64()), pa.array([np.packbits(counts > 1).tobytes()])],
+            names=["sketch_row", "block", "bits"])
 
 
 def repeated_cells(docs: DataFrame, cells: int) -> list[np.ndarray]:
-    """Bits of the cells counted twice or more, one array for each sketch row (cells / 8 bytes)."""
-    parts = docs.select("text").mapInArrow(_sketch_of_task(cells), "sketch_row int, block long, hits binary")
-    merged = parts.groupBy("sketch_row", "block").applyInPandas(_merge_block, "sketch_row int, block long, bits binary")
+    """Bits of the cells counted twice or more, one array for each sketch row (cells / 8 bytes).
+
+    Blocks meet in two levels, so a task reads SLOTS rows for a block, however many tasks there were. Where max_cells
+    bounds the cells, more of them are counted twice and more windows go on to the exact pass; none is lost.
+    """
+    parts = docs.select("text").mapInArrow(_sketch_of_task(cells), "sketch_row int, slot int, block long, hits binary")
+    slots = ["sketch_row", "block", "slot"]
+    merged = (parts.select(*slots, "hits").repartition(*slots).sortWithinPartitions(*slots)
+              .mapInArrow(_merge_slots, "sketch_row int, block long, hits binary"))
+    whole = (merged.repartition("sketch_row", "block").sortWithinPartitions("sketch_row", "block")
+             .mapInArrow(_merge_blocks, "sketch_row int, block long, bits binary"))
     bits = [np.zeros(max(cells, BLOCK) // 8, dtype=np.uint8) for _ in range(DEPTH)]
-    for row in merged.toArrow().to_pylist():  # cells / 8 bytes a row of the sketch
-        at = row["block"] * BLOCK // 8
-        bits[row["sketch_row"]][at:at + BLOCK // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    for batch in whole.toArrow().to_batches():  # cells / 8 bytes a row of the sketch
+        for row, block, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            at = block * BLOCK // 8
+            bits[row][at:at + BLOCK // 8] = np.frombuffer(held.as_buffer(), dtype=np.uint8)
     return bits
 
 
@@ -119,9 +155,10 @@ def _is_set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _candidates(bits_of, cells: int):
+def _candidates(sketch, cells: int, repeated=None):
+    """Windows whose anchor is estimated repeated; with bits of repeated windows only those that they hold."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, bits = Powers(), bits_of.value
+        powers, bits = Powers(), sketch.value
         for batch in batches:
             ids, bodies = batch.column("doc_id"), batch.column("body")
             for k, text in enumerate(batch.column("text").to_pylist()):
@@ -134,27 +171,37 @@ def _candidates(bits_of, cells: int):
                 at = np.flatnonzero(maybe)
                 if not len(at):
                     continue
+                own = window_hashes(first, WINDOW, powers, 0)
+                if repeated is not None:
+                    at = at[has(repeated.value, own[at])]
+                    if not len(at):
+                        continue
                 starts, ends = spans(data)
                 second = word_hashes(data, starts, ends, powers, 1)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(window_hashes(first, WINDOW, powers, 0)[at].view(np.int64)),
+                    pa.array(own[at].view(np.int64)),
                     pa.array((window_hashes(second, WINDOW, powers, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     pa.repeat(ids[k], n), pa.repeat(bodies[k], n), pa.array(at.astype(np.int32))],
                     names=["w1", "w2", "doc_id", "body", "pos"])
     return find
 
 
-def later_windows(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+def later_windows(docs: DataFrame, max_cells: int = MAX_CELLS, folder: str | None = None) -> DataFrame:
     """(doc_id, body, pos) of every window whose words also start in a document with a smaller id."""
     spark = docs.sparkSession
     asked = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") > 2 * WINDOW - 2)).select("doc_id", "body", "text")
     cells = sketch_cells(asked, max_cells)
-    bits = spark.sparkContext.broadcast(repeated_cells(asked, cells))
+    sketch = spark.sparkContext.broadcast(repeated_cells(asked, cells))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    windows = asked.mapInArrow(_candidates(bits, cells), f"w1 long, w2 int, doc_id {id_type}, body long, pos int")
+    shape = f"w1 long, w2 int, doc_id {id_type}, body long, pos int"
     # Grouped in parts on each task first, so a window of many documents sends a row for each task.
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
+    groups = (asked.mapInArrow(_candidates(sketch, cells), shape).groupBy("w1", "w2")
+              .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last")))
+    first = written(groups.select("w1", "w2", "first"), folder)
+    repeated = spark.sparkContext.broadcast(bits_of(first, "w1"))
+    # Both sides are scans, so that a join can split a window of very many documents.
+    windows = asked.mapInArrow(_candidates(sketch, cells, repeated), shape)
     return windows.join(first, ["w1", "w2"]).filter(F.col("doc_id") > F.col("first")).select("doc_id", "body", "pos")
 
 
@@ -184,7 +231,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    max_cells: int = MAX_CELLS) -> DataFrame:
+                    max_cells: int = MAX_CELLS, folder: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes when a window of 50 words that covers it also starts in a document with a smaller id; windows are
@@ -194,7 +241,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), full_text(F.col(text_col)).alias("text"))
     rows = rows.withColumn("body", F.xxhash64("text"))
-    found = later_windows(rows, max_cells).groupBy("doc_id", "body").agg(F.collect_set("pos").alias("starts"))
+    found = later_windows(rows, max_cells, folder).groupBy("doc_id", "body").agg(F.collect_set("pos").alias("starts"))
     joined = match(rows, found, ["doc_id", "body"]).select("doc_id", "text", "starts")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_cut, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
