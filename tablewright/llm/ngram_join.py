@@ -51,8 +51,9 @@ TILE_TOKENS = 1_000_000
 BLOCK_SETS = 1_024
 #: Cells that a set's tokens are counted in; counts end at 255, which only lets more pairs through.
 CELLS = 256
-#: Keys of sets that a task remembers in order to pass over further copies.
+#: Keys of sets that a task remembers in order to pass over further copies, and texts whose tokens it holds at once.
 SEEN = 300_000
+HELD = 1_000
 
 
 # -- sets and signatures -----------------------------------------------------------------
@@ -142,12 +143,18 @@ def _body(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode())
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, HELD):
+            yield batch.slice(k, HELD)
+
+
 def _sizes(size: int, share: float):
     limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen = Powers(), set()
-        for batch in batches:
+        for batch in _sliced(batches):
             n, keys, bodies, some = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = tokens(text, powers, size)
@@ -172,7 +179,7 @@ def _sizes(size: int, share: float):
 def _each_set(batches: Iterator[pa.RecordBatch], size: int, left) -> Iterator[list[tuple[int, int, str, np.ndarray]]]:
     """For each batch the sets (key, text, tokens) of the bodies left, but for those that the task saw lately."""
     powers, seen = Powers(), set()
-    for batch in batches:
+    for batch in _sliced(batches):
         out, texts = [], batch.column("text").to_pylist()
         bodies = np.array([_body(t) for t in texts], dtype=np.uint64)
         for k in np.flatnonzero(has(left.value, bodies)).tolist():
