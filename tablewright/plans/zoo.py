@@ -85,8 +85,10 @@ def _tree(kind):
 
 
 def _forest(kind, subset: str):
+    # with node ids beside the rows, a level does not send the forest grown so far to every task
     return lambda p, s: kind(numTrees=int(p["n_estimators"]), maxDepth=_depth(p, FOREST_DEPTH), maxBins=64,
-                             featureSubsetStrategy=_subset(p.get("max_features", ""), subset), seed=s.seed)
+                             featureSubsetStrategy=_subset(p.get("max_features", ""), subset), seed=s.seed,
+                             cacheNodeIds=True)
 
 
 def boosted_classifier(p, s):
