@@ -1,10 +1,12 @@
 """Leaf-wise boosting against a plain one: every cut tried on raw values, one leaf after the other."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tablewright.operators import boosting
 from tablewright.operators.boosting import HistBoosting
 
 
@@ -102,3 +104,31 @@ def test_many_values_and_depth(spark):
     assert flat.filter("abs(prediction - 3) > 1e-9").isEmpty()
     with pytest.raises(ValueError):
         HistBoosting.of(max_bins=400).fit(rows)
+
+
+def test_rows_are_packed_into_blocks(monkeypatch):
+    """A few rows for Spark instead of one for each row of the table, whatever the batches; missing values keep their bin."""
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(250, 2)), rng.normal(size=250)
+    x[3, 1] = np.nan
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[a:b].tolist(), pa.list_(pa.float64())), pa.array(y[a:b])], names=["x", "y"])
+               for a, b in ((0, 30), (30, 30), (30, 180), (180, 250))]
+    edges = [[-0.5, 0.5], [0.0]]
+    blocks = [b for batch in boosting._bin_rows(edges, [0.5, 1.5])(iter(batches)) for b in boosting._unpacked(batch)]
+    assert len(blocks) <= 4 and max(len(y) for _, y, _ in blocks) <= 100
+    bins, labels, score = (np.concatenate([b[i] for b in blocks], axis=-1) for i in range(3))
+    assert np.array_equal(bins.T, boosting.binned(x, [np.asarray(e) for e in edges])) and bins[1, 3] == boosting.MAX_BINS
+    assert np.array_equal(labels, y) and np.array_equal(score, np.repeat([[0.5], [1.5]], 250, axis=1))
+
+
+def test_histograms_meet_on_the_driver_or_in_the_shuffle(spark, data, monkeypatch):
+    x, value = data
+    df = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(x, value)], "x array<double>, label double").select(
+        array_to_vector("x").alias("features"), "label")
+    found = []
+    for most in (0, 16 << 20):
+        monkeypatch.setattr(boosting, "MEETING_BYTES", most)
+        model = HistBoosting.of(max_iter=2, max_leaf_nodes=7, one_task_cells=2000).fit(df)
+        found.append([r["prediction"] for r in model.transform(df).collect()])
+    assert np.allclose(*found, rtol=0, atol=1e-9)
