@@ -106,3 +106,30 @@ def test_nets_learn(data):
     assert model.transform(v).filter("prediction = label").count() > 380
     auto = Autoencoder.of("id", epochs=40, learning_rate=0.01, latent_dim=3).fit(v)
     assert auto.transform(v).agg(F.avg("score")).first()[0] < 0.2
+
+
+def test_an_epoch_is_one_job_beyond_one_task(spark, data, monkeypatch):
+    """Jobs grow with epochs and not with mini-batches; the net does not depend on partitions, and every row counts."""
+    df, x, y = data
+    monkeypatch.setattr(nets, "ROWS_PER_TASK", 100)
+    rows = df.select(F.xxhash64("id").alias("key"), "x", "y")
+    cfg = {**CFG, "epochs": 12, "batch_size": 10, "mean": [0.0] * 3, "std": [1.0] * 3}
+    start = Net([3, 16, 3], "softmax", seed=2)
+    spark.sparkContext.setJobGroup("shards", "")
+    try:
+        first, loss = nets.train(rows.repartition(5), 400, start, cfg, 3, "class")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("shards")) <= 2 * 12 + 4
+    again, _ = nets.train(rows.repartition(2), 400, start, cfg, 3, "class")
+    assert np.allclose(first.flat, again.flat, rtol=0, atol=1e-9)
+    assert (first.forward(x)[-1].argmax(axis=1) == y).mean() > 0.8 and loss < 0.5
+
+
+def test_noise_is_normal_and_goes_by_key():
+    keys = np.arange(-20_000, 20_000)
+    found = nets._noise(keys, 5, 2, 3, 0.5)
+    assert found.shape == (40_000, 3) and np.array_equal(found[7:9], nets._noise(keys[7:9], 5, 2, 3, 0.5))
+    assert np.abs(found.mean(axis=0)).max() < 0.01 and np.abs(found.std(axis=0) - 0.5).max() < 0.01
+    assert np.abs(np.corrcoef(found.T) - np.eye(3)).max() < 0.02
+    assert abs((np.abs(found) < 0.5).mean() - 0.6827) < 0.01 and not np.allclose(found, nets._noise(keys, 5, 3, 3, 0.5))
