@@ -1,6 +1,7 @@
 """Learning sanity by threshold, neighbours against brute force, whole runs."""
 
 import datetime as dt
+import threading
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from tablewright.functions import fixed
 from tablewright.operators import explain, features, folds, neighbors
 from tablewright.operators.drift import drift_reference
 from tablewright.operators.forest import IsolationForest
+from tablewright.operators.kernels import GaussianBayes
 from tablewright.operators.net import Autoencoder
 from tablewright.plans import search, training, zoo
 from tablewright.plans.experiment import run_experiment
@@ -221,3 +223,26 @@ def test_search_query_runs_the_defaults(spark, sf, monkeypatch):
     with pytest.raises(Stop) as seen:
         modelling.search_trials(spark, sf)
     assert seen.value.args == (fixed.N_SPLITS, fixed.N_TRIALS)
+
+
+def test_folds_run_side_by_side(signal, tmp_path):
+    """Each fold's fit waits for that of another fold; a model that fails in some folds is listed once, for the first."""
+    meeting = threading.Barrier(3)
+
+    class Meets(GaussianBayes):
+        def _fit(self, dataset):
+            meeting.wait(60)
+            return super()._fit(dataset)
+
+    class Fails(GaussianBayes):
+        def _fit(self, dataset):
+            raise RuntimeError("no fit")
+
+    df = signal.drop("price")
+    split = folds.assign_folds(df, "key", task_type="classification", target="label", n_splits=3)
+    models = {"meets": zoo.Entry(lambda p, s: Meets.of(n_classes=2), "none"), "fails": zoo.Entry(lambda p, s: Fails.of(), "none")}
+    found = training.cross_train(df, split, models, features.feature_encoder(df, "label"), "classification", "label", str(tmp_path))
+    state = sorted((r["model"], r["status"]) for r in found.results.collect())
+    assert state == [("fails", "failed"), *[("meets", "ok")] * 3] and len(found.alerts) == 1
+    assert found.oof.groupBy("key").count().filter("count <> 1").isEmpty() and found.oof.count() == 120
+    assert {r["fold"] for r in found.oof.select("fold").distinct().collect()} == {0, 1, 2}
