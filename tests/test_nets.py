@@ -128,8 +128,8 @@ def test_an_epoch_is_one_job_beyond_one_task(spark, data, monkeypatch):
 
 def test_noise_is_normal_and_goes_by_key():
     keys = np.arange(-20_000, 20_000)
-    found = nets._noise(keys, 5, 2, 3, 0.5)
-    assert found.shape == (40_000, 3) and np.array_equal(found[7:9], nets._noise(keys[7:9], 5, 2, 3, 0.5))
+    found = nets._hashed_noise(keys, 5, 2, 3, 0.5)
+    assert found.shape == (40_000, 3) and np.array_equal(found[7:9], nets._hashed_noise(keys[7:9], 5, 2, 3, 0.5))
     assert np.abs(found.mean(axis=0)).max() < 0.01 and np.abs(found.std(axis=0) - 0.5).max() < 0.01
     assert np.abs(np.corrcoef(found.T) - np.eye(3)).max() < 0.02
-    assert abs((np.abs(found) < 0.5).mean() - 0.6827) < 0.01 and not np.allclose(found, nets._noise(keys, 5, 3, 3, 0.5))
+    assert abs((np.abs(found) < 0.5).mean() - 0.6827) < 0.01 and not np.allclose(found, nets._hashed_noise(keys, 5, 3, 3, 0.5))
