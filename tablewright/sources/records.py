@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.exprs import any_of, col
@@ -26,8 +26,9 @@ SCHEMAS = {
     "reports": "id string, experiment_id string, run_id string, format string, content string, "
                "summary_json string, created_at timestamp",
 }
-# Tables whose queries name one parent are partitioned by it.
+# Tables whose queries name one parent are partitioned by its hash: a folder for each parent is as many files as parents.
 PARTITIONS = {"agent_events": "experiment_id", "model_results": "run_id"}
+BUCKET, BUCKETS = "_bucket", 64
 ACTION = "array<struct<operation:string,column:string,rows:long,value:string,reason:string>>"
 
 
@@ -47,13 +48,22 @@ class RecordStore:
             rows = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
         writer = rows.write.mode("append")
         if table in PARTITIONS:
-            # One file per parent where it is small, several where one parent is most rows.
-            writer = rows.hint("rebalance", PARTITIONS[table]).write.mode("append")
-            writer = writer.partitionBy(PARTITIONS[table])
+            # One file per bucket where it is small, several where one parent is most rows; sorted, so that a reader of
+            # one parent skips the other row groups.
+            parent = PARTITIONS[table]
+            dealt = rows.withColumn(BUCKET, _bucket(F.col(parent))).hint("rebalance", BUCKET)
+            writer = dealt.sortWithinPartitions(BUCKET, parent).write.mode("append").partitionBy(BUCKET)
         writer.parquet(self.path(table))
 
-    def table(self, table: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+    def table(self, table: str, parent: str | None = None) -> DataFrame:
+        """All rows, or those of one parent."""
+        if table not in PARTITIONS:
+            return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+        rows = self.spark.read.schema(f"{SCHEMAS[table]}, {BUCKET} int").parquet(self.path(table))
+        if parent is not None:
+            rows = rows.filter((F.col(BUCKET) == _bucket(F.lit(parent))) & (F.col(PARTITIONS[table]) == parent))
+        # the parent's column last, where partitioned tables have it
+        return rows.select(*[c for c in rows.columns if c not in (BUCKET, PARTITIONS[table])], PARTITIONS[table])
 
     def log_event(self, experiment_id: str, agent_name: str, event_type: str, number: int, when,
                   rationale: str = "", input_json: str | None = None, output_json: str | None = None):
@@ -76,7 +86,7 @@ class RecordStore:
         return owner_of_run(self.experiments(), self.runs(), run_id)
 
     def events_of(self, experiment_id: str) -> DataFrame:
-        return event_history(self.table("agent_events"), experiment_id)
+        return event_history(self.table("agent_events", experiment_id), experiment_id)
 
     def runs_of(self, experiment_id: str) -> DataFrame:
         return self.runs().filter(F.col("experiment_id") == experiment_id).orderBy("started_at", "id")
@@ -96,7 +106,11 @@ class RecordStore:
     def ranking(self, run_id: str) -> DataFrame:
         found = self.experiment_of_run(run_id).select("primary_metric").first()
         metric = found["primary_metric"] if found else ""
-        return stored_ranking(self.table("model_results"), metric, run_id)
+        return stored_ranking(self.table("model_results", run_id), metric, run_id)
+
+
+def _bucket(parent: Column) -> Column:
+    return F.pmod(F.xxhash64(parent), F.lit(BUCKETS)).cast("int")
 
 
 def latest_per(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

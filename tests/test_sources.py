@@ -1,5 +1,6 @@
 import pytest
 
+from tablewright.sources import records as R
 from tablewright.sources import tables as S
 
 
@@ -24,3 +25,16 @@ def test_errors(spark):
             S.load(spark, **bad)
     with pytest.raises(TypeError):
         S.load(spark, dataframe=[1])
+
+
+def test_records_of_many_parents_lie_in_few_folders(spark, tmp_path):
+    store = R.RecordStore(spark, str(tmp_path / "records"))
+    parents = [None, *map(str, range(200))]
+    rows = [dict(id=i, experiment_id=parents[i % len(parents)], agent_name="a") for i in range(500)]
+    for part in (rows[:250], rows[250:]):
+        store.append("agent_events", part)
+    assert len(list((tmp_path / "records" / "agent_events").glob("*=*"))) <= R.BUCKETS
+    assert sorted((r["id"], r["experiment_id"]) for r in store.table("agent_events").collect()) == [
+        (r["id"], r["experiment_id"]) for r in rows]
+    assert sorted(r["id"] for r in store.events_of("7").collect()) == [r["id"] for r in rows if r["experiment_id"] == "7"]
+    assert store.events_of("none").count() == 0
