@@ -2,9 +2,11 @@
 
 Reference rows go to the cell of their nearest pivot. For a query, the distances to the
 pivots and the cell radii bound its k-th neighbour from above and every cell from below
-(triangle inequality); only cells that may hold a neighbour are searched. Cells and the
-queries sent to a cell are cut into blocks of bounded size, so a cell with a third of all
-rows is many tasks. A task returns k rows per query and block, never all pairs.
+(triangle inequality); only cells that may hold a neighbour are searched. Neighbouring cells are
+packed into blocks, larger cells cut into several, and the queries sent to a block are cut into
+chunks of the same size, so a cell with a third of all rows is many tasks. A task returns k rows
+per query and block, never all pairs. Blocks grow with the table up to a bound in memory: where
+cells rule nothing out, every row is sent to every block, and this is PARTS copies of the table.
 """
 
 from __future__ import annotations
@@ -22,7 +24,11 @@ from pyspark.sql import functions as F
 from tablewright.functions.exprs import col
 from tablewright.operators.learners import LearnedModel, Learner
 
-BLOCK_ROWS = 2_048
+# Rows of a block: a share of the table, within bounds of rows and of numbers in its vectors.
+BLOCK_ROWS, PARTS = 2_048, 16
+MOST_ROWS, MOST_NUMBERS = 1 << 16, 1 << 22
+# Distances that a task holds at once.
+TILE = 1 << 21
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,26 +37,81 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def _local_top(query_keys, q, ref_keys, r, k: int, skip_same: bool) -> pd.DataFrame:
+def _local_top(query_keys, q, ref_keys, r, k: int, skip_same: bool, place=None) -> pd.DataFrame:
     """The k nearest references of every query within one block, ties by key, exactly."""
-    rough = _distances(q, r)
-    slack = 1e-6 * (1.0 + float(np.abs(rough).max(initial=0.0)))
+    if place is None:
+        place = np.unique(ref_keys, return_inverse=True)[1]  # keys of any type by their order
     want = min(k + (1 if skip_same else 0), len(ref_keys))
-    limit = np.partition(rough, want - 1, axis=1)[:, want - 1] + 2 * slack
     out_q, out_r, out_d = [], [], []
-    place = np.unique(ref_keys, return_inverse=True)[1]  # keys of any type by their order
-    for i in range(len(query_keys)):
-        near = np.flatnonzero(rough[i] <= limit[i])
-        if skip_same:
-            near = near[ref_keys[near] != query_keys[i]]
-        exact = np.sqrt(((r[near] - q[i]) ** 2).sum(axis=1))
-        best = np.lexsort((place[near], exact))[:k]
-        out_q += [query_keys[i]] * len(best)
-        out_r += ref_keys[near][best].tolist()
-        out_d += exact[best].tolist()
+    # squares of distances by one product, around the middle of the references, so that errors stay below the slack
+    middle = r.mean(axis=0)
+    middle = np.where(np.isfinite(middle), middle, 0.0)
+    a, b = q - middle, r - middle
+    a_square, b_square = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    a, b = np.column_stack([-2.0 * a, np.ones(len(a))]), np.vstack([b.T, b_square])
+    slack = 2e-6 * (1.0 + math.sqrt(float(np.nan_to_num(a_square).max(initial=0.0))) + math.sqrt(
+        float(np.nan_to_num(b_square).max(initial=0.0))))
+
+    def reach(nearest_square):
+        return (np.sqrt(np.maximum(nearest_square, 0.0)) + slack) ** 2
+
+    step = max(1, TILE // len(ref_keys))
+    held = np.empty((min(step, len(q)), len(ref_keys)))
+    for start in range(0, len(query_keys), step):
+        part = a[start:start + step]
+        rough = np.matmul(part, b, out=held[:len(part)])
+        rough += a_square[start:start + step, None]
+        # the k-th of some references bounds the k-th of all, and leaves few to look at
+        some = max(want, len(ref_keys) // 8)
+        limit = reach(np.partition(rough[:, :some], want - 1, axis=1)[:, want - 1])
+        at, near_all = np.nonzero(rough <= limit[:, None])
+        ends = np.searchsorted(at, np.arange(len(rough) + 1))
+        for i in range(len(rough)):
+            key, near = query_keys[start + i], near_all[ends[i]:ends[i + 1]]
+            if len(near) > want:
+                close = rough[i, near]
+                near = near[close <= reach(np.partition(close, want - 1)[want - 1])]
+            if skip_same:
+                near = near[ref_keys[near] != key]
+                others = np.flatnonzero(ref_keys != key) if len(near) < k else near
+                if len(others) > len(near):  # its key stands there more than once
+                    close = rough[i, others]
+                    last = min(k, len(close)) - 1
+                    near = others[close <= reach(np.partition(close, last)[last])]
+            exact = np.sqrt(((r[near] - q[start + i]) ** 2).sum(axis=1))
+            best = np.lexsort((place[near], exact))[:k]
+            out_q += [key] * len(best)
+            out_r += ref_keys[near][best].tolist()
+            out_d += exact[best].tolist()
     return pd.DataFrame({"query": out_q, "ref": out_r, "distance": out_d})
 
 
+def _packed(centres: np.ndarray, size: np.ndarray, rows: int) -> list[range]:
+    """Block numbers of every cell: cells side by side on the main axis share a block of up to ``rows`` rows, and a
+    cell of more rows has several of its own."""
+    centres = np.nan_to_num(centres)
+    axis = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0]
+    blocks: list[range] = [range(0)] * len(size)
+    number, open_block, held = 0, None, 0
+    for c in np.argsort(centres @ axis, kind="stable"):
+        if size[c] > rows:
+            blocks[c] = range(number, number + math.ceil(size[c] / rows))
+            number = blocks[c].stop
+            continue
+        if open_block is None or held + size[c] > rows:
+            open_block, held, number = number, 0, number + 1
+        blocks[c], held = range(open_block, open_block + 1), held + size[c]
+    return blocks
+
+
+def _by_value(lists: pd.Series) -> dict[tuple, list[int]]:
+    """Places of equal lists."""
+    found: dict[tuple, list[int]] = {}
+    for i, one in enumerate(lists):
+        found.setdefault(tuple(one), []).append(i)
+    return found
+
+
 def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_same: bool = False,
             n_refs: int | None = None) -> DataFrame:
     """(query, ref, distance, rank) of the k nearest refs of every query, ties by ref.
@@ -80,10 +141,11 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_same: bool = False
     size = np.array([cells[c]["n"] for c in ids])
     low, high = (np.array([cells[c][b] for c in ids]) for b in ("low", "high"))
     centres = pivots[ids]
-    blocks = {int(c): max(1, math.ceil(cells[c]["n"] / BLOCK_ROWS)) for c in ids}
+    rows = max(BLOCK_ROWS, min(math.ceil(n / PARTS), MOST_ROWS, MOST_NUMBERS // max(1, centres.shape[1])))
+    blocks = _packed(centres, size, rows)
     need = k + (1 if skip_same else 0)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<block:int,cells:array<int>>>")
     def candidates(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
@@ -95,34 +157,52 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_same: bool = False
         at = np.where(filled.any(axis=1), filled.argmax(axis=1), len(ids) - 1)
         reach = upper[np.arange(len(d)), order[np.arange(len(d)), at]]
         lower = np.maximum(np.maximum(d - high, low - d), 0.0) - slack
-        return pd.Series([ids[row].astype("int32").tolist() for row in lower <= reach[:, None]])
-
-    asked = queries.select("key", "x", F.explode(candidates("x")).alias("cell"))
-    # One row per pivot: how many queries visit it.
-    visits = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chunks = {c: max(1, math.ceil(visits.get(c, 0) / BLOCK_ROWS)) for c in blocks}
-
-    def per_cell(table):
-        return F.create_map(*[F.lit(v) for c, m in table.items() for v in (c, m)])[F.col("cell")]
+        known: dict[bytes, list] = {}
+
+        def sent(row: np.ndarray) -> list:
+            code = row.tobytes()
+            if code not in known:
+                parts: dict[int, list[int]] = {}
+                for c in np.flatnonzero(row):
+                    for block in blocks[c]:
+                        parts.setdefault(block, []).append(int(ids[c]))
+                known[code] = [{"block": b, "cells": cells} for b, cells in parts.items()]
+            return known[code]
+        return pd.Series([sent(row) for row in lower <= reach[:, None]])
+
+    asked = queries.select("key", "x", F.explode(candidates("x")).alias("to")).select("key", "x", "to.block", "to.cells")
+    # One row per block: how many queries visit it.
+    visits = {r["block"]: r["n"] for r in asked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chunks = {b: max(1, math.ceil(visits.get(b, 0) / rows)) for b in range(max(r.stop for r in blocks))}
+
+    def looked_up(table, at):
+        return F.create_map(*[F.lit(v) for c, m in table.items() for v in (c, m)])[at]
 
     spread = F.xxhash64("key", F.lit("block"))
-    left = asked.select("key", "x", "cell", F.pmod(spread, per_cell(chunks)).cast("int").alias("chunk"),
-                        F.explode(F.sequence(F.lit(0), per_cell(blocks) - 1)).alias("block"))
+    left = asked.select("key", "x", "cells", F.col("block").alias("b"),
+                        F.pmod(spread, looked_up(chunks, F.col("block"))).cast("int").alias("h"))
     # New names: both sides may come from one table.
+    own = [looked_up({int(c): value(b) for c, b in zip(ids, blocks)}, F.col("cell")) for value in (min, len)]
     right = placed.select(F.col("key").alias("ref_key"), F.col("x").alias("ref_x"), "cell",
-                          F.pmod(spread, per_cell(blocks)).cast("int").alias("block"),
-                          F.explode(F.sequence(F.lit(0), per_cell(chunks) - 1)).alias("chunk")).select(
-        "ref_key", "ref_x", F.col("cell").alias("c"), F.col("block").alias("b"), F.col("chunk").alias("h"))
+                          (own[0] + F.pmod(spread, own[1])).cast("int").alias("b")).select(
+        "ref_key", "ref_x", "cell", "b", F.explode(F.sequence(F.lit(0), looked_up(chunks, F.col("b")) - 1)).alias("h"))
 
     def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query": q["key"].iloc[:0], "ref": r["ref_key"].iloc[:0],
-                                 "distance": pd.Series(dtype=float)})
-        return _local_top(q["key"].to_numpy(), np.vstack(q["x"].to_numpy()),
-                          r["ref_key"].to_numpy(), np.vstack(r["ref_x"].to_numpy()), k, skip_same)
-
-    left = left.select("key", "x", F.col("cell").alias("c"), F.col("block").alias("b"), F.col("chunk").alias("h"))
-    by = ["c", "b", "h"]
+        found = [pd.DataFrame({"query": q["key"].iloc[:0], "ref": r["ref_key"].iloc[:0],
+                               "distance": pd.Series(dtype=float)})]
+        if len(q) and len(r):
+            r = r.sort_values("cell", kind="stable")
+            query_keys, ref_keys, cell = q["key"].to_numpy(), r["ref_key"].to_numpy(), r["cell"].to_numpy()
+            x, ref_x = np.vstack(q["x"].to_numpy()), np.vstack(r["ref_x"].to_numpy())
+            order = np.unique(ref_keys, return_inverse=True)[1]
+            # queries that look into the same cells are searched together
+            for cells, same in _by_value(q["cells"]).items():
+                near = np.flatnonzero(np.isin(cell, cells))
+                if len(near):
+                    found.append(_local_top(query_keys[same], x[same], ref_keys[near], ref_x[near], k, skip_same, order[near]))
+        return pd.concat(found[1:]) if len(found) > 1 else found[0]
+
+    by = ["b", "h"]
     query_type, ref_type = (t.schema["key"].dataType.simpleString() for t in (queries, refs))
     pairs = f"query {query_type}, ref {ref_type}, distance double"
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, pairs)

@@ -68,6 +68,29 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, hot):
     assert got == {i: np.lexsort((np.arange(150), d[i]))[:4].tolist() for i in range(150)}
 
 
+def test_neighbours_of_repeated_keys(spark):
+    """Other rows of a query's own key do not take the places of its neighbours."""
+    df = spark.createDataFrame([(i // 4, [float(i // 4)]) for i in range(40)], "key long, x array<double>").persist()
+    got = {r["query"]: r["d"] for r in neighbors.nearest(df.filter("key = 0").limit(1), df, 5, skip_same=True).groupBy(
+        "query").agg(F.sort_array(F.collect_list("distance")).alias("d")).collect()}
+    assert got == {0: [1.0] * 4 + [2.0]}
+
+
+def test_neighbour_blocks_are_a_share_of_the_table():
+    """Where every cell is searched, a row is sent to about PARTS blocks, however many cells there are."""
+    rng = np.random.default_rng(3)
+    size = rng.integers(50, 400, 600)
+    size[7] = 20_000
+    rows = int(size.sum()) // neighbors.PARTS
+    blocks = neighbors._packed(rng.normal(size=(600, 8)), size, rows)
+    assert len(set().union(*blocks)) <= 2 * neighbors.PARTS and all(len(b) for b in blocks)
+    held = {}
+    for b, n in zip(blocks, size):
+        for block in b:
+            held[block] = held.get(block, 0) + n / len(b)
+    assert max(held.values()) <= rows and set(held) == set(range(len(held)))
+
+
 def test_classifiers_learn(signal, tmp_path):
     found = cross(signal.drop("price"), "classification", "label",
                   ["logistic_regression", "random_forest", "naive_bayes", "knn", "mlp", "xgboost", "nonsense"], tmp_path,
