@@ -1,7 +1,10 @@
 """Learning sanity by threshold, neighbours against brute force, whole runs."""
 
+import dataclasses
 import datetime as dt
 import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -91,6 +94,36 @@ def test_neighbour_blocks_are_a_share_of_the_table():
     assert max(held.values()) <= rows and set(held) == set(range(len(held)))
 
 
+def test_small_forests_of_several_folds_are_fitted_at_once(signal, tmp_path, monkeypatch):
+    """Fits meet at a barrier, which one fit after the other would not pass."""
+    met = threading.Barrier(3)
+
+    def build(p, s):
+        met.wait(60)
+        return zoo.CATALOGUE["regression"]["random_forest_regressor"].build(p, s)
+    df = signal.drop("label")
+    entry = dataclasses.replace(zoo.CATALOGUE["regression"]["random_forest_regressor"], build=build)
+    split = folds.assign_folds(df, "key", task_type="regression", target="price", n_splits=3)
+    found = training.cross_train(df, split, {"forest": entry}, features.feature_encoder(df, "price"), "regression", "price",
+                                 str(tmp_path), params={"forest": {"n_estimators": 2, "max_depth": 3}})
+    assert found.results.filter("status = 'ok'").count() == 3
+
+
+def test_room_is_never_overdrawn():
+    room, most, now = training.Room(10), [0], [0]
+
+    def fit(need):
+        with room.hold(need):
+            now[0] += 1
+            most[0] = max(most[0], room.used)
+            time.sleep(0.01)
+            assert room.used <= 10 or now[0] == 1  # a larger one is alone
+            now[0] -= 1
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(fit, [4, 5, 12, 3, 20, 1, 9, 2]))
+    assert room.used == 0 and most[0] >= 12
+
+
 def test_classifiers_learn(signal, tmp_path):
     found = cross(signal.drop("price"), "classification", "label",
                   ["logistic_regression", "random_forest", "naive_bayes", "knn", "mlp", "xgboost", "nonsense"], tmp_path,
