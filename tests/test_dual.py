@@ -102,3 +102,17 @@ def test_classes_and_errors(data):
     for bad in ({"C": -1.0}, {"nu": 0.0}):
         with pytest.raises(ValueError):
             DualSVM(options=json.dumps(bad)).fit(df.withColumn("label", F.col("side")))
+
+
+@pytest.mark.parametrize("objective", ["hinge", "one_class"])
+def test_many_tasks_need_few_passes(data, objective, monkeypatch):
+    """Six tasks reach the gap of one, in passes that a table of any size can afford."""
+    df, *_ = data
+    passes, sums = [], dual._ManyTasks.sums
+    monkeypatch.setattr(dual._ManyTasks, "sums", lambda self, of: passes.append(1) or sums(self, of))
+    mapped = LandmarkMap.of(size=60).fit(df).transform(df).withColumn("label", F.col("side"))
+    fits = [DualSVM(featuresCol="mapped", options=json.dumps({"objective": objective, "one_task_rows": rows})).fit(mapped).fitted["fits"][0]
+            for rows in (100, 20_000)]
+    assert all(f["gap"] <= 1e-3 for f in fits) and 0 < len(passes) <= 100
+    assert fits[0]["primal"] == pytest.approx(fits[1]["primal"], rel=2e-2 if objective == "one_class" else 2e-3)
+    assert fits[0]["rho"] == pytest.approx(fits[1]["rho"], rel=2e-2)

@@ -203,6 +203,29 @@ def test_search(signal, tmp_path):
     assert search.trial_points(models, 3, 1) == search.trial_points(models, 3, 1)
 
 
+def test_neighbours_in_few_columns(spark, monkeypatch):
+    """Two columns and a type: a row looks into few blocks and there at few rows; ties and keys that stand twice as by brute force."""
+    rng = np.random.default_rng(3)
+    kind = rng.integers(0, 3, 1500)
+    x = np.column_stack([rng.exponential(size=1500).round(2), rng.uniform(-1.7, 1.7, 1500), np.eye(3)[kind]])
+    x[700:760], keys = x[3], np.arange(1500) // 2 * 2 + (np.arange(1500) >= 100) * (np.arange(1500) % 2)
+    monkeypatch.setattr(neighbors, "BOX_ROWS", 16)
+    boxes = neighbors._near_boxes(x, x, 7)
+    assert sorted(np.concatenate([at for at, _ in boxes])) == list(range(1500))
+    assert sum(len(at) * len(near) for at, near in boxes) < 0.4 * 1500 ** 2
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(neighbors, "KNOWN_ROWS", 500)
+    df = spark.createDataFrame([(int(k), r.tolist()) for k, r in zip(keys, x)], "key long, x array<double>").persist()
+    got = {}
+    for r in neighbors.nearest(df, df.filter("key >= 0"), 5, skip_same=True).collect():
+        got.setdefault(r["query"], []).append((r["distance"], r["ref"]))
+    for i in [*range(100, 1500, 7), *range(700, 760)]:
+        exact = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        exact[keys == keys[i]] = np.inf
+        best = np.lexsort((keys, exact))[:5]
+        assert sorted(got[keys[i]]) == [(exact[j], keys[j]) for j in best]
+
+
 def test_experiment_end_to_end(spark, signal, tmp_path):
     store = RecordStore(spark, str(tmp_path / "records"))
     run = run_experiment(spark, str(tmp_path / "scratch"), key="key", task_type="classification", target="label",
