@@ -65,7 +65,7 @@ def score_point(entry: Entry, params: dict, folds: list[FoldData], labels, metri
         times.append(("trial", data.fold, 0.0, "ok"))
     rows = rows.persist()
     try:
-        values = metric_maps(rows, labels, times).agg(
+        values = metric_maps(rows, labels, times, only=metric).agg(
             F.avg(F.col("metrics")[metric]).alias("v"), F.count(F.col("metrics")[metric]).alias("n")).first()
         return values["v"] if values["n"] == len(folds) else None
     finally:

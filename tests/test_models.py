@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tablewright.functions import fixed
-from tablewright.operators import explain, features, folds, neighbors
+from tablewright.operators import explain, features, folds, metrics, neighbors
 from tablewright.operators.drift import drift_reference
 from tablewright.operators.forest import IsolationForest
 from tablewright.operators.kernels import GaussianBayes
@@ -203,6 +203,22 @@ def test_search(signal, tmp_path):
     assert search.trial_points(models, 3, 1) == search.trial_points(models, 3, 1)
 
 
+def test_trials_need_no_ranks(spark, signal, tmp_path, monkeypatch):
+    """A trial measured by counts does not rank its scores, and its value is the metric of all metrics."""
+    df = signal.drop("price")
+    split = folds.assign_folds(df, "key", task_type="classification", target="label", n_splits=2)
+    models, _ = zoo.select_models("classification", ["naive_bayes"])
+    encoder = features.feature_encoder(df, "label")
+    point = {"var_smoothing": 1e-8}
+    want = training.cross_train(df, split, models, encoder, "classification", "label", str(tmp_path / "all"),
+                                params={"naive_bayes": point}).results.agg(F.avg(F.col("metrics")["macro_f1"])).first()[0]
+    monkeypatch.setattr(metrics, "ranking_metrics", lambda *a, **b: pytest.fail("ranks"))
+    labels = training.learn_labels(df, "classification", "label")
+    table = split.attach(df, str(tmp_path / "folds"))
+    data = [training.encode_fold(table, split, i, encoder, labels, 42) for i in range(2)]
+    assert search.score_point(models["naive_bayes"], point, data, labels, "macro_f1") == pytest.approx(want, abs=1e-12)
+
+
 def test_neighbours_in_few_columns(spark, monkeypatch):
     """Two columns and a type: a row looks into few blocks and there at few rows; ties and keys that stand twice as by brute force."""
     rng = np.random.default_rng(3)
