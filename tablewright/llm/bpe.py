@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 Distinct words are encoded by Spark higher-order functions: an `aggregate` folds over the word's bytes and merges, in
-each step, the adjacent pair of lowest rank. Ranks come from one literal map, cut by the hash of the piece so that a
-lookup compares a few keys; it stands once in the plan. The most frequent words (a bounded number, counted over a fixed
+each step, the adjacent pair of lowest rank. Ranks come from one map, cut by the hash of the piece so that a lookup
+compares a few keys: the value of a one-row table, as a literal would stand in each description of the plan and of its
+changes, which the driver keeps. The most frequent words (a bounded number, counted over a fixed
 share of the texts) are encoded so, once, and their ids broadcast. A word outside that list is merged by the same rule in
 the task that meets it, as the fold is too slow for words that occur once (see README); so the ids depend neither on
 the bound nor on the share, and no text is shuffled. Decoding looks the pieces up in one literal array and joins their
@@ -34,7 +35,7 @@ FREQUENT = 1 << 17
 FREQUENT_BYTES = 32
 #: Frequent words are counted over every text whose hash is a multiple of this; ids do not depend on it.
 SHARE = 8
-#: Parts of the literal rank map.
+#: Parts of the rank map.
 PARTS = 1 << 14
 #: Distinct words that a counting task holds before it hands them on.
 HELD = 300_000
@@ -51,26 +52,29 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Ranks:
-    """The rank map as a Spark literal: pieces are hex strings, one map for each part of the hash space."""
+    """The rank map as a table of one row: pieces are hex strings, one map for each part of the hash space."""
 
     def __init__(self, ranks: dict[bytes, int], parts: int = PARTS) -> None:
-        maps: list[dict[str, int]] = [{} for _ in range(parts)]
+        maps: list[list[tuple[str, int]]] = [[] for _ in range(parts)]
         for piece, rank in ranks.items():
             code = piece.hex().upper()
             # xxhash64 of Spark, which pmod cuts into parts below
             digest = xxhash.xxh64_intdigest(code.encode(), 42)
-            maps[(digest - (digest >> 63 << 64)) % parts][code] = rank
+            maps[(digest - (digest >> 63 << 64)) % parts].append((code, rank))
         self.parts = parts
-        self.literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+        self.table = pa.table({"ranks": pa.array([maps], pa.list_(pa.map_(pa.string(), pa.int32())))})
 
     def of(self, table: Column, piece: Column) -> Column:
         """Rank of a piece in the bound table, NULL if it is none."""
         return F.get(table, F.pmod(F.xxhash64(piece), F.lit(self.parts)).cast("int"))[piece]
 
 
-def encode_word(word: Column, ranks: Ranks) -> Column:
-    """Token ids of one word (binary): ranked merges folded over its bytes."""
-    return let(ranks.literal, lambda table: _fold(word, lambda piece: ranks.of(table, piece)))
+def encode_words(words: DataFrame, ranks: Ranks) -> DataFrame:
+    """(word, ids): token ids of each word (string) by ranked merges folded over its bytes."""
+    # a column before it is used, as Spark takes no subquery inside a lambda; the optimizer puts it there
+    table = words.sparkSession.createDataFrame(ranks.table).scalar()
+    return words.select("word", table.alias("ranks")).select("word", let(F.col("ranks"), lambda ranked: _fold(
+        F.col("word").cast("binary"), lambda piece: ranks.of(ranked, piece))).alias("ids"))
 
 
 def _fold(word: Column, rank_of) -> Column:
@@ -337,13 +341,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path)
     rows = docs.select(F.col(id_col).alias("doc_id"), full_text(F.col(text_col)).alias("text"))
-    literal = Ranks(ranks)
     words = frequent_words(rows, pattern, most, folder)
-    # as many tasks as cores: each has the literal to load, and the words are bounded
-    coded = words.repartition(spark.sparkContext.defaultParallelism).select("word", encode_word(F.col("word").cast("binary"), literal).alias("ids"))
-    table, sink = coded.toArrow(), pa.BufferOutputStream()  # `most` rows at most
-    with pa.ipc.new_stream(sink, table.schema) as stream:
-        stream.write_table(table)
+    # as many tasks as cores: each has the table to load, and the words are bounded
+    coded = encode_words(words.repartition(spark.sparkContext.defaultParallelism), Ranks(ranks))
+    known, sink = coded.toArrow(), pa.BufferOutputStream()  # `most` rows at most
+    with pa.ipc.new_stream(sink, known.schema) as stream:
+        stream.write_table(known)
     sent = [spark.sparkContext.broadcast(x) for x in (sink.getvalue().to_pybytes(), Merges(ranks))]
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_encode(*sent, pattern), f"doc_id {id_type}, ids array<int>")

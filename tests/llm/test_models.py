@@ -308,6 +308,17 @@ def test_bpe(spark, library, most):
     assert bpe.encode(table(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_plan_does_not_print_the_ranks(spark, library):
+    """The driver keeps the text of a plan and of each of its changes: the rank map stays out of it."""
+    words = spark.createDataFrame([("the",), (" encyclopaedias",), ("é",)], "word string").repartition(2)
+    coded = bpe.encode_words(words, bpe.Ranks(bpe.load_ranks(RANKS)))
+    assert all(r.ids == library.encode_ordinary(r.word) for r in coded.collect())
+    plan = coded._jdf.queryExecution()
+    plan.executedPlan()
+    assert len(plan.toString()) < 100_000
+    assert plan.optimizedPlan().toString().count("Project") < 3  # the map is no column of the words
+
+
 def test_rank_file_is_read_as_given(tmp_path):
     (tmp_path / "r").write_bytes(b"".join(base64.b64encode(bytes([k])) + b" %d\n" % k for k in range(3)) + b"\n")
     assert bpe.load_ranks(f"{tmp_path}/r") == {bytes([k]): k for k in range(3)}
