@@ -3,11 +3,11 @@
 Distinct words are encoded by Spark higher-order functions: an `aggregate` folds over the word's bytes and merges, in
 each step, the adjacent pair of lowest rank. Ranks come from one map, cut by the hash of the piece so that a lookup
 compares a few keys: the value of a one-row table, as a literal would stand in each description of the plan and of its
-changes, which the driver keeps. The most frequent words (a bounded number, counted over a fixed
-share of the texts) are encoded so, once, and their ids broadcast. A word outside that list is merged by the same rule in
-the task that meets it, as the fold is too slow for words that occur once (see README); so the ids depend neither on
-the bound nor on the share, and no text is shuffled. Decoding looks the pieces up in one literal array and joins their
-bytes.
+changes, which the driver keeps. The most frequent words (a bounded number, counted over all texts) are encoded so,
+once, and their ids broadcast. A word outside that list is merged by the same rule in the task that meets it, as the fold
+is too slow for words that occur once (see README); so the ids do not depend on the bound, and no text is shuffled. Both
+passes cut their texts in Arrow and handle a chunk once for each round of texts. Decoding looks the pieces up in one
+literal array and joins their bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +22,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,12 +33,12 @@ from tablewright.llm.common import full_text, let, written
 #: Words whose ids are broadcast, and the longest of them in bytes: the broadcast has a fixed bound.
 FREQUENT = 1 << 17
 FREQUENT_BYTES = 32
-#: Frequent words are counted over every text whose hash is a multiple of this; ids do not depend on it.
-SHARE = 8
 #: Parts of the rank map.
 PARTS = 1 << 14
-#: Distinct words that a counting task holds before it hands them on.
+#: Distinct chunks that a counting task holds before it hands their words on.
 HELD = 300_000
+#: Bytes of the texts that are cut in one round.
+ROUND_BYTES = 2 << 20
 #: Chunks that a worker remembers in each of two generations.
 REMEMBERED = 400_000
 #: Bytes from which a word is merged with a heap.
@@ -121,17 +121,36 @@ def _fold(word: Column, rank_of) -> Column:
 
 # -- words of a text ---------------------------------------------------------------------
 
+#: White space as `\\s` of Python's patterns has it.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space beside other white space, or at an end: there a cut at single spaces could split a match.
-_CROWDED = re.compile(r" \s|\s |^ | $")
+_CROWDED = f" {_SPACE}|{_SPACE} |^ | $"
 
 
-def cut_chunks(text: str) -> list[str] | None:
-    """The text cut before each single space, so that every match of the pattern lies in one chunk; None where a
-    space has white space beside it."""
-    if not text or _CROWDED.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + r for r in rest]] if first else None
+def rounds(texts: pa.Array) -> Iterator[slice]:
+    """Runs of texts with ROUND_BYTES in all, or of one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + ROUND_BYTES, side="right")))
+        yield slice(first, last)
+        first = last
+
+
+def cut_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Texts cut before each single space, so that every match of the pattern lies in one chunk.
+
+    (whole, sizes, codes, words): the places of texts that stay whole, as they are empty or a space has white space
+    beside it; the number of chunks of each other text and the code of each chunk: k for a space and words[k],
+    len(words) + k for words[k] where it begins a text.
+    """
+    whole = pc.or_(pc.match_substring_regex(texts, _CROWDED), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+    parts = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+    coded = parts.flatten().dictionary_encode()
+    codes, sizes = coded.indices.to_numpy().astype(np.int64), pc.list_value_length(parts).to_numpy().astype(np.int64)
+    codes[np.cumsum(sizes) - sizes] += len(coded.dictionary)
+    return np.flatnonzero(whole), sizes, codes, coded.dictionary
 
 
 def one_word(chunk: str) -> bool:
@@ -139,40 +158,65 @@ def one_word(chunk: str) -> bool:
     return chunk[0] == " " and chunk[1:].isalpha()
 
 
+#: Chunks that are one word, up to the version of the letters' table.
+_ONE_WORD = r"^ \p{L}+$"
+
+
+def _summed(words: list, counts: list) -> tuple[pa.Array, pa.Array]:
+    """Each word once, its counts added up."""
+    table = pa.table({"word": pa.chunked_array(words, pa.string()), "n": pa.chunked_array(counts, pa.int64())})
+    table = table.group_by("word", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+    return tuple(table.column(c).combine_chunks() for c in ("word", "n_sum"))
+
+
 def _count_words(pattern: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, chunks = regex.compile(pattern), Counter()
+        cut = regex.compile(pattern)
+        chunks, counts, n, own = [], [], 0, Counter()  # own: words of texts that stay whole
 
         def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for chunk, n in chunks.items():
-                if one_word(chunk):
-                    words[chunk] += n
-                    continue
+            held, times = _summed(chunks, counts)
+            one = pc.match_substring_regex(held, _ONE_WORD)
+            more, words = pc.invert(one), own.copy()
+            for chunk, k in zip(held.filter(more).to_pylist(), times.filter(more).to_pylist()):
                 for word in cut.findall(chunk):
-                    words[word] += n
-            chunks.clear()
-            some = [(w, n) for w, n in words.items() if len(w.encode()) <= FREQUENT_BYTES]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()),
-                                               pa.array([n for _, n in some], pa.int64())], names=["word", "n"])
+                    words[word] += k
+            word, k = _summed([held.filter(one), pa.array(list(words), pa.string())],
+                              [times.filter(one), pa.array(list(words.values()), pa.int64())])
+            short = pc.less_equal(pc.binary_length(word), FREQUENT_BYTES)
+            return pa.RecordBatch.from_arrays([word.filter(short), k.filter(short)], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                chunks.update(cut_chunks(text) or ((text,) if text else ()))
-                if len(chunks) >= HELD:
+            texts = batch.column("text").drop_null()
+            for part in rounds(texts):
+                some = texts[part]
+                whole, _, codes, words = cut_chunks(some)
+                for text in some.take(pa.array(whole)).to_pylist():
+                    own.update(cut.findall(text))
+                times = np.bincount(codes, minlength=2 * len(words))
+                for places, start in zip(np.split(times, 2), (" ", "")):
+                    met = np.flatnonzero(places)
+                    chunks.append(pc.binary_join_element_wise(start, words.take(pa.array(met)), ""))
+                    counts.append(pa.array(places[met]))
+                    n += len(met)
+                if n + len(own) < HELD:
+                    continue
+                chunks, counts = ([x] for x in _summed(chunks, counts))
+                n = len(chunks[0])
+                if n + len(own) >= HELD // 2:
                     yield flush()
+                    chunks, counts, n = [], [], 0
+                    own.clear()
         yield flush()
     return count
 
 
-def frequent_words(docs: DataFrame, pattern: str, most: int = FREQUENT, folder: str | None = None,
-                   share: int = SHARE) -> DataFrame:
+def frequent_words(docs: DataFrame, pattern: str, most: int = FREQUENT, folder: str | None = None) -> DataFrame:
     """The words of highest count, `most` at most: those at or above a count that all together keep the bound.
 
-    Counted over the texts whose hash is a multiple of `share`. The bound is found from counts of counts on a logarithmic scale (a few hundred rows), so no task sorts all words.
+    Counted over all texts. The bound is found from counts of counts on a logarithmic scale (a few hundred rows), so no task sorts all words.
     """
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    counted = (some.select("text").mapInArrow(_count_words(pattern), "word string, n long").groupBy("word")
+    counted = (docs.select("text").mapInArrow(_count_words(pattern), "word string, n long").groupBy("word")
                .agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
                .withColumn("step", F.floor(F.log2("n") * 16).cast("int")))
     counted = written(counted, folder)
@@ -316,18 +360,43 @@ def _ids_of(known, merges, pattern: str) -> _Ids:
     return _REMEMBERED[1]
 
 
+def _encoded(ids: _Ids, texts: pa.Array) -> pa.Array:
+    """Token ids of each text: those of a chunk are looked up once and copied to its places."""
+    whole, sizes, codes, words = cut_chunks(texts)
+    used = np.bincount(codes, minlength=2 * len(words)) > 0
+    with_space, first = (words.take(pa.array(np.flatnonzero(u))).to_pylist() for u in np.split(used, 2))
+    found = [ids[" " + w] for w in with_space] + [ids[w] for w in first]
+    found += map(ids.of_words, texts.take(pa.array(whole)).to_pylist())
+    flat = np.frombuffer(b"".join(found), dtype="<i4")
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    starts = np.cumsum(lengths) - lengths
+
+    n_chunks = np.ones(len(texts), np.int64)  # a whole text is a chunk
+    cut = np.ones(len(texts), bool)
+    cut[whole] = False
+    n_chunks[cut] = sizes
+    ends = np.cumsum(n_chunks)
+    place = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)  # of each chunk among the found ones
+    kept = np.ones(len(place), bool)
+    kept[ends[whole] - 1] = False
+    place[kept] = (np.cumsum(used) - 1)[codes]
+    place[~kept] = len(found) - len(whole) + np.arange(len(whole))
+
+    size = lengths[place]
+    upto = np.concatenate(([0], np.cumsum(size)))
+    values = flat[np.repeat(starts[place] - upto[:-1], size) + np.arange(upto[-1])]
+    offsets = upto[np.concatenate(([0], ends))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def _encode(known, merges, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _ids_of(known, merges, pattern)
         for batch in batches:
-            lists = []
-            for text in batch.column("text").to_pylist():
-                chunks = cut_chunks(text)
-                lists.append(b"".join(map(ids.__getitem__, chunks)) if chunks is not None else ids.of_words(text))
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in lists]))).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(lists), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "ids"])
+            texts = batch.column("text")
+            for part in rounds(texts):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], _encoded(ids, texts[part])],
+                                                 names=["doc_id", "ids"])
     return encode
 
 

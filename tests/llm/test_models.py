@@ -6,10 +6,13 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -319,6 +322,31 @@ def test_plan_does_not_print_the_ranks(spark, library):
     assert plan.optimizedPlan().toString().count("Project") < 3  # the map is no column of the words
 
 
+def test_frequent_words_are_counted_over_every_text(spark):
+    """A word that stands twice in a text, and nowhere else, is found whatever the text's hash is."""
+    names = ["".join(chr(97 + int(c)) for c in str(k)) for k in range(100, 164)]
+    texts = [(k, f"x {name} y {name} z  {name}!") for k, name in enumerate(names)]
+    found = bpe.frequent_words(table(spark, texts), public_tokenizers.PATTERN)
+    assert {f" {name}" for name in names} <= {r.word for r in found.collect()}
+
+
+def test_chunks_are_counted_as_the_pattern_finds_words(monkeypatch):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("ab é\n\t1'.s  \x1c\x85　") for _ in range(60)) for _ in range(200)] + ["", " ", "a", "a b", "a b "]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None], pa.string())], names=["text"])
+    cut, true = regex.compile(public_tokenizers.PATTERN), Counter()
+    for text in texts:
+        true.update(w for w in cut.findall(text) if len(w.encode()) <= bpe.FREQUENT_BYTES)
+    for held, size in ((bpe.HELD, bpe.ROUND_BYTES), (50, 300)):
+        monkeypatch.setattr(bpe, "HELD", held)
+        monkeypatch.setattr(bpe, "ROUND_BYTES", size)
+        found = Counter()
+        for part in bpe._count_words(public_tokenizers.PATTERN)(iter([batch, batch.slice(0, 0)])):
+            for row in part.to_pylist():
+                found[row["word"]] += row["n"]
+        assert found == true
+
+
 def test_rank_file_is_read_as_given(tmp_path):
     (tmp_path / "r").write_bytes(b"".join(base64.b64encode(bytes([k])) + b" %d\n" % k for k in range(3)) + b"\n")
     assert bpe.load_ranks(f"{tmp_path}/r") == {bytes([k]): k for k in range(3)}
