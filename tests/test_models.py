@@ -341,3 +341,34 @@ def test_folds_run_side_by_side(signal, tmp_path):
     assert state == [("fails", "failed"), *[("meets", "ok")] * 3] and len(found.alerts) == 1
     assert found.oof.groupBy("key").count().filter("count <> 1").isEmpty() and found.oof.count() == 120
     assert {r["fold"] for r in found.oof.select("fold").distinct().collect()} == {0, 1, 2}
+
+
+# -- forests whose trees grow some at a time ----------------------------------------------
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_forest_of_sets_of_trees(spark, tmp_path, task):
+    rows = spark.range(400).select(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("x"),
+                                   (F.col("id") % 7 > 3).cast("double").alias("label"))
+    rows = rows.select(array_to_vector("x").alias("features"), "label")
+    name = "random_forest" if task == "classification" else "random_forest_regressor"
+    build = zoo.CATALOGUE[task][name].build
+    one = build({"n_estimators": 9}, zoo.Shape(400, 2, 2))
+    many = build({"n_estimators": 9}, zoo.Shape(400, 2, 2))
+    assert one.at_once >= 9
+    many.at_once = 4
+    forest = many.fit(rows)
+    assert len(forest.trees) == forest.getNumTrees == 9
+    right = forest.transform(rows).filter(F.abs(F.col("prediction") - F.col("label")) < 0.2).count()
+    assert right == 400 == one.fit(rows).transform(rows).filter(F.abs(F.col("prediction") - F.col("label")) < 0.2).count()
+    forest.save(f"{tmp_path}/forest")
+    again = type(forest).load(f"{tmp_path}/forest")
+    assert sorted(r.prediction for r in again.transform(rows).collect()) == sorted(
+        r.prediction for r in forest.transform(rows).collect())
+
+
+def test_bags_and_nodes_of_a_forest_are_bounded():
+    entry = zoo.CATALOGUE["classification"]["random_forest"]
+    few, many = (entry.build(entry.defaults, zoo.Shape(n, 8, 2)).at_once for n in (16_000, 4_800_000))
+    assert few >= 300 and many * 4_800_000 <= 100_000_000
+    assert training.folds_at_once({"f": entry}, 6_000_000) == 1
+    assert training.folds_at_once({"f": entry}, 100_000) == training.FOLDS_AT_ONCE
