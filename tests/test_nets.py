@@ -133,3 +133,27 @@ def test_noise_is_normal_and_goes_by_key():
     assert np.abs(found.mean(axis=0)).max() < 0.01 and np.abs(found.std(axis=0) - 0.5).max() < 0.01
     assert np.abs(np.corrcoef(found.T) - np.eye(3)).max() < 0.02
     assert abs((np.abs(found) < 0.5).mean() - 0.6827) < 0.01 and not np.allclose(found, nets._hashed_noise(keys, 5, 3, 3, 0.5))
+
+
+def test_larger_tables_draw_test_noise_at_once(spark, data, monkeypatch):
+    """A generator for each row took 19 microseconds a row; beyond one task all rows of a batch are drawn by hashes."""
+    df, _, _ = data
+    monkeypatch.setattr(nets, "ROWS_PER_TASK", 100)
+    v = df.select("id", array_to_vector("x").alias("features"))
+    auto = Autoencoder.of("id", epochs=2, denoising=True).fit(v)
+    keys = np.array([r.k for r in v.select(F.xxhash64("id").alias("k")).collect()])
+    draws = nets._hashed_noise(keys, 7, nets.TEST_NOISE, 3, 0.1)
+    found = [r.noisy for r in auto.denoise(v, 0.1, 7).collect()]
+    assert np.allclose(sorted(found), sorted((draws ** 2).mean(axis=1)))
+
+
+def test_gradients_in_single_precision(data):
+    _, x, y = data
+    for loss, target in (("softmax", np.eye(3)[y.astype(int)]), ("mse", x)):
+        net = Net([3, 16, 3], loss, seed=2)
+        whole, half = (nets.batch_sums(net, net.flat, np.arange(400), x.astype(t), target.astype(t), CFG, 1, 0)
+                       for t in (np.float64, np.float32))
+        assert np.allclose(whole, half, rtol=1e-4, atol=1e-3) and half.dtype == np.float64
+    sure = Net([1, 2], "softmax", flat=[200.0, -200.0, 0.0, 0.0])
+    one = nets.batch_sums(sure, sure.flat, np.arange(1), np.ones((1, 1), np.float32), np.array([[0, 1]], np.float32), CFG, 1, 0)
+    assert np.isfinite(one).all()
